@@ -145,8 +145,10 @@ WHERE src IS NOT NULL""",
 }
 
 
-def with_views(body: str, *names: str, ctes: tuple[str, ...] | list[str] = ()) -> str:
+def with_views(body: str, *names: str, ctes: tuple[str, ...] | list[str] = (),
+               recursive: bool = False) -> str:
     """``WITH name AS (...), ..., <ctes> body`` for the named binding views
     followed by extra ``name AS (...)`` texts."""
     parts = [f"{n} AS (\n{SQL[n]}\n)" for n in names] + list(ctes)
-    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(parts) + "\n" + body) if parts else body
