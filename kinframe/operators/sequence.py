@@ -112,3 +112,29 @@ def previous_in_group(df: DataFrame, key: str, order: Sequence[str], carry: Sequ
         *[F.col(c) for c in cols],
         *[F.when(F.col("_head"), F.col("_fix_" + c)).otherwise(F.col(prefix + c)).alias(prefix + c)
           for c in carry])
+
+
+def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
+                out: str = "running", inclusive: bool = True, buckets: int | None = None) -> DataFrame:
+    """Running total of ``value`` within ``key`` in ``order`` (a total order).
+
+    Replaces ``sum(value) OVER (PARTITION BY key ORDER BY order)``, whose
+    un-keyed form is a single-partition window: rows get a range bucket on
+    (key, order); each bucket sums locally; the bucket totals (one row per
+    (bucket, key) run) give every run its offset.
+    """
+    key = list(key)
+    spark = df.sparkSession
+    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort_cols = key + list(order)
+    types = [df.schema[c].dataType for c in sort_cols]
+    bounds = range_bounds(df, sort_cols, nb)
+    b = df.withColumn("_b", _bucket_expr(sort_cols, types, bounds))
+    frame = Window.partitionBy("_b", *key).orderBy(*order)
+    frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = b.withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    tot = b.groupBy("_b", *key).agg(F.sum(value).alias("_tot"))
+    w = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
+    return (local.join(offs, ["_b", *key]).withColumn(out, F.col("_loc") + F.col("_off"))
+            .drop("_b", "_loc", "_off"))

@@ -79,9 +79,16 @@ pc AS (SELECT id, model_id, coalesce(pm, pc, pi) AS parameters,
 
 
 def params_table(t: Tables):
+    """Parameter count and its source per model, extracted once.
+
+    The extraction is a wide expression over JSON, card and id; downstream
+    statistics read it several times (counts, histograms, quantiles), so it is
+    checkpointed into the shared checkpoint folder instead of re-derived."""
+    from kinframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(t.spark)
     p = par(t)
     return P.params_coalesced(p, "metadata", "card", "model_id").select(
-        "id", "model_id", "parameters", "parameter_source")
+        "id", "model_id", "parameters", "parameter_source").checkpoint(eager=True)
 
 
 @query("params_coalesced", sql=psql("SELECT * FROM pc", PARAMS_SQL))
