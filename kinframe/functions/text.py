@@ -58,8 +58,8 @@ def auto_generated(card, phrases=AUTO_PHRASES) -> Column:
 
 def clean_text(c) -> Column:
     t = squash_ws(col(c))
-    for a, b in FULLWIDTH_MAP:
-        t = F.replace(t, F.lit(a), F.lit(b))
+    # every mapping is one character to one character: a single translate pass
+    t = F.translate(t, "".join(a for a, _ in FULLWIDTH_MAP), "".join(b for _, b in FULLWIDTH_MAP))
     t = F.regexp_replace(t, r"[^\x00-\x7F]", "")
     return F.when(col(c).isNull(), F.lit("Unknown")).otherwise(squash_ws(t))
 
