@@ -173,3 +173,17 @@ def q_centroid_similarity(t: Tables):
     c = cen.select(F.col("label").alias("cluster_b"), F.col("cen").alias("cb"))
     return a.join(c, F.col("cluster_a") < F.col("cluster_b")).select(
         "cluster_a", "cluster_b", r6(S.cosine_dense(F.col("ca"), F.col("cb"))).alias("cosine"))
+
+
+@query("project_2d")
+def q_project_2d(t: Tables):
+    """Two principal components of the embeddings (Spark ML PCA, distributed
+    covariance); signs fixed so the largest-magnitude loading is positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    v = t.embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = PCA(k=2, inputCol="features", outputCol="pc").fit(v)
+    pcs = model.pc.toArray()  # 64 x 2 loadings: bounded by the vector width
+    signs = [1.0 if pcs[abs(pcs[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
+    out = model.transform(v).select("vec_id", vector_to_array("pc").alias("p"))
+    return out.select("vec_id", r6(F.col("p")[0] * signs[0]).alias("x"), r6(F.col("p")[1] * signs[1]).alias("y"))
