@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 
 from kinframe.session import ensure_checkpoint_dir
 
+_SHIPPED: set[str] = set()
+
 #: The ASCII white space that separates words.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -40,3 +45,21 @@ def words_of(text: Column) -> Column:
 def n_partitions(spark: SparkSession, n_bytes: int, per_partition: int = 32 << 20) -> int:
     """Partitions for ``n_bytes`` of text: the session's number, or more where that would make them large."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per_partition))
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows, so that a batch of long texts stays small in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, name = os.path.split(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="kinframe-ship-"), name)  # the driver serves it from here
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, name))
+    _SHIPPED.add(sc.applicationId)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import quality, sharding
+from kinframe.llm import packing, quality, sharding, token_counts
+from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
 
@@ -48,3 +50,17 @@ def op8(t: Tables) -> DataFrame:
     return quality.apply_policy(quality.ledger(t.documents), max(quality.POLICIES)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "fail_bits",
         "base_failed", "kept")
+
+
+@query("op5_token_counts")
+def op5(t: Tables) -> DataFrame:
+    """Token counts of every document, from a cache of its own that starts empty."""
+    counts = token_counts.count_tokens(t.documents, public_tokenizers.path("piece_bpe_32k.model"),
+                                       scratch(t.spark, "token-cache"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op6_best_fit_packing")
+def op6(t: Tables) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"), 2048)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinframe.llm.common import ship
 from kinframe.session import configure
 from kinframe.sources.tables import Tables
 
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame``; ``sql`` is the equivalent over the raw tables, if SQL has one."""
     def deco(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             return fn(Tables(configure(spark), sf_dir))
 
         run.__name__, run.__doc__ = name, fn.__doc__
