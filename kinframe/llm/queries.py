@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import packing, quality, sharding, token_counts
+from kinframe.llm import decontamination, packing, quality, sharding, simhash, token_counts
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -64,3 +64,19 @@ def op5(t: Tables) -> DataFrame:
 def op6(t: Tables) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack_documents(t.documents, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@query("op3_simhash")
+def op3(t: Tables) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(t.documents, 4).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_decontamination")
+def op4(t: Tables) -> DataFrame:
+    """Benchmark passages in every document."""
+    hits = decontamination.find_hits(t.documents, t.benchmark, 10)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                       (F.col("n_hit") > 0).alias("contaminated"))
