@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import decontamination, packing, quality, sharding, simhash, token_counts
+from kinframe.llm import decontamination, packing, quality, sharding, simhash, token_counts, url_templates
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -80,3 +80,11 @@ def op4(t: Tables) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_url_filters")
+def op9(t: Tables) -> DataFrame:
+    """Verdict on every page url; a page's label is that of the document with its number."""
+    labels = t.labels.select(F.col("doc_id").alias("page_id"),
+                             F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    return url_templates.judge(t.pages, labels).select("page_id", "host", "path", "rule", "template", "verdict")
