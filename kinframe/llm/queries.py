@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import decontamination, packing, quality, sharding, simhash, token_counts, url_templates
+from kinframe.llm import decontamination, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_templates
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -88,3 +88,12 @@ def op9(t: Tables) -> DataFrame:
     labels = t.labels.select(F.col("doc_id").alias("page_id"),
                              F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
     return url_templates.judge(t.pages, labels).select("page_id", "host", "path", "rule", "template", "verdict")
+
+
+@query("op10_suffix_dedup")
+def op10(t: Tables) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that start earlier."""
+    cut = suffix_dedup.remove_repeats(t.documents)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
