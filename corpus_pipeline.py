@@ -7,10 +7,11 @@ of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kinframe.llm import quality
-from kinframe.llm.common import scratch
+from kinframe.llm import decontamination, line_dedup, packing, quality, simhash
+from kinframe.llm.common import scratch, ship
 from kinframe.session import configure
 
 
@@ -19,8 +20,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def line_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line blocks that an earlier one has; those with no word left go."""
+    ship(spark)
+    return line_dedup.remove_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each SimHash component (4-word shingles, 4 bits)."""
+    ship(spark)
+    return simhash.keep_one(docs, 4)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of benchmark windows; those with no word left go."""
+    ship(spark)
+    return decontamination.remove_hits(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"), 10)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens: a row per piece of a document."""
+    ship(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_blocks),
+    ("simhash", near_duplicates),
+    ("decontamination", benchmark_passages),
+    ("best_fit_packing", packed_sequences),
 ]
 
 #: SQL has no patience diff, no bounded-distance components and no tokenizer: the pipeline is tested

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import decontamination, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_templates
+from kinframe.llm import decontamination, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_templates
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -97,3 +97,9 @@ def op10(t: Tables) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_line_dedup")
+def op7(t: Tables) -> DataFrame:
+    """Every document without the line blocks that an earlier document has."""
+    return line_dedup.dedup_lines(t.documents)

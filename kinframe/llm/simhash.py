@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kinframe.llm.common import small_batches, stored, whole_text
 from kinframe.llm.components import connected_components
@@ -51,17 +52,19 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` per row."""
+    """``id, digest, fp`` per row; the digest is a hash of the text."""
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            fps = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())],
+                                             names=["id", "digest", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInArrow(
-        run, f"id {id_type}, fp long")
+    text = whole_text(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(
+        run, f"id {id_type}, digest long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -105,22 +108,30 @@ def links(nodes: DataFrame) -> DataFrame:
             .select("u", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fp, component_id`` per row; the component's least id names it."""
+def _marked(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, digest, fp, root, component_id`` per row; ``root`` is the least fingerprint of the component."""
     marked = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = connected_components(links(nodes))
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = placed.join(names, "root").select("fp", "component_id")
-    return marked.join(of_node, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return marked.join(placed.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, fp, component_id`` per row; the component's least id names it."""
+    return _marked(docs, shingle, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the least id (of rows that repeat that id, one of the least
-    text); rows of a component without any id are all kept."""
-    found = near_duplicates(docs, shingle, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id")
-    firsts = found.filter(F.col("_id") == F.col("component_id")).select("_id").distinct()
-    named = docs.join(firsts, F.col(id_col) == F.col("_id"), "left_semi")
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    """One row of each component: that of the least id (null ids last; then the least hash of the text)."""
+    marked = _marked(docs, shingle, id_col, text_col)
+    firsts = marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("_f"))
+    firsts = firsts.select(F.col("_f.id").alias("_id"), F.col("_f.digest").alias("_digest"))
+    digest = F.xxhash64(whole_text(text_col))
+    kept = docs.withColumn("_text_digest", digest).join(
+        firsts, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest")), "left_semi")
+    # rows that repeat both id and text
+    nth = F.row_number().over(W.partitionBy(id_col, "_text_digest").orderBy(F.lit(0)))
+    return kept.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "_text_digest")
