@@ -134,4 +134,6 @@ def filter_documents(docs: DataFrame, policy: int = max(POLICIES), text_col: str
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_body"))
     judged = apply_policy(ledger(packed, "_row", "_body"), policy)
-    return judged.filter("kept").select("_row.*")
+    # the row number keeps the optimiser from moving the filter below the measurements, where each of their
+    # expressions would be written out, and computed, once per use
+    return judged.withColumn("_n", F.monotonically_increasing_id()).filter("kept AND _n >= 0").select("_row.*")
