@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import decontamination, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_templates
+from kinframe.llm import chat, decontamination, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_templates
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -103,3 +103,9 @@ def op10(t: Tables) -> DataFrame:
 def op7(t: Tables) -> DataFrame:
     """Every document without the line blocks that an earlier document has."""
     return line_dedup.dedup_lines(t.documents)
+
+
+@query("op1_chat_format")
+def op1(t: Tables) -> DataFrame:
+    """Every turn of every conversation, repaired and rendered."""
+    return chat.format_turns(t.conversations)
