@@ -14,7 +14,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(packed):
         key <<= width
-        key[:n - j] += seq[j:].astype(np.int64) + 1
+        key[:max(0, n - j)] += seq[j:].astype(np.int64) + 1
     order = np.argsort(key)
     rank = np.empty(n, np.int64)
     heads = _heads(key[order])

@@ -53,7 +53,7 @@ def _parts(chunk: str) -> tuple[str, ...]:
     if "<|" in chunk:
         return (chunk,)
     low = chunk.lower() if chunk.isascii() else chunk
-    if len(low) > 1 and low[-1] in ".," and low[-2].isalpha() and low[-2] < "ɐ":
+    if len(low) > 1 and low[-1] in ".," and (low[-2].isascii() or "À" <= low[-2] < "ɐ") and low[-2].lower().isalpha():
         return low[:-1], low[-1]
     return (low,)
 

@@ -49,10 +49,14 @@ def _encoded(texts: DataFrame, path: str, version: str) -> DataFrame:
     schema = pa.schema([("digest", pa.binary()), ("tokenizer", pa.string()), ("n_tokens", pa.int64())])
 
     def run(batches):
+        seen: set[bytes] = set()  # rows that repeat both id and text meet in one task
         for b in batches:
-            ids = _model(path).encode(b.column(1).to_pylist(), num_threads=1)
+            digests = b.column(0).to_pylist()
+            new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]
+            texts = b.column(1).take(pa.array(new, pa.int64())).to_pylist()
+            ids = _model(path).encode(texts, num_threads=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.binary()), pa.array([version] * b.num_rows, pa.string()),
+                [pa.array([digests[k] for k in new], pa.binary()), pa.array([version] * len(new), pa.string()),
                  pa.array(list(map(len, ids)), pa.int64())], schema=schema)
 
     return texts.mapInArrow(run, CACHE_SCHEMA)
