@@ -133,41 +133,42 @@ def deletions(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: str
 
 
 def _with_cuts(docs: DataFrame, id_col: str, text_col: str, min_line: int, rare: int) -> DataFrame:
-    """The rows with ``_cut`` (null: nothing) and ``_kept``, the text without the deleted lines."""
-    cut = deletions(docs, min_line, rare, id_col, text_col).select(
-        F.col("id").alias("_i"), F.col("digest").alias("_d"), F.col("cut").alias("_cut"))
-    lines = F.split(F.col(text_col), "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
-    joined = docs.join(cut, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(whole_text(text_col)) == F.col("_d")), "left")
-    return joined.withColumn("_lines", F.when(F.col("_cut").isNotNull(), lines)).withColumn(
-        "_kept", F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(
-            F.array_join(F.transform(rest, lambda k: F.get("_lines", k)), "\n")))
+    """``row`` (a struct of the row's columns), ``cut`` (null: nothing) and ``kept``, the text that is left."""
+    cut = deletions(docs, min_line, rare, id_col, text_col)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row")[text_col]
+    digest = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    joined = row.join(cut, F.col("row")[id_col].eqNullSafe(F.col("id")) & (digest == F.col("digest")), "left")
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
+    return joined.select("row", "cut", F.when(F.col("cut").isNotNull(), F.split(text, "\n")).alias("lines")).select(
+        "row", "cut", F.when(F.col("cut").isNull(), text).otherwise(
+            F.array_join(F.transform(rest, lambda k: F.get("lines", k)), "\n")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``id_col, n_lines, n_removed, removed_lines, kept_text`` per row."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cut = F.coalesce("_cut", F.array().cast("array<int>"))
-    n_lines = F.when(F.length(whole_text("text")) > 0, F.size(F.split("text", "\n"))).otherwise(0)
+    cut, text = F.coalesce("cut", F.array().cast("array<int>")), F.col("row.text")
+    n_lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0)
     return _with_cuts(narrow, "id", "text", min_line, rare).select(
-        F.col("id").alias(id_col), n_lines.cast("long").alias("n_lines"), F.size(cut).cast("long").alias("n_removed"),
-        F.array_sort(cut).alias("removed_lines"), F.col("_kept").alias("kept_text"))
+        F.col("row.id").alias(id_col), n_lines.cast("long").alias("n_lines"), F.size(cut).cast("long").alias("n_removed"),
+        F.array_sort(cut).alias("removed_lines"), F.col("kept").alias("kept_text"))
 
 
 def remove_lines(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: str = "doc_id",
                  text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The rows without the deleted lines, in the columns of ``docs``; rows that lose their last word go, and
     ``length_col``, where the table has it, follows the text."""
-    cut = _with_cuts(docs, id_col, text_col, min_line, rare)
-    changed = F.col("_cut").isNotNull()
-    left = cut.filter(~changed | (F.length(F.translate("_kept", WHITE, "")) > 0))
+    changed = F.col("cut").isNotNull()
+    left = _with_cuts(docs, id_col, text_col, min_line, rare).filter(
+        ~changed | (F.length(F.translate("kept", WHITE, "")) > 0))
 
     def column(c: str):
         if c == text_col:
-            return F.col("_kept").alias(c)
+            return F.col("kept").alias(c)
         if c == length_col:
-            return F.when(changed, F.length("_kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-        return F.col(f"`{c}`")
+            return F.when(changed, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c)
+        return F.col("row")[c].alias(c)
 
     return left.select(*[column(c) for c in docs.columns])

@@ -129,9 +129,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col
     marked = _marked(docs, shingle, id_col, text_col)
     firsts = marked.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("_f"))
     firsts = firsts.select(F.col("_f.id").alias("_id"), F.col("_f.digest").alias("_digest"))
-    digest = F.xxhash64(whole_text(text_col))
-    kept = docs.withColumn("_text_digest", digest).join(
-        firsts, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest")), "left_semi")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    id_, digest = F.col("row")[id_col], F.xxhash64(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))
+    kept = row.join(firsts, id_.eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_semi")
     # rows that repeat both id and text
-    nth = F.row_number().over(W.partitionBy(id_col, "_text_digest").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "_text_digest")
+    nth = F.row_number().over(W.partitionBy(id_, digest).orderBy(F.lit(0)))
+    return kept.select("row", nth.alias("nth")).filter("nth = 1").select("row.*")
