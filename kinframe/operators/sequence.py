@@ -1,78 +1,41 @@
-"""Previous-row lookup within a key, safe for hot keys.
+"""Previous-row lookup and running sums within a key, safe for hot keys.
 
 ``Window.partitionBy(key)`` sends every row of one key to one task; when one
 key holds a third of the data that task holds a third of the data. Here rows
-get a *range bucket* on (key, order...) first: bucket boundaries are sampled
-rows of the input, collected as literals (their number is the bucket count,
-not the data size), so the bucket of a row is a pure function of the row and
-every recomputation agrees. A hot key then spans many buckets.
-
-* within a bucket, ``lag`` runs over ``Window.partitionBy(bucket, key)``;
-* a run that starts a bucket may continue the previous bucket's last key:
-  the last row of each bucket (one row per bucket, so bounded by the bucket
-  count) is broadcast and joined to those run heads.
-Every bucket above 0 contains its own lower boundary row, so the predecessor
-of a run head in bucket b can only be the last row of bucket b − 1.
+are range-partitioned on (key, order...) by Spark, the partition number is kept
+as the *bucket* of the row, and this layout is checkpointed once, so that every
+later read (and every recomputation) sees the same buckets. A hot key spans
+many buckets.
+
+* within a bucket, windows run over ``Window.partitionBy(bucket, key)``;
+* what crosses a bucket's edge comes from a table with one row per bucket (the
+  last row, for lag) or per bucket and key (the total, for running sums).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _literal(v, dtype: T.DataType) -> Column:
-    if v is None:
-        return F.lit(None).cast(dtype)
-    if isinstance(v, (_dt.datetime, _dt.date)):
-        return F.lit(v.isoformat(sep=" ") if isinstance(v, _dt.datetime) else v.isoformat()).cast(dtype)
-    return F.lit(v).cast(dtype)
-
-
-def _bucket_expr(sort_cols: list[str], types: list[T.DataType], bounds: list[tuple]) -> Column:
-    """Index of the bucket of the row: number of boundaries <= row (binary tree)."""
-    row = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(sort_cols)])
-    lits = [F.struct(*[_literal(v, t).alias(f"f{i}") for i, (v, t) in enumerate(zip(b, types))])
-            for b in bounds]
-
-    def build(lo: int, hi: int) -> Column:
-        # answer in [lo, hi]; bounds[i] is the lower edge of bucket i + 1
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(row >= lits[mid - 1], build(mid, hi)).otherwise(build(lo, mid - 1))
-
-    return build(0, len(bounds))
-
-
-def range_bounds(df: DataFrame, sort_cols: Sequence[str], buckets: int,
-                 per_bucket_sample: int = 64, seed: int = 17) -> list[tuple]:
-    """Up to ``buckets - 1`` increasing boundary rows sampled from ``df``.
-
-    Only ``buckets * per_bucket_sample`` sampled keys reach the driver."""
-    if buckets <= 1:
-        return []
-    n = df.count()
-    if n == 0:
-        return []
-    frac = min(1.0, buckets * per_bucket_sample / n)
-    sample = (df.select(*sort_cols).sample(False, frac, seed)
-              .orderBy(*sort_cols).collect())
-    if not sample:
-        return []
-    picks, last = [], None
-    for i in range(1, buckets):
-        r = tuple(sample[min(len(sample) - 1, i * len(sample) // buckets)])
-        if any(v is None for v in r):
-            continue
-        if last is None or r > last:
-            picks.append(r)
-            last = r
-    return picks
+
+from kinframe.session import ensure_checkpoint_dir
+
+
+def _bucketed(df: DataFrame, sort_cols: Sequence[str], buckets: int | None) -> DataFrame:
+    """``df`` laid out in ranges of ``sort_cols``, with the range number as ``_b``."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *sort_cols).withColumn("_b", F.spark_partition_id()).checkpoint()
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Null-safe equality of column pairs."""
+    out = F.lit(True)
+    for a, b in zip(left, right):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
 
 def previous_in_group(df: DataFrame, key: str, order: Sequence[str], carry: Sequence[str],
@@ -80,17 +43,12 @@ def previous_in_group(df: DataFrame, key: str, order: Sequence[str], carry: Sequ
     """Add ``prefix + c`` for each ``c`` in ``carry``: value on the preceding row
     of the same ``key`` when rows are ordered by ``order`` (null on the first).
 
-    ``order`` must make the order total within a key (end it with a unique id);
-    sort columns must be non-null.
+    ``order`` must make the order total within a key (end it with a unique id).
+    A null key is a key of its own.
     """
-    spark = df.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [key, *order, *[c for c in carry if c not in (key, *order)]]
-    base = df.select(*cols)
     sort_cols = [key, *order]
-    types = [base.schema[c].dataType for c in sort_cols]
-    bounds = range_bounds(base, sort_cols, nb)
-    bucketed = base.withColumn("_b", _bucket_expr(sort_cols, types, bounds))
+    bucketed = _bucketed(df.select(*cols), sort_cols, buckets)
 
     w = Window.partitionBy("_b", key).orderBy(*order)
     local = bucketed.select(
@@ -101,12 +59,12 @@ def previous_in_group(df: DataFrame, key: str, order: Sequence[str], carry: Sequ
     # Last row of every bucket: one row per bucket, a proven small side.
     last = F.max_by(F.struct(*[F.col(c).alias("k_" + c) for c in [key, *carry]]),
                     F.struct(*[F.col(c) for c in sort_cols]))
+    # ranges may be empty: the row before a bucket is the last of the nearest one that is not
     tails = (bucketed.groupBy("_b").agg(last.alias("t"))
-             .select((F.col("_b") + 1).alias("_fix_b"), F.col("t.k_" + key).alias("_fix_key"),
+             .select(F.lead("_b").over(Window.orderBy("_b")).alias("_fix_b"), F.col("t.k_" + key).alias("_fix_key"),
                      *[F.col("t.k_" + c).alias("_fix_" + c) for c in carry]))
     joined = local.join(
-        F.broadcast(tails),
-        (local["_b"] == tails["_fix_b"]) & local["_head"] & (local[key] == tails["_fix_key"]),
+        F.broadcast(tails), (F.col("_b") == F.col("_fix_b")) & F.col("_head") & F.col(key).eqNullSafe(F.col("_fix_key")),
         "left")
     return joined.select(
         *[F.col(c) for c in cols],
@@ -119,22 +77,18 @@ def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value:
     """Running total of ``value`` within ``key`` in ``order`` (a total order).
 
     Replaces ``sum(value) OVER (PARTITION BY key ORDER BY order)``, whose
-    un-keyed form is a single-partition window: rows get a range bucket on
-    (key, order); each bucket sums locally; the bucket totals (one row per
-    (bucket, key) run) give every run its offset.
+    un-keyed form is a single-partition window: each bucket sums locally; the
+    totals (one row per bucket and key) give every run its offset. A null key is
+    a key of its own.
     """
     key = list(key)
-    spark = df.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = key + list(order)
-    types = [df.schema[c].dataType for c in sort_cols]
-    bounds = range_bounds(df, sort_cols, nb)
-    b = df.withColumn("_b", _bucket_expr(sort_cols, types, bounds))
+    b = _bucketed(df, key + list(order), buckets)
     frame = Window.partitionBy("_b", *key).orderBy(*order)
     frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = b.withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
     tot = b.groupBy("_b", *key).agg(F.sum(value).alias("_tot"))
     w = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
-    return (local.join(offs, ["_b", *key]).withColumn(out, F.col("_loc") + F.col("_off"))
-            .drop("_b", "_loc", "_off"))
+    offs = tot.select(F.col("_b").alias("_ob"), *[F.col(k).alias(f"_o_{k}") for k in key],
+                      F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))
+    on = (F.col("_b") == F.col("_ob")) & _same(key, [f"_o_{k}" for k in key])
+    return local.join(offs, on).select(*df.columns, (F.col("_loc") + F.col("_off")).alias(out))

@@ -1,8 +1,8 @@
 """Bag-of-words / TF-IDF in long form, and pairwise similarity on given pairs.
 
 Vectors are never densified: documents are ``(doc, term, weight)`` rows, the
-vocabulary is a capped top-k table (its size is the cap, so it is safe to
-broadcast), and similarities are computed only for pairs the caller supplies
+vocabulary is all terms unless the caller caps it (a capped one is broadcast),
+and similarities are computed only for pairs the caller supplies
 (lineage edges, sampled kin pairs) — there is no all-pairs product.
 """
 
@@ -36,15 +36,17 @@ def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
             .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def vocabulary(tf: DataFrame, cap: int) -> DataFrame:
-    """Top ``cap`` terms by corpus frequency (ties by term) — at most ``cap`` rows."""
+def vocabulary(tf: DataFrame, cap: int | None = None) -> DataFrame:
+    """Terms with their corpus frequency; with ``cap`` only the most frequent ones (ties by term)."""
     corpus = tf.groupBy("term").agg(F.sum("tf").alias("corpus_tf"))
-    return top_k(corpus, [F.desc("corpus_tf"), F.asc("term")], cap)
+    return corpus if cap is None else top_k(corpus, [F.desc("corpus_tf"), F.asc("term")], cap)
 
 
-def restrict(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    # vocab has at most `cap` rows by construction: a bounded broadcast
-    return tf.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+def restrict(tf: DataFrame, cap: int | None = None) -> DataFrame:
+    """The rows of the ``cap`` most frequent terms (at most ``cap`` rows are broadcast); all without a cap."""
+    if cap is None:
+        return tf
+    return tf.join(F.broadcast(vocabulary(tf, cap).select("term")), "term", "left_semi")
 
 
 def tfidf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:

@@ -26,32 +26,36 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], key: Sequ
     """Linear-interpolation quantiles (numpy default) per key, exact.
 
     Rank r (0-based) holds value v when before(v) <= r < before(v) + c(v);
-    p-quantile = v(floor(p(n-1))) + frac * (v(ceil) - v(floor)).
+    p-quantile = v(floor(p(n-1))) + frac * (v(ceil) - v(floor)). Both values
+    are picked from the running histogram by one aggregate per key.
     """
     key = list(key)
     h = value_histogram(df, value, key)
     cum = running_sum(h, key, ["v"], "c", "_before", inclusive=False)
     n = h.groupBy(*key).agg(F.sum("c").alias("_n"))
-    ps = df.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "pi int, p double")
-    targets = (n.crossJoin(F.broadcast(ps))  # probs: a fixed handful of rows
-               .select(*key, "pi", "p", ((F.col("_n") - 1) * F.col("p")).alias("_pos"))
-               .select(*key, "pi", "_pos", F.floor("_pos").cast("bigint").alias("_lo"),
-                       F.ceil("_pos").cast("bigint").alias("_hi")))
-    ranks = targets.select(*key, "pi", F.col("_lo").alias("_r")).union(
-        targets.select(*key, "pi", F.col("_hi").alias("_r"))).distinct()
-    # each (key, rank) falls in exactly one value interval: a range join on the
-    # running counts, equi-keyed on key.
-    cum2 = cum.select(*[F.col(k).alias(f"_ck_{k}") for k in key], F.col("v").alias("_cv"),
-                      F.col("c").alias("_cc"), "_before")
-    cond = [F.col(k) == F.col(f"_ck_{k}") for k in key] + [
-        F.col("_before") <= F.col("_r"), F.col("_r") < F.col("_before") + F.col("_cc")]
-    at = ranks.join(cum2, cond).select(*key, "pi", "_r", F.col("_cv").alias("_v"))
-    lo = at.select(*key, "pi", F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = at.select(*key, "pi", F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    res = targets.join(lo, [*key, "pi", "_lo"]).join(hi, [*key, "pi", "_hi"]).select(
-        *key, "pi", (F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
-    wide = res.groupBy(*key).pivot("pi", list(range(len(probs)))).agg(F.first("_q"))
-    return wide.select(*key, *[F.col(str(i)).alias(f"{prefix}{int(round(p * 100))}") for i, p in enumerate(probs)])
+    if key:
+        n = n.select(*[F.col(k).alias(f"_n_{k}") for k in key], "_n")
+        on = F.lit(True)
+        for k in key:
+            on = on & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
+        placed = cum.join(n, on)
+    else:
+        placed = cum.crossJoin(n)  # one row
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("c")), F.col("v")))
+
+    picks = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        picks += [at(F.floor(pos)).alias(f"_lo{i}"), at(F.ceil(pos)).alias(f"_hi{i}")]
+    picked = placed.groupBy(*key).agg(F.first("_n").alias("_n"), *picks).where(F.col("_n").isNotNull())
+
+    def between(i: int, p: float) -> Column:
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        return F.col(f"_lo{i}") + (pos - F.floor(pos)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
+
+    return picked.select(*key, *[between(i, p).alias(f"{prefix}{int(round(p * 100))}") for i, p in enumerate(probs)])
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
@@ -119,9 +123,12 @@ def significant_gaps(df: DataFrame, value: str, k: float = 2.0) -> DataFrame:
 
 
 def fixed_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Equal-width bins between min and max, last bin closed: (bin, lo, hi, n, density)."""
+    """Equal-width bins between min and max, last bin closed: (bin, lo, hi, n, density).
+
+    A constant column gets bins from half below it to half above it."""
     x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    mm = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("_n"))
+    half = F.when(F.min("x") == F.max("x"), F.lit(0.5)).otherwise(F.lit(0.0))
+    mm = x.agg((F.min("x") - half).alias("lo"), (F.max("x") + half).alias("hi"), F.count(F.lit(1)).alias("_n"))
     w = (F.col("hi") - F.col("lo")) / bins
     j = x.crossJoin(mm)  # one-row aggregate
     b = F.least(F.floor((F.col("x") - F.col("lo")) / w), F.lit(bins - 1)).cast("int")

@@ -13,7 +13,8 @@ from kinframe.plans.similarity import TF_SQL, tfidf_sql, tfidf_table
 from kinframe.sources import bindings as b
 from kinframe.sources.tables import Tables
 
-N = 200
+#: Draws per sampler and configuration.
+N = 5000
 SEED = 42
 
 
@@ -92,7 +93,7 @@ def q_kinship_similarity(t: Tables):
                .unionByName(sm.sample_edges(e, N, SEED).withColumn("motif", F.lit("edges")))
                .unionByName(sm.sample_siblings2(nodes, e, N, SEED).withColumn("motif", F.lit("siblings2")))
                .unionByName(sm.sample_chain3(nodes, e, N, SEED).withColumn("motif", F.lit("chain3"))))
-    w = tfidf_table(t, 512)
+    w = tfidf_table(t)
     have = w.select(F.col("doc").alias("id")).distinct()
     s = (samples.join(have.withColumnRenamed("id", "u"), "u", "left_semi")
          .join(have.withColumnRenamed("id", "v"), "v", "left_semi"))

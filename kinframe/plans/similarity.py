@@ -54,11 +54,13 @@ TF_SQL = f"""tok AS (SELECT doc_id AS doc, unnest({TOK_SQL}) AS term FROM docume
 tf AS (SELECT doc, term, count(*) AS tf FROM tok GROUP BY doc, term)"""
 
 
-def vocab_sql(cap):
+def vocab_sql(cap=None):
+    if cap is None:
+        return "vocab AS (SELECT term, sum(tf) AS corpus_tf FROM tf GROUP BY term)"
     return f"vocab AS (SELECT term, corpus_tf FROM (SELECT term, sum(tf) AS corpus_tf FROM tf GROUP BY term) v ORDER BY corpus_tf DESC, term LIMIT {cap})"
 
 
-def tfidf_sql(cap):
+def tfidf_sql(cap=None):
     return f"""{vocab_sql(cap)},
 t2 AS (SELECT * FROM tf WHERE term IN (SELECT term FROM vocab)),
 dfs AS (SELECT term, count(*) AS df FROM t2 GROUP BY term),
@@ -67,36 +69,34 @@ w AS (SELECT doc, term, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM t2 JOIN df
 tw AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS weight FROM w)"""
 
 
-def tfidf_table(t: Tables, cap: int):
+def tfidf_table(t: Tables, cap: int | None = None):
     tf = unigram_tf(t)
-    vocab = S.vocabulary(tf, cap)
     n = t.documents.agg(F.count(F.lit(1)).alias("n"))
-    return S.tfidf(S.restrict(tf, vocab), n)
+    return S.tfidf(S.restrict(tf, cap), n)
 
 
-@query("top_words", sql=f"""WITH {TF_SQL}, {vocab_sql(1000)}
+@query("top_words", sql=f"""WITH {TF_SQL}, {vocab_sql()}
 SELECT term, CAST(corpus_tf AS BIGINT) AS n FROM vocab ORDER BY corpus_tf DESC, term LIMIT 20""")
 def q_top_words(t: Tables):
-    v = S.vocabulary(unigram_tf(t), 1000).select("term", F.col("corpus_tf").cast("bigint").alias("n"))
+    v = S.vocabulary(unigram_tf(t)).select("term", F.col("corpus_tf").cast("bigint").alias("n"))
     return top_k(v, [F.desc("n"), F.asc("term")], 20)
 
 
-@query("top_words_tfidf", sql=f"""WITH {TF_SQL}, {tfidf_sql(1000)}
+@query("top_words_tfidf", sql=f"""WITH {TF_SQL}, {tfidf_sql()}
 SELECT term, round(sum(weight), 6) AS total_weight FROM tw GROUP BY term ORDER BY sum(weight) DESC, term LIMIT 20""")
 def q_top_words_tfidf(t: Tables):
-    s = tfidf_table(t, 1000).groupBy("term").agg(F.sum("weight").alias("w"))
+    s = tfidf_table(t).groupBy("term").agg(F.sum("weight").alias("w"))
     return top_k(s, [F.desc("w"), F.asc("term")], 20).select("term", r6("w").alias("total_weight"))
 
 
-@query("top_words_by_type", sql=f"""WITH {TF_SQL}, {vocab_sql(1000)}
+@query("top_words_by_type", sql=f"""WITH {TF_SQL}, {vocab_sql()}
 SELECT lang, term, n, CAST(rk AS INTEGER) AS rank FROM (
   SELECT d.lang, tf.term, CAST(sum(tf.tf) AS BIGINT) AS n, row_number() OVER (PARTITION BY d.lang ORDER BY sum(tf.tf) DESC, tf.term) AS rk
   FROM tf JOIN documents d ON d.doc_id = tf.doc WHERE tf.term IN (SELECT term FROM vocab) GROUP BY d.lang, tf.term) x WHERE rk <= 10""")
 def q_top_words_by_type(t: Tables):
     tf = unigram_tf(t)
-    vocab = S.vocabulary(tf, 1000)
     lang = t.documents.select(F.col("doc_id").alias("doc"), "lang")
-    per = S.restrict(tf, vocab).join(lang, "doc").groupBy("lang", "term").agg(F.sum("tf").cast("bigint").alias("n"))
+    per = tf.join(lang, "doc").groupBy("lang", "term").agg(F.sum("tf").cast("bigint").alias("n"))
     return top_k_per_group(per, ["lang"], [F.desc("n"), F.asc("term")], 10, salt_cols=["term"]).select(
         "lang", "term", "n", "rank")
 
@@ -104,23 +104,23 @@ def q_top_words_by_type(t: Tables):
 @query("bow_vectors", sql=f"""WITH toks AS (SELECT doc_id AS doc, {TOK_SQL} AS t FROM documents),
 grams AS (SELECT doc, unnest(t) AS term FROM toks UNION ALL
   SELECT doc, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM toks WHERE len(t) > 1),
-tf AS (SELECT doc, term, count(*) AS tf FROM grams GROUP BY doc, term), {vocab_sql(512)}
+tf AS (SELECT doc, term, count(*) AS tf FROM grams GROUP BY doc, term), {vocab_sql()}
 SELECT doc, term, tf FROM tf WHERE term IN (SELECT term FROM vocab)""")
 def q_bow_vectors(t: Tables):
     tf = S.term_counts(_docs(t), "doc_id", S.with_bigrams(S.tokens("text")))
-    return S.restrict(tf, S.vocabulary(tf, 512)).select("doc", "term", "tf")
+    return S.restrict(tf).select("doc", "term", "tf")
 
 
-@query("tfidf_weights", sql=f"WITH {TF_SQL}, {tfidf_sql(512)} SELECT doc, term, round(weight, 6) AS weight FROM tw")
+@query("tfidf_weights", sql=f"WITH {TF_SQL}, {tfidf_sql()} SELECT doc, term, round(weight, 6) AS weight FROM tw")
 def q_tfidf_weights(t: Tables):
-    return tfidf_table(t, 512).select("doc", "term", r6("weight").alias("weight"))
+    return tfidf_table(t).select("doc", "term", r6("weight").alias("weight"))
 
 
-@query("top_terms_per_doc", sql=f"""WITH {TF_SQL}, {tfidf_sql(1000)}
+@query("top_terms_per_doc", sql=f"""WITH {TF_SQL}, {tfidf_sql()}
 SELECT doc, term, round(weight, 6) AS weight, CAST(rk AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY doc ORDER BY weight DESC, term) AS rk FROM tw) x WHERE rk <= 10""")
 def q_top_terms_per_doc(t: Tables):
-    w = tfidf_table(t, 1000)
+    w = tfidf_table(t)
     return top_k_per_group(w, ["doc"], [F.desc("weight"), F.asc("term")], 10, salt_cols=["term"]).select(
         "doc", "term", r6("weight").alias("weight"), "rank")
 
@@ -130,8 +130,8 @@ def q_top_terms_per_doc(t: Tables):
 @query("levenshtein_similarity")
 def q_levenshtein_similarity(t: Tables):
     e = b.doc_edge(t)
-    p = t.documents.select(F.col("doc_id").alias("src"), F.substring("text", 1, 512).alias("a"))
-    c = t.documents.select(F.col("doc_id").alias("dst"), F.substring("text", 1, 512).alias("c"))
+    p = t.documents.select(F.col("doc_id").alias("src"), F.col("text").alias("a"))
+    c = t.documents.select(F.col("doc_id").alias("dst"), F.col("text").alias("c"))
     j = e.join(p, "src").join(c, "dst")
     return j.select(F.col("src").alias("u"), F.col("dst").alias("v"),
                     r6(S.levenshtein_similarity(F.col("a"), F.col("c"))).alias("similarity"))

@@ -348,24 +348,23 @@ def q_value_counts(t: Tables):
     return b.cat(t).groupBy("pipeline_tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-DESCRIBE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+DESCRIBE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                 "l_tax"]
 
 
 @query("describe_numeric", sql=" UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min,
-  round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max FROM lineitem"""
+    f"""SELECT '{c}' AS column_name, count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min,
+  round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75, max(x) AS max FROM (SELECT CAST({c} AS DOUBLE) AS x FROM lineitem) t"""
     for c in DESCRIBE_COLS))
 def q_describe_numeric(t: Tables):
-    li = t.lineitem
-    out = None
-    for c in DESCRIBE_COLS:
-        a = li.agg(F.lit(c).alias("column_name"), F.count(c).alias("count"), r6(F.avg(c)).alias("mean"),
-                   r6(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
-        q = st.exact_quantiles(li, c, [0.25, 0.5, 0.75])
-        row = a.crossJoin(q).select("column_name", "count", "mean", "std", "min", r6("q25").alias("q25"),
-                                    r6("q50").alias("q50"), r6("q75").alias("q75"), "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All numeric columns in one pass: unpivoted to (column, value)."""
+    u = t.lineitem.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in DESCRIBE_COLS])).alias("e")).select("e.*")
+    a = u.groupBy("column_name").agg(F.count("x").alias("count"), r6(F.avg("x")).alias("mean"),
+                                     r6(F.stddev_samp("x")).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = st.exact_quantiles(u, "x", [0.25, 0.5, 0.75], key=["column_name"])
+    return a.join(q, "column_name").select("column_name", "count", "mean", "std", "min", r6("q25").alias("q25"),
+                                           r6("q50").alias("q50"), r6("q75").alias("q75"), "max")
 
 
 @query("significant_gaps", sql="""WITH s AS (SELECT l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL),

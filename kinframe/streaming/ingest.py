@@ -9,6 +9,7 @@ table (a bare streaming ``dropDuplicates`` would keep unbounded state).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +35,12 @@ def run_available(df: DataFrame, out_dir: str, checkpoint: str, key: str) -> Non
         fresh = batch.dropDuplicates([key])
         try:
             stored = spark.read.parquet(out_dir).select(key)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = None  # the first batch: nothing is stored yet
+        if stored is not None:
             fresh = fresh.join(stored, key, "left_anti")
-        except Exception:  # first batch: nothing stored yet
-            pass
         fresh.write.mode("append").parquet(out_dir)
 
     q = (df.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
