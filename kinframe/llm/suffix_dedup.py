@@ -4,22 +4,25 @@ A byte goes if a string of ``LENGTH`` = 100 bytes that covers it also starts ear
 a smaller id, or before in the same document); all strings are judged on the input.
 
 1. Anchors. Every 100-byte window names the position of its least 36-byte hash (a minimizer), so equal
-   windows name positions at equal offsets: about one position in 33. Only anchors whose 36 bytes occur
-   twice can lie in a repeated window; they are found by one exchange of (hash, document, position).
-2. Sorted suffix runs. Each task takes the suffixes (100 bytes) that start at such anchors, with the up
-   to 64 bytes left of them, sorts them, settles all but the first of those alike in both, and front-codes the
-   rest into runs, one per target of the exchange.
+   windows name positions at equal offsets: about one position in 33. The context of an anchor is what its
+   windows can cover: up to 64 bytes left of it and 100 from it on. One exchange of (hash of the 36 bytes,
+   hash of the context, document, position) settles anchors whose whole context occurs earlier, all of
+   whose windows repeat, and drops those whose 36 bytes have one context only. What is left is the first
+   of each of several contexts around the same bytes: the borders of what repeats.
+2. Sorted suffix runs. Each task takes the suffixes (100 bytes) that start at these anchors, with the
+   bytes left of them, sorts them and front-codes them into runs, one per target of the exchange.
 3. Merge. Each target merges its runs by a loser tree that compares no byte of a known common prefix and
    gives the common prefixes of neighbours. An offset o <= 64 fixes a window: ``o`` bytes left of the
    anchor and ``100 - o`` from it on. Windows are equal if no common prefix between their suffixes is
    shorter than ``100 - o`` and the o bytes to the left are equal; all but the earliest are repeats.
 4. The bytes that repeats cover are merged per document.
 
-Hot groups: 36 bytes that some task meets more than ``HOT`` times are dealt by blocks of offsets, each by a
-hash of the bytes that all windows of the block share, so even a line in every document is spread.
+Hot groups: 36 bytes that some task meets in more than ``HOT`` contexts are dealt by blocks of offsets, each
+by a hash of the bytes that all windows of the block share, so even a line in every document is spread.
 Copies meet inside the tasks first, and each task passes on one of them.
 
-Bytes left of an anchor are compared by 64-bit hashes; everything else byte by byte.
+Whole contexts and the bytes left of an anchor are compared by 64-bit hashes, within anchors of the same
+36 bytes; suffixes byte by byte.
 
 Defined cases: a null text is empty, texts under 100 bytes lose nothing; a row without id is compared
 with nothing and stays whole; repeated rows are one document (each gets the same result), rows with one
@@ -40,7 +43,7 @@ from kinframe.llm.suffix_runs import Run, merge, write_run
 LENGTH = 100
 GRAM = 36
 LEFT = LENGTH - GRAM
-#: Occurrences of an anchor's bytes in one task after which they count as hot.
+#: Contexts of an anchor's bytes in one task after which they count as hot.
 HOT = 16
 #: Offsets are dealt in blocks of this many for hot anchors.
 BLOCK = 8
@@ -69,12 +72,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from every position on."""
-    n = len(buf)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    return _mixed((sums[GRAM:] - sums[:n + 1 - GRAM]) * _powers(_INVERSE, n + 1 - GRAM))
+def _sums(buf: np.ndarray) -> np.ndarray:
+    """Prefix sums from which :func:`_range_hashes` takes the hash of any range."""
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(buf)), out=sums[1:])
+    return sums
+
+
+def _range_hashes(sums: np.ndarray, begin, end) -> np.ndarray:
+    return _mixed((sums[end] - sums[begin]) * _powers(_INVERSE, len(sums))[begin])
 
 
 def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -86,12 +92,12 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[:len(x) - (width - w)], x[width - w:]) if w < width else x
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(sums: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of texts laid end to end; text i is offsets[i] .. offsets[i+1]."""
-    n = len(buf)
+    n = len(sums) - 1
     if n < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = _gram_hashes(buf)
+    grams = _range_hashes(sums, slice(0, n + 1 - GRAM), slice(GRAM, n + 1))
     short = (grams >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = _slide(short, LEFT + 1, np.minimum)
     # a window that begins less than LENGTH before its text's end is none
@@ -111,37 +117,69 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), offsets
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def _heads(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before in any of the keys."""
+    heads = np.ones(len(sorted_keys[0]), bool)
+    heads[1:] = False
+    for k in sorted_keys:
+        heads[1:] |= k[1:] != k[:-1]
+    return heads
+
+
+def _settled(context: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows (in order of context, document, position) whose context an earlier anchor has; ``context`` marks
+    the first row of each. Rows that repeat the first anchor itself are not settled."""
+    head = np.maximum.accumulate(np.where(context, np.arange(len(docs)), 0))
+    return (docs != docs[head]) | (at != at[head])
+
+
+_SETTLED, _OPEN, _HOT = 0, 1, 2
+_ANCHORS = "route long, context long, doc long, at int, room int, kind int"
+
+
+def _anchor_rows(*columns):
+    names = [c.split()[0] for c in _ANCHORS.split(", ")]
+    for k in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c[k:k + (1 << 16)].astype(np.int64 if n < 3 else np.int32)) for n, c in enumerate(columns)],
+            names=names)
 
 
 def _dealt_anchors(batches):
-    """``id, text`` to rows ``route, doc, at, here``. ``here`` is how often the task met the anchor's bytes;
-    of those met more than HOT times one row goes to the count (route: the bytes' hash) and the others,
-    known to repeat, with ``here`` -1 wherever their own place deals them."""
+    """``id, text`` to the anchors: route, context, document, position, bytes from there on (at most 100), kind.
+
+    Anchors whose context the task has met earlier are settled. Of bytes with more than HOT contexts in the
+    task one row goes where the bytes are counted and tells that they are hot; the others, known to have
+    several contexts, are dealt by bytes and context."""
     held: list[tuple] = []
     n = 0
 
     def flush():
-        docs, at, grams = (np.concatenate(x) for x in zip(*held))
-        _, first, which, counts = np.unique(grams, return_index=True, return_inverse=True, return_counts=True)
-        here = counts[which]
-        rest = here > HOT
-        rest[first] = False
-        route = np.where(rest, _mixed(docs.view(np.uint64) * np.uint64(_BASE) + at.astype(np.uint64)), grams)
-        here = np.where(rest, -1, here)
-        for k in range(0, len(docs), 1 << 16):
-            s = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(route[s])), pa.array(docs[s]), pa.array(at[s].astype(np.int32)),
-                 pa.array(here[s].astype(np.int32))], names=["route", "doc", "at", "here"])
+        docs, at, room, grams, contexts = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, docs, contexts, grams))
+        docs, at, room, grams, contexts = (x[order] for x in (docs, at, room, grams, contexts))
+        new_gram = _heads(grams)
+        new_context = new_gram | _heads(contexts)
+        settled = _settled(new_context, docs, at)
+        many = np.bincount(np.cumsum(new_gram) - 1, weights=new_context)[np.cumsum(new_gram) - 1] > HOT
+        kind = np.where(many, _HOT, _OPEN)
+        kind[settled] = _SETTLED
+        aside = settled | (many & ~new_gram)
+        route = np.where(aside, _mixed(grams + contexts * np.uint64(_BASE)), grams)
+        keep = settled | new_context
+        yield from _anchor_rows(*(x[keep] for x in (route.view(np.int64), contexts.view(np.int64), docs, at, room, kind)))
 
     for b in batches:
         buf, offsets = _laid_out([t.encode() for t in b.column(1).to_pylist()])
-        at, grams = anchors(buf, offsets)
-        text = np.searchsorted(offsets, at, side="right") - 1
+        sums = _sums(buf)
+        place, grams = anchors(sums, offsets)
+        text = np.searchsorted(offsets, place, side="right") - 1
+        at = place - offsets[text]
+        room = np.minimum(LENGTH, offsets[text + 1] - place)
+        back = np.minimum(LEFT, at)
+        contexts = _mixed(_range_hashes(sums, place - back, place + room) + (back * 128 + room).astype(np.uint64))
         ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        held.append((ids[text], at - offsets[text], grams))
+        held.append((ids[text], at, room, grams, contexts))
         n += len(at)
         if n >= HELD:
             yield from flush()
@@ -151,24 +189,27 @@ def _dealt_anchors(batches):
 
 
 def _repeated(batches):
-    """Rows of :func:`_dealt_anchors`, all of a hash together, to the anchors ``doc, at, hot`` that repeat."""
-    parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(4)] for b in batches if b.num_rows]
+    """Rows of :func:`_dealt_anchors`, all of a route together, to ``doc, at, room, kind``: anchors that are
+    settled, and those that share their bytes but not their context with others."""
+    parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(6)] for b in batches if b.num_rows]
     if not parts:
         return
-    route, docs, at, here = (np.concatenate(x) for x in zip(*parts))
+    route, contexts, docs, at, room, kind = (np.concatenate(x) for x in zip(*parts))
     del parts
-    met = here >= 0
-    _, which, counts = np.unique(route[met], return_inverse=True, return_counts=True)
-    most = np.zeros(len(counts), np.int64)
-    np.maximum.at(most, which, here[met])
-    keep, hot = np.ones(len(route), bool), np.ones(len(route), bool)
-    keep[met] = (counts[which] > 1) | (here[met] > 1)
-    hot[met] = most[which] > HOT
-    docs, at, hot = docs[keep], at[keep], hot[keep]
+    order = np.lexsort((at, docs, kind == _SETTLED, contexts, route))
+    route, contexts, docs, at, room, kind = (x[order] for x in (route, contexts, docs, at, room, kind))
+    new_route = _heads(route)
+    group = np.cumsum(new_route) - 1
+    new_context = new_route | _heads(contexts)
+    several = np.bincount(group, weights=new_context)[group] > 1
+    hot = np.bincount(group, weights=kind == _HOT)[group] > 0
+    done = (kind == _SETTLED) | _settled(new_context, docs, at)
+    keep = done | (new_context & (several | hot))
+    kind = np.where(done, _SETTLED, np.where(hot, _HOT, _OPEN))
     for k in range(0, len(docs), 1 << 16):
-        s = slice(k, k + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[s]), pa.array(at[s]), pa.array(hot[s])],
-                                         names=["doc", "at", "hot"])
+        s = np.nonzero(keep[k:k + (1 << 16)])[0] + k
+        yield pa.RecordBatch.from_arrays([pa.array(docs[s]), pa.array(at[s]), pa.array(room[s]), pa.array(kind[s].astype(np.int32))],
+                                         names=["doc", "at", "room", "kind"])
 
 
 _RUN_SCHEMA = "target int, run binary, doc long, lo long, hi long"
@@ -246,20 +287,38 @@ def _suffix_runs(docs, at, hot, right, right_len, left, left_len, targets):
         yield _run_row(int(target[a]), write_run(strings, right_len[w] + 1, left[w], left_len[w], docs[w], at[w]))
 
 
+def _union_rows(docs: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Spans of documents, overlapping and touching ones joined."""
+    order = np.lexsort((lo, docs))
+    docs, lo, hi = docs[order], lo[order], hi[order]
+    new = _heads(docs)
+    part = np.cumsum(new)
+    # the furthest end so far, kept apart by document
+    reach = np.maximum.accumulate(hi + part * (1 << 40)) - part * (1 << 40)
+    new[1:] |= lo[1:] > reach[:-1]
+    begin = np.nonzero(new)[0]
+    return docs[begin], lo[begin], np.maximum.reduceat(hi, begin) if len(begin) else hi
+
+
 def _sorted_suffixes(targets: int):
-    """``text, doc, anchors`` (array of at, hot) to runs and settled spans."""
+    """``text, doc, anchors`` (array of at, room, kind) to runs and settled spans."""
     def run(batches):
         held, n = [], 0
         for b in batches:
+            if not b.num_rows:
+                continue
             buf, offsets = _laid_out([t.encode() for t in b.column(0).to_pylist()])
             lists = b.column(2)
-            many = np.asarray(lists.value_lengths())
             flat = lists.flatten()
-            at, hot = (np.asarray(flat.field(k)) for k in (0, 1))
-            text = np.repeat(np.arange(b.num_rows), many)
-            at = at.astype(np.int64)
-            fits = at + GRAM <= (offsets[1:] - offsets[:-1])[text]
-            text, at, hot = text[fits], at[fits], hot[fits]
+            at, room, kind = (np.asarray(flat.field(k)).astype(np.int64) for k in range(3))
+            text = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+            ids = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            done = kind == _SETTLED
+            if done.any():
+                docs, lo, hi = _union_rows(ids[text[done]], at[done] - np.minimum(LEFT, at[done]), at[done] + room[done])
+                yield _span_rows(docs, lo, hi, targets)
+            fits = ~done & (at + GRAM <= (offsets[1:] - offsets[:-1])[text])
+            text, at, hot = text[fits], at[fits], kind[fits] == _HOT
             for k in range(0, len(at), HELD_SUFFIXES):
                 t, p, h = (x[k:k + HELD_SUFFIXES] for x in (text, at, hot))
                 begin, end = offsets[t] + p, offsets[t + 1]
@@ -268,8 +327,7 @@ def _sorted_suffixes(targets: int):
                 ahead, back = np.arange(LENGTH), np.arange(1, LEFT + 1)
                 right = np.where(ahead < right_len[:, None], buf[np.minimum(begin[:, None] + ahead, len(buf) - 1)], 0)
                 left = np.where(back <= left_len[:, None], buf[np.maximum(begin[:, None] - back, 0)], 0)
-                ids = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[t]
-                held.append((ids, p, h, right.astype(np.uint8), right_len, left.astype(np.uint8), left_len))
+                held.append((ids[t], p, h, right.astype(np.uint8), right_len, left.astype(np.uint8), left_len))
                 n += len(p)
                 if n >= HELD_SUFFIXES:
                     yield from _suffix_runs(*(np.concatenate(x) for x in zip(*held)), targets)
@@ -369,7 +427,7 @@ def _merged(batches):
             yield b.filter(pa.array(~is_run)).select(["doc", "lo", "hi"])
         runs += [Run(x, LEFT) for x in b.column(1).drop_null().to_pylist()]
     if runs:
-        docs, lo, hi = repeats(runs)
+        docs, lo, hi = _union_rows(*repeats(runs))
         if len(docs):
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(lo), pa.array(hi)], names=["doc", "lo", "hi"])
 
@@ -406,19 +464,13 @@ def _cut(batches):
             names=["id", "n_bytes", "spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, spans``: byte spans to remove (they may overlap) of every document that has any."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = whole_text(text_col)
-    # shorter texts cannot hold a repeated string
-    long = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text")).filter(
-        F.octet_length("text") >= LENGTH)
-    n = n_partitions(spark, long.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    dealt = long.mapInArrow(_dealt_anchors, "route long, doc long, at int, here int").repartition(n, "route")
-    found = dealt.mapInArrow(_repeated, "doc long, at int, hot boolean").groupBy("doc").agg(
-        F.collect_list(F.struct("at", "hot")).alias("anchors"))
-    runs = (long.join(found, F.col("id") == F.col("doc")).select("text", "doc", "anchors")
+def _spans(texts: DataFrame) -> DataFrame:
+    """``id, text`` to ``doc, spans``: byte spans to remove (they may overlap), of documents that have any."""
+    n = n_partitions(texts.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    dealt = texts.mapInArrow(_dealt_anchors, _ANCHORS).repartition(n, "route")
+    found = dealt.mapInArrow(_repeated, "doc long, at int, room int, kind int").groupBy("doc").agg(
+        F.collect_list(F.struct("at", "room", "kind")).alias("anchors"))
+    runs = (texts.join(found, F.col("id") == F.col("doc")).select("text", "doc", "anchors")
             .mapInArrow(_sorted_suffixes(4 * n), _RUN_SCHEMA).repartition(n, "target"))
     return runs.mapInArrow(_merged, "doc long, lo long, hi long").groupBy("doc").agg(
         F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -426,10 +478,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, spans, kept`` per row: the maximal removed byte spans and the bytes left."""
-    spans = repeated_spans(docs, id_col, text_col)
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    joined = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(
-        spans, F.col("id").cast("long") == F.col("doc"), "left").select("id", "text", "spans")
-    return joined.mapInArrow(
-        _cut, f"id {id_type}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary").withColumnRenamed(
-        "id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    # both joins deal the same rows by id, so Spark exchanges the texts once
+    texts = rows.filter(F.col("id").isNotNull())
+    joined = texts.join(_spans(texts), F.col("id") == F.col("doc"), "left").select("id", "text", "spans")
+    alone = rows.filter(F.col("id").isNull()).select("id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
+    cut = joined.unionByName(alone).mapInArrow(
+        _cut, "id long, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
+    return cut.select(F.col("id").cast(id_type).alias(id_col), "n_bytes", "spans", "kept")
