@@ -53,7 +53,8 @@ def parse_list_text(c) -> Column:
     empty for null, '', '[]' or unparsable."""
     s = F.trim(col(c))
     inner = F.regexp_replace(s, r"^\[|\]$", "")
-    bracket = F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
+    items = F.regexp_extract_all(inner, F.lit(r"""\s*('[^']*'|"[^"]*"|[^,]+)"""), 1)  # a comma in quotes splits nothing
+    bracket = F.transform(items, lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
     plain = F.transform(F.split(s, ","), lambda x: F.trim(x))
     arr = F.when(s.startswith("[") & s.endswith("]"), bracket).otherwise(plain)
     empty = F.array().cast("array<string>")

@@ -229,8 +229,9 @@ def q_dedup_lineage(t: Tables):
     "SELECT n.id, n.model_id, n.model_id AS base_model FROM cat n JOIN dep d ON d.id = n.id WHERE d.depth = 0",
     ROOTS, DEPTH, recursive=True))
 def q_roots_filter(t: Tables):
-    d = depths(t)
-    return (nodes(t).join(d, "id").where(F.col("depth") == 0)
+    """Models without a known parent (depth 0): an anti join, no traversal."""
+    children = edges(t).select(F.col("dst").alias("id"))
+    return (nodes(t).join(children, "id", "left_anti")
             .select("id", "model_id", F.col("model_id").alias("base_model")))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinframe.functions.text import secret_flag
+from kinframe.functions.text import SECRET_PATTERNS, secret_flag
 from kinframe.operators import graph as g
 from kinframe.operators.sequence import running_sum
 from kinframe.plans import graph as pg
-from kinframe.plans.catalog import tags
+from kinframe.plans.catalog import TAGS_SQL, tags
 from kinframe.plans.registry import query
+from kinframe.plans.sqlfn import q
 from kinframe.sources import bindings as b
 from kinframe.sources import files as fs
 from kinframe.sources.tables import Tables
@@ -82,7 +83,7 @@ def q_sink_columnar(t: Tables):
 
 @query("sink_list_flattened", sql=b.with_views(
     "SELECT id, array_to_string(tags, ', ') AS tags FROM tags", "cat", "lin_rel",
-    ctes=(__import__("kinframe.plans.catalog", fromlist=["TAGS_SQL"]).TAGS_SQL,)))
+    ctes=(TAGS_SQL,)))
 def q_sink_list_flattened(t: Tables):
     return tags(t).select("id", F.array_join("tags", ", ").alias("tags"))
 
@@ -144,7 +145,7 @@ def q_assign_chunks(t: Tables):
 
 
 @query("chunk_coverage", sql=f"""SELECT c AS chunk_no, count(*) AS rows_in, count(*) FILTER (WHERE NOT s) AS rows_kept, count(*) FILTER (WHERE NOT s) = 0 AS empty_chunk FROM (
-  SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS c, coalesce(regexp_matches(text, {__import__('kinframe.plans.sqlfn', fromlist=['q']).q('|'.join(f'(?:{p})' for p in __import__('kinframe.functions.text', fromlist=['SECRET_PATTERNS']).SECRET_PATTERNS + [__import__('kinframe.functions.text', fromlist=['TOKEN_PATTERN']).TOKEN_PATTERN]))}), false) AS s FROM documents) x GROUP BY c""")
+  SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS c, coalesce(regexp_matches(text, {q('|'.join(f'(?:{p})' for p in SECRET_PATTERNS + [__import__('kinframe.functions.text', fromlist=['TOKEN_PATTERN']).TOKEN_PATTERN]))}), false) AS s FROM documents) x GROUP BY c""")
 def q_chunk_coverage(t: Tables):
     d = indexed(t.documents.select(F.col("doc_id").alias("id"), secret_flag("text").alias("s")), "id")
     return d.groupBy(F.floor(F.col("_pos") / CHUNK).alias("chunk_no")).agg(

@@ -132,7 +132,8 @@ def q_levenshtein_similarity(t: Tables):
     e = b.doc_edge(t)
     p = t.documents.select(F.col("doc_id").alias("src"), F.col("text").alias("a"))
     c = t.documents.select(F.col("doc_id").alias("dst"), F.col("text").alias("c"))
-    j = e.join(p, "src").join(c, "dst")
+    # the distance costs the product of the lengths: spread the pairs whatever the file layout
+    j = e.join(p, "src").join(c, "dst").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "dst")
     return j.select(F.col("src").alias("u"), F.col("dst").alias("v"),
                     r6(S.levenshtein_similarity(F.col("a"), F.col("c"))).alias("similarity"))
 
@@ -148,7 +149,8 @@ def q_cosine_pairs(t: Tables):
     e = b.emb_edge(t)
     p = t.embeddings.select(F.col("vec_id").alias("src"), F.col("embedding").alias("a"))
     c = t.embeddings.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("c"))
-    j = e.join(p, "src").join(c, "dst")
+    # the distance costs the product of the lengths: spread the pairs whatever the file layout
+    j = e.join(p, "src").join(c, "dst").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "dst")
     return j.select(F.col("src").alias("u"), F.col("dst").alias("v"),
                     r6(S.cosine_dense(F.col("a"), F.col("c"))).alias("cosine"))
 

@@ -96,6 +96,6 @@ def naive_ts(iso: str) -> str:
 def date_from_metadata(m: str, date_type: str = "created_at") -> str:
     t = f"trim({m})"
     obj = f"(CASE WHEN json_valid({t}) AND json_type({t}) = 'OBJECT' THEN {t} END)"
-    keyed = [naive_ts(f"json_extract_string({obj}, {q(chr(36) + chr(46) + k)})") for k in DATE_KEYS[date_type]]
+    keyed = [naive_ts(f"json_extract_string({obj}, {q('$.' + k)})") for k in DATE_KEYS[date_type]]
     found = naive_ts(f"nullif(regexp_extract({t}, {q(ISO_TS)}, 0), '')")
     return "coalesce(" + ", ".join(keyed + [found]) + ")"

@@ -160,7 +160,7 @@ def _langs_sql(x):
     inline = (f"list_filter(list_transform(string_split(regexp_replace({block}, '^\\[|\\]$', '', 'g'), ','), "
               f"lambda y: regexp_replace({strip_sql('y')}, '^[''\"]|[''\"]$', '', 'g')), lambda y: y <> '')")
     dashed = (f"list_transform(list_filter(string_split({block}, chr(10)), lambda y: starts_with({strip_sql('y')}, '-')), "
-              f"lambda y: {strip_sql(chr(114) + 'egexp_replace(y, ' + q(r'^\s*-\s*') + ', ' + q('') + ')')})")
+              f"lambda y: {strip_sql('regexp_replace(y, ' + q(r'^\s*-\s*') + ', ' + q('') + ')')})")
     return (f"CASE WHEN {x} IS NULL OR NOT regexp_matches({x}, {rx}) THEN [] "
             f"WHEN starts_with({block}, '[') THEN {inline} ELSE {dashed} END")
 

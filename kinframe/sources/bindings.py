@@ -56,25 +56,22 @@ def cat_traits_array(t: Tables) -> DataFrame:
 
 def lin_rel(t: Tables) -> DataFrame:
     """Raw typed parent relations (dst, src, rel), including unknown parents."""
-    p = t.part.select("p_partkey")
     k = F.col("p_partkey")
     parent8 = F.floor(k / 8).cast("bigint")
-    parent16 = F.floor(k / 16).cast("bigint")
-    main = p.where(k >= 8).select(
-        k.alias("dst"), parent8.alias("src"),
-        F.when(k % 4 == 0, "quantized").when(k % 4 == 1, "adapter").otherwise("finetune").alias("rel"))
-    merge2 = p.where((k >= 16) & (k % 10 == 3)).select(k.alias("dst"), parent16.alias("src"),
-                                                        F.lit("merge").alias("rel"))
-    generic = p.where((k >= 8) & (k % 9 == 0)).select(k.alias("dst"), parent8.alias("src"),
-                                                       F.lit("generic").alias("rel"))
-    merge1 = p.where((k >= 8) & (k % 25 == 2)).select(k.alias("dst"), parent8.alias("src"),
-                                                       F.lit("merge").alias("rel"))
-    unknown = p.where(k % 50 == 7).select(k.alias("dst"), (F.lit(1000000) + k).alias("src"),
-                                          F.lit("finetune").alias("rel"))
-    generic2 = p.where((k >= 8) & (k % 40 == 6)).select(k.alias("dst"), (k - 5).alias("src"),
-                                                         F.lit("generic").alias("rel"))
-    return (main.unionByName(merge2).unionByName(generic).unionByName(merge1)
-            .unionByName(unknown).unionByName(generic2))
+
+    def row(when, src, rel):
+        return F.when(when, F.struct(src.cast("bigint").alias("src"), rel.alias("rel")))
+
+    kind = F.when(k % 4 == 0, "quantized").when(k % 4 == 1, "adapter").otherwise("finetune")
+    # one scan: every part lists its relations
+    rels = F.array_compact(F.array(
+        row(k >= 8, parent8, kind),
+        row((k >= 16) & (k % 10 == 3), F.floor(k / 16), F.lit("merge")),
+        row((k >= 8) & (k % 9 == 0), parent8, F.lit("generic")),
+        row((k >= 8) & (k % 25 == 2), parent8, F.lit("merge")),
+        row(k % 50 == 7, F.lit(1000000) + k, F.lit("finetune")),
+        row((k >= 8) & (k % 40 == 6), k - 5, F.lit("generic"))))
+    return t.part.select(k.alias("dst"), F.explode(rels).alias("r")).select("dst", "r.src", "r.rel")
 
 
 def evt_edge(t: Tables) -> DataFrame:
