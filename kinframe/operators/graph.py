@@ -144,9 +144,10 @@ def descendant_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "id", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
 
-def single_parent_tree(edges: DataFrame) -> DataFrame:
-    """child → one parent: the last listed parent (highest parent position) wins."""
-    return edges.groupBy(F.col("dst").alias("id")).agg(F.max("src").alias("parent"))
+def single_parent_tree(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """child → one parent: of the known parents (``dst, src, pos``) the last listed one wins."""
+    known = relations.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    return known.groupBy(F.col("dst").alias("id")).agg(F.max_by("src", "pos").alias("parent"))
 
 
 def layout_positions(depths: DataFrame, desc_counts: DataFrame) -> DataFrame:

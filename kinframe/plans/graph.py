@@ -154,9 +154,15 @@ def q_descendant_counts(t: Tables):
     return g.descendant_counts(nodes(t), edges(t))
 
 
-@query("single_parent_tree", sql=gsql("SELECT dst AS id, max(src) AS parent FROM edges GROUP BY dst"))
+@query("single_parent_tree", sql="""WITH listed AS (
+  SELECT p_partkey AS dst, CAST(floor(p_partkey / 8) AS BIGINT) AS src, 1 AS pos FROM part WHERE p_partkey >= 8
+  UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 16) AS BIGINT), 2 FROM part WHERE p_partkey >= 16 AND p_partkey % 10 = 3
+  UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 8) AS BIGINT), 3 FROM part WHERE p_partkey >= 8 AND (p_partkey % 9 = 0 OR p_partkey % 25 = 2)
+  UNION ALL SELECT p_partkey, 1000000 + p_partkey, 4 FROM part WHERE p_partkey % 50 = 7
+  UNION ALL SELECT p_partkey, p_partkey - 5, 5 FROM part WHERE p_partkey >= 8 AND p_partkey % 40 = 6)
+SELECT dst AS id, arg_max(src, pos) AS parent FROM listed WHERE src IN (SELECT p_partkey FROM part) GROUP BY dst""")
 def q_single_parent_tree(t: Tables):
-    return g.single_parent_tree(edges(t))
+    return g.single_parent_tree(b.lin_rel_listed(t), nodes(t))
 
 
 @query("layout_positions", sql=gsql(

@@ -56,6 +56,11 @@ def cat_traits_array(t: Tables) -> DataFrame:
 
 def lin_rel(t: Tables) -> DataFrame:
     """Raw typed parent relations (dst, src, rel), including unknown parents."""
+    return lin_rel_listed(t).drop("pos")
+
+
+def lin_rel_listed(t: Tables) -> DataFrame:
+    """The relations with their position in the part's list of parents."""
     k = F.col("p_partkey")
     parent8 = F.floor(k / 8).cast("bigint")
 
@@ -64,14 +69,15 @@ def lin_rel(t: Tables) -> DataFrame:
 
     kind = F.when(k % 4 == 0, "quantized").when(k % 4 == 1, "adapter").otherwise("finetune")
     # one scan: every part lists its relations
-    rels = F.array_compact(F.array(
+    rels = F.array(
         row(k >= 8, parent8, kind),
         row((k >= 16) & (k % 10 == 3), F.floor(k / 16), F.lit("merge")),
         row((k >= 8) & (k % 9 == 0), parent8, F.lit("generic")),
         row((k >= 8) & (k % 25 == 2), parent8, F.lit("merge")),
         row(k % 50 == 7, F.lit(1000000) + k, F.lit("finetune")),
-        row((k >= 8) & (k % 40 == 6), k - 5, F.lit("generic"))))
-    return t.part.select(k.alias("dst"), F.explode(rels).alias("r")).select("dst", "r.src", "r.rel")
+        row((k >= 8) & (k % 40 == 6), k - 5, F.lit("generic")))
+    listed = t.part.select(k.alias("dst"), F.posexplode(rels).alias("pos", "r"))
+    return listed.where("r IS NOT NULL").select("dst", "r.src", "r.rel", "pos")
 
 
 def evt_edge(t: Tables) -> DataFrame:
