@@ -166,6 +166,8 @@ def _dealt_anchors(batches):
         kind[settled] = _SETTLED
         aside = settled | (many & ~new_gram)
         route = np.where(aside, _mixed(grams + contexts * np.uint64(_BASE)), grams)
+        # settled anchors meet nobody: they are dealt by their place
+        route[settled] = _mixed(docs[settled].view(np.uint64) * np.uint64(_BASE) + at[settled].astype(np.uint64))
         keep = settled | new_context
         yield from _anchor_rows(*(x[keep] for x in (route.view(np.int64), contexts.view(np.int64), docs, at, room, kind)))
 
