@@ -103,7 +103,8 @@ def links(nodes: DataFrame) -> DataFrame:
     differ = F.col("u").bitwiseXOR(F.col("v"))
     of_chain = lambda n: F.bit_count(differ.bitwiseAND(F.get(
         F.array(*[long(_chain(i, n)) for i in ring]), F.col("i"))))
-    return (keyed(exact, "u").join(keyed(near, "v"), ["i", "key"])
+    # the planner takes the exploded sides for as small as the nodes: without the hint it may broadcast them
+    return (keyed(exact, "u").join(keyed(near, "v").hint("merge"), ["i", "key"])
             .filter((F.col("u") < F.col("v")) & (of_chain(3) <= 2) & (of_chain(4) <= 3) & (F.bit_count(differ) <= 4))
             .select("u", "v").distinct())
 
