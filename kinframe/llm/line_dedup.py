@@ -5,9 +5,11 @@ blocks deleted from the later document. Documents are ordered by (id, hash of th
 
 Pairs: every line of ``min_line`` characters or more is owned by the first document that has it, and a
 later document with the line is paired with the owner, so pairs grow with the lines and not with the
-square of a group of copies. A pair counts if one of the shared lines is rare (in at most ``rare``
-documents), or they share three or more lines, or all that the later document has: so copies are found
-however large their group, and a lone boilerplate line pairs nothing.
+square of a group of copies. A pair counts if the lines it shares are a passage by their length
+(``PASSAGE * min_line`` characters together, so any three lines, or one long line), or one of them is
+rare (in at most the share ``rare`` of the documents, or in two), or they are all that the later document
+has: so copies and passages are found however large their group and the table, and a lone short line that
+is common pairs nothing.
 
 Alignment: lines that occur once in each of two ranges are matched along their longest increasing
 subsequence, ranges between matches and common ends likewise. Consecutive matches are blocks; a block
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 
 from kinframe.llm.common import WHITE, small_batches, stored, whole_text
 
+#: Fixed value: shared lines with the characters of so many lines of the least length are a passage.
+PASSAGE = 3
+
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence of pairs (ordered by the first number) whose second numbers increase."""
@@ -98,29 +103,33 @@ def _aligned(batches):
                                          names=["id", "digest", "cut"])
 
 
-def deletions(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: str = "doc_id",
+def deletions(docs: DataFrame, min_line: int = 20, rare: float = 0.2, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """``id, digest, cut``: line positions (from 0, distinct) to delete from each document that loses any."""
     small_batches(docs.sparkSession)
     text = whole_text(text_col)
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.split(text, "\n").alias("l"))
-    substance = lambda x: F.length(F.trim(F.translate(x, WHITE[1:], "     "))) >= min_line
+    substance = lambda x: F.length(F.trim(F.translate(x, WHITE[1:], "     ")))
     lines = stored(
         split.select("id", "digest", F.transform("l", lambda x: F.xxhash64(x)).alias("lines"),
-                     F.transform("l", substance).alias("long"))
-        .groupBy("id", "digest").agg(F.first("lines").alias("lines"), F.first("long").alias("long")), "lines")
+                     F.transform("l", substance).alias("size"))
+        .groupBy("id", "digest").agg(F.first("lines").alias("lines"), F.first("size").alias("size")), "lines")
+    few = max(2, rare * lines.count())
 
-    long_lines = F.array_distinct(F.filter("lines", lambda _, k: F.get("long", k)))
+    long_lines = F.array_distinct(F.filter(F.arrays_zip("lines", "size"), lambda x: x["size"] >= min_line))
     met = lines.select("id", "digest", long_lines.alias("own")).select(
-        "id", "digest", F.size("own").alias("n_own"), F.explode("own").alias("line"))
+        "id", "digest", F.size("own").alias("n_own"), F.explode("own").alias("own")).select(
+        "id", "digest", "n_own", F.col("own.lines").alias("line"), F.col("own.size").alias("chars"))
     owners = met.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "digest")).alias("owner"))
     shared = met.join(owners.filter("docs > 1"), "line").filter(
         ~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("digest") == F.col("owner.digest"))))
     pairs = (shared.groupBy("id", "digest", "owner").agg(
-        F.count(F.lit(1)).alias("n"), F.min("docs").alias("rarest"), F.max("n_own").alias("n_own"))
-        .filter((F.col("rarest") <= rare) | (F.col("n") >= 3) | (F.col("n") == F.col("n_own"))))
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("docs").alias("rarest"),
+        F.max("n_own").alias("n_own"))
+        .filter((F.col("chars") >= PASSAGE * min_line) | (F.col("rarest") <= few) | (F.col("n") == F.col("n_own"))))
 
-    later = lines.select(F.col("id").alias("i"), F.col("digest").alias("d"), F.col("lines").alias("later"), "long")
+    later = lines.select(F.col("id").alias("i"), F.col("digest").alias("d"), F.col("lines").alias("later"),
+                         F.transform("size", lambda x: x >= min_line).alias("long"))
     earlier = lines.select(F.col("id").alias("i2"), F.col("digest").alias("d2"), F.col("lines").alias("earlier"))
     both = (pairs.select("id", "digest", F.col("owner.id").alias("owner_id"), F.col("owner.digest").alias("owner_digest"))
             .join(later, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")))
@@ -132,7 +141,7 @@ def deletions(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: str
         F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 
-def _with_cuts(docs: DataFrame, id_col: str, text_col: str, min_line: int, rare: int) -> DataFrame:
+def _with_cuts(docs: DataFrame, id_col: str, text_col: str, min_line: int, rare: float) -> DataFrame:
     """``row`` (a struct of the row's columns), ``cut`` (null: nothing) and ``kept``, the text that is left."""
     cut = deletions(docs, min_line, rare, id_col, text_col)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -145,7 +154,7 @@ def _with_cuts(docs: DataFrame, id_col: str, text_col: str, min_line: int, rare:
             F.array_join(F.transform(rest, lambda k: F.get("lines", k)), "\n")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: str = "doc_id",
+def dedup_lines(docs: DataFrame, min_line: int = 20, rare: float = 0.2, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """``id_col, n_lines, n_removed, removed_lines, kept_text`` per row."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -156,7 +165,7 @@ def dedup_lines(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: st
         F.array_sort(cut).alias("removed_lines"), F.col("kept").alias("kept_text"))
 
 
-def remove_lines(docs: DataFrame, min_line: int = 20, rare: int = 100, id_col: str = "doc_id",
+def remove_lines(docs: DataFrame, min_line: int = 20, rare: float = 0.2, id_col: str = "doc_id",
                  text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The rows without the deleted lines, in the columns of ``docs``; rows that lose their last word go, and
     ``length_col``, where the table has it, follows the text."""

@@ -93,3 +93,18 @@ def test_against_brute_force(session, odd_docs, odd_rows, no_docs):
 def test_repeated_rows_share_a_result(odd_docs, odd_rows):
     got = [r for r in ld.dedup_lines(odd_docs.filter("doc_id IN (11, 12, 13)")).collect() if r.doc_id == 13]
     assert len(got) == sum(i == 13 for i, _, _ in odd_rows) and len({str(r) for r in got}) <= 2
+
+
+def test_rarity_is_a_share_and_passages_always_go(session):
+    """The same corpus at two sizes: what goes does not depend on the number of documents."""
+    rng = random.Random(8)
+    passage = "this line is long enough to be a passage by itself, wherever it occurs in the table"
+    shared, common = "a shared line of few words", "a common line of few words"
+    for n in (150, 1500):
+        texts = ["\n".join([prose(rng, 9, 100) + f" {k}", *[shared] * (k % 10 == 3), *[common] * (k % 10 < 5),
+                            *[passage] * (k % 10 > 2), prose(rng, 9, 100) + f" {k}"]) for k in range(n)]
+        got = ld.dedup_lines(session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        left = {line: sum(line in r.kept_text.split("\n") for r in got) for line in (passage, shared, common)}
+        # the passage is in 70 % and the shared line in 10 % of the documents; where both are, one pair cuts both
+        assert left[passage] == 1 and left[shared] == 1, n
+        assert left[common] >= n // 10 * 3, n  # in half of the documents, and alone in three of ten
