@@ -13,8 +13,11 @@ is common pairs nothing.
 
 Alignment: lines that occur once in each of two ranges are matched along their longest increasing
 subsequence, ranges between matches and common ends likewise. Consecutive matches are blocks; a block
-with at least one line of ``min_line`` characters is deleted from the later document. The first document
-that has a line never loses it, so no line is deleted everywhere.
+with at least one line of ``min_line`` characters is deleted from the later document. What the alignment
+leaves although the earlier document has it (a passage that it holds twice, or in another order) is found
+as the longest blocks of the earlier document that end at each line of the later one, and deleted likewise:
+so a pair leaves no long line that both have, and no further partner is needed. The first document that
+has a line never loses it, so no line is deleted everywhere.
 
 Only line hashes are exchanged for this; texts move once, to be cut.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,8 +84,64 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_ends(a: list[int | None], b: list[int]) -> list[int]:
+    """Length of the longest block of ``a`` that ends at each position of ``b``, by the suffix automaton of ``a``."""
+    step: list[dict] = [{}]
+    link, length, last = [-1], [0], 0
+    for x in a:
+        new, p = len(step), last
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[q] > length[p] + 1:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                link[q] = copy
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                q = copy
+            link[new] = q
+        last = new
+    out, at, n = [], 0, 0
+    for x in b:
+        while at and x not in step[at]:
+            at = link[at]
+            n = length[at]
+        at, n = (step[at][x], n + 1) if x in step[at] else (0, 0)
+        out.append(n)
+    return out
+
+
+def _moved(earlier: list[int], later: list[int], long_enough: list[bool], done: list[int]) -> list[int]:
+    """Positions in ``later`` of blocks of ``earlier`` in any place with a long line that is not in ``done``."""
+    have, cut = set(earlier), set(done)
+    left = [e and k not in cut and later[k] in have for k, e in enumerate(long_enough)]
+    if not any(left):
+        return []
+    also = set(later)
+    ends = longest_ends([x if x in also else None for x in earlier], later)
+    before = [0, *accumulate(left)]
+    out: list[int] = []
+    upto = 0
+    for j, n in enumerate(ends):
+        whole = j + 1 == len(ends) or ends[j + 1] != n + 1  # else the next position's block holds this one
+        if whole and before[j + 1] > before[j + 1 - n]:
+            out += range(max(upto, j + 1 - n), j + 1)  # starts never go back
+            upto = j + 1
+    return out
+
+
 def common_blocks(earlier: list[int], later: list[int], long_enough: list[bool]) -> list[int]:
-    """Positions in ``later`` of aligned blocks with at least one line that is long enough."""
+    """Positions in ``later`` of common blocks with at least one line that is long enough: aligned ones first, then
+    what the alignment leaves."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -92,7 +152,7 @@ def common_blocks(earlier: list[int], later: list[int], long_enough: list[bool])
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    return out + _moved(earlier, later, long_enough, out)
 
 
 def _aligned(batches):

@@ -108,3 +108,33 @@ def test_rarity_is_a_share_and_passages_always_go(session):
         # the passage is in 70 % and the shared line in 10 % of the documents; where both are, one pair cuts both
         assert left[passage] == 1 and left[shared] == 1, n
         assert left[common] >= n // 10 * 3, n  # in half of the documents, and alone in three of ten
+
+
+def test_blocks_that_alignment_leaves():
+    # the owner holds the passage twice, and no other line is common; a block in another order
+    assert sorted(ld.common_blocks([1, 8, 9, 2, 8, 9, 3], [5, 8, 9, 6], [True] * 4)) == [1, 2]
+    assert sorted(set(ld.common_blocks([1, 2, 3, 4, 5], [4, 5, 1, 2, 3], [True] * 5))) == [0, 1, 2, 3, 4]
+    # short lines go with a long neighbour of the same block only
+    assert sorted(set(ld.common_blocks([1, 7, 2, 3], [2, 3, 9, 7, 9, 1, 7], [True, True, True, False, True, True, False]))) == [0, 1, 5, 6]
+    rng = random.Random(3)
+    for _ in range(500):
+        a = [rng.randrange(9) for _ in range(rng.randrange(20))]
+        b = [rng.randrange(9) for _ in range(rng.randrange(20))]
+        ends = [max(n for n in range(j + 2) if n == 0 or any(a[i:i + n] == b[j + 1 - n:j + 1] for i in range(len(a))))
+                for j in range(len(b))]
+        assert ld.longest_ends(a, b) == ends
+        is_long = [x > 3 for x in b]
+        got = set(ld.common_blocks(a, b, is_long))
+        assert {j for j, x in enumerate(b) if x > 3 and x in a} == {j for j in got if is_long[j]}
+        held = [(j, n) for j, n in enumerate(ends) if any(is_long[j + 1 - n:j + 1])]
+        assert all(any(j - n < k <= j for j, n in held) for k in got)
+
+
+def test_no_partner_is_missed(session):
+    """What the first document has twice or in another order goes from all others."""
+    rng = random.Random(9)
+    p, q = [prose(rng, 9, 100) + f" {k}" for k in (1, 2)]
+    own = [prose(rng, 9, 100) + f" {k}" for k in range(10, 40)]
+    texts = ["\n".join([own[0], p, own[1], p, own[2], q])] + ["\n".join([q, own[k], p, own[k + 10]]) for k in range(3, 9)]
+    got = ld.dedup_lines(session.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == {0: [], **{k: [0, 2] for k in range(1, 7)}}
