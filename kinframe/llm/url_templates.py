@@ -2,10 +2,10 @@
 
 Per host the paths form a tree of segments. Segments of a variable shape (numbers, hexadecimal ids) are
 wildcards from the start, which leaves few distinct paths per host. Level by level, a child becomes part
-of the wildcard branch ``*`` if its parent has many children and it is rare among them, or if its
-labelled share of bad pages does not differ significantly (two-proportion test) from that of its
-siblings. The templates that remain are judged by their share of bad pages, smoothed towards the host's
-share, which is smoothed towards the share of all pages; bad shares above ``threshold`` are blocked.
+of the wildcard branch ``*`` if its labelled share of bad pages does not differ significantly
+(two-proportion test) from that of its siblings, however rare it is among them. The templates that remain
+are judged by their share of bad pages, smoothed towards the host's share, which is smoothed towards the
+share of all pages; bad shares above ``threshold`` are blocked.
 
 Only (host, path) counts are grouped, with partial sums before each shuffle, so a host with a third of
 all pages is no hot group.
@@ -58,24 +58,23 @@ def _shapes(path: Column, max_depth: int) -> Column:
     return F.when(F.size(parts) > max_depth, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)
 
 
-def _decided(tree: DataFrame, many: int, rare: float, z: float) -> DataFrame:
+def _decided(tree: DataFrame, z: float) -> DataFrame:
     """``host, template, child, token``: what each child of each branch becomes."""
-    child = tree.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    child = tree.groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("labelled", "bad")])
     whole = child.groupBy("host", "template").agg(
-        F.count(F.lit(1)).alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
+        F.count(F.lit(1)).alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")])
     rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
     share = F.col("all_bad") / F.col("all_labelled")
     error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / rest))
     differs = F.coalesce((F.col("labelled") > 0) & (rest > 0) & (error > 0)
                          & (F.abs(F.col("bad") / F.col("labelled") - rest_bad / rest) > z * error), F.lit(False))
-    variable = (F.col("children") > many) & (F.col("n") < rare * F.col("all_n"))
     token = (F.when(F.col("child").rlike(r"^(\{n\}|\{x\}|\*\*)$") | (F.col("children") == 1), F.col("child"))
-             .when(variable | ~differs, "*").otherwise(F.col("child")))
+             .when(~differs, "*").otherwise(F.col("child")))
     return child.join(whole, ["host", "template"]).select("host", "template", "child", token.alias("token"))
 
 
-def path_templates(pages: DataFrame, labels: DataFrame, max_depth: int = 12, many: int = 20, rare: float = 0.01,
-                   z: float = 2.58, strength: float = 10.0) -> DataFrame:
+def path_templates(pages: DataFrame, labels: DataFrame, max_depth: int = 12, z: float = 2.58,
+                   strength: float = 10.0) -> DataFrame:
     """``host, shape, template, labelled, bad, bad_share`` for every distinct (host, shaped path).
 
     ``pages``: ``page_id, host, path``; ``labels``: ``page_id, bad`` (0 or 1).
@@ -83,13 +82,12 @@ def path_templates(pages: DataFrame, labels: DataFrame, max_depth: int = 12, man
     bad = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
     shaped = pages.select("page_id", "host", _shapes(F.col("path"), max_depth).alias("shape"))
     counted = shaped.join(bad, "page_id", "left").groupBy("host", "shape").agg(
-        F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+        F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = stored(counted.withColumn("template", F.lit("")), "paths")
     depth = tree.agg(F.max(F.size("shape"))).first()[0] or 0
     for level in range(depth):
         here = tree.withColumn("child", F.get("shape", F.lit(level)))
-        token = _decided(here.filter("child IS NOT NULL"), many, rare, z)
+        token = _decided(here.filter("child IS NOT NULL"), z)
         here = here.join(token, ["host", "template", "child"], "left")
         tree = stored(here.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(
             F.concat("template", F.lit("/"), "token"))).drop("child", "token"), "paths")

@@ -87,3 +87,15 @@ def test_empty_tables_and_repeats(session):
     rows = [(1, "http://a.org/x")] * 3 + [(None, None)]
     got = ut.judge(session.createDataFrame(rows, "page_id long, url string"), marks).collect()
     assert len(got) == 4 and {r.verdict for r in got} == {"allow"}
+
+
+def test_a_rare_branch_that_differs_is_kept(session):
+    """All pages of one of 30 children, with 0.7 % of the host's pages, are bad."""
+    urls = [f"http://many.org/c{k % 29}/{k}" for k in range(2900)] + [f"http://many.org/evil/{k}" for k in range(20)]
+    pages = list(enumerate(urls))
+    table = session.createDataFrame(pages, "page_id long, url string")
+    marks = session.createDataFrame([(p, int("/evil/" in u or p % 20 == 0)) for p, u in pages], "page_id long, bad int")
+    got = {r.page_id: r for r in ut.judge(table, marks).collect()}
+    assert len(got) == len(pages)
+    assert {(got[p].template, got[p].verdict) for p, u in pages if "/evil/" in u} == {("/evil/{n}", "block")}
+    assert {(got[p].template, got[p].verdict) for p, u in pages if "/evil/" not in u} == {("/*/{n}", "allow")}
