@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import chat, decontamination, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts, url_templates
+from kinframe.llm import (chat, decontamination, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts,
+                          url_templates, whitening)
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -109,3 +110,10 @@ def op7(t: Tables) -> DataFrame:
 def op1(t: Tables) -> DataFrame:
     """Every turn of every conversation, repaired and rendered."""
     return chat.format_turns(t.conversations)
+
+
+@query("op11_embedding_whitening")
+def op11(t: Tables) -> DataFrame:
+    """Every usable vector on the 8 leading components, whitened."""
+    white = whitening.whiten(t.embeddings, 8)
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
