@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import (chat, decontamination, line_dedup, packing, quality, sharding, simhash, suffix_dedup, token_counts,
-                          url_templates, whitening)
+from kinframe.llm import (chat, decontamination, lexical_search, line_dedup, packing, quality, sharding, simhash, suffix_dedup,
+                          token_counts, url_templates, whitening)
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -117,3 +117,29 @@ def op11(t: Tables) -> DataFrame:
     """Every usable vector on the 8 leading components, whitened."""
     white = whitening.whiten(t.embeddings, 8)
     return white.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d),
+b AS (SELECT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY item_id, term),
+o AS (SELECT rid, unnest(ts) AS term FROM d),
+p AS (SELECT rid, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+m AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(ts) * n_docs) // n_terms) AS m FROM d, s WHERE len(ts) > 0),
+r AS (SELECT item_id, doc_id, rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, doc_id, rid)
+SELECT item_id, CAST(rk AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rk FROM r WHERE score > 0) WHERE rk <= 20
+"""
+
+
+@query("op13_lexical_search", SEARCH_SQL)
+def op13(t: Tables) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical_search.search(t.documents, t.benchmark, 20)
