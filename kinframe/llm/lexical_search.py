@@ -3,10 +3,12 @@
 Documents become vectors over the queries' terms (stored once). A task turns its documents into shards of a bounded
 number of postings; in a shard every posting list is cut into blocks of similar documents (geometric blocking: the
 documents of a list join the nearest of some of them, by random projections of their impacts), and each block keeps
-the coordinatewise maximum of its documents' impacts. Queries go through their terms from the weightiest: a block is
-skipped only if the product of query and summary, which no document of the block can exceed, is below the query's
-20th best score so far; the documents of all other blocks are scored in full. What crosses tasks is ``k`` rows per
-item and task. Frequent terms are spread over all shards, so no posting list belongs to one task.
+the coordinatewise maximum of its documents' impacts. Queries go through their terms from the weightiest. When a term's
+turn comes, a document that holds a weightier term of the query has been scored or has been ruled out, so the bound of
+all others is the product of the query's remaining terms and the summary. A block is skipped only if that bound is below
+the query's ``k``-th best score so far (the same for a whole list, whose summary is the shard's); the documents of all
+other blocks are scored in full. What crosses tasks is ``k`` rows per item and task. Frequent terms are spread over all
+shards, so no posting list belongs to one task.
 
 Queries are taken in blocks of a bounded number of bytes, each against all documents; a block's terms are broadcast.
 """
@@ -56,21 +58,33 @@ def impacts(weights: np.ndarray, tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 @dataclasses.dataclass(frozen=True)
 class Queries:
-    """Queries over term numbers: query ``q`` has ``terms[starts[q]:starts[q + 1]]``, each ``times`` often."""
+    """Queries over term numbers that fall in weight: query ``q`` has ``terms[starts[q]:starts[q + 1]]``, ascending,
+    each ``times`` often."""
 
     starts: np.ndarray
     terms: np.ndarray
     times: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
     def of(self, q: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.starts[q], self.starts[q + 1])
         return self.terms[at], self.times[at]
 
+    def by_term(self, n_terms: int) -> list[list[tuple[int, int]]]:
+        """For every term the queries with it, and its place among a query's terms."""
+        out = [[] for _ in range(n_terms)]
+        for q in range(len(self)):
+            for i, t in enumerate(self.of(q)[0]):
+                out[t].append((q, i))
+        return out
+
 
 @dataclasses.dataclass(frozen=True)
 class Blocks:
-    """A posting list in blocks: block ``b`` holds ``docs[starts[b]:starts[b + 1]]``; ``summary[t, b]`` is the
-    greatest impact that term ``t`` has in a document of the block."""
+    """A posting list in blocks: block ``b`` holds ``docs[starts[b]:starts[b + 1]]``; ``summary[t - term, b]`` is
+    the greatest impact that term ``t``, the list's own or a lighter one, has in a document of the block."""
 
     docs: np.ndarray
     starts: np.ndarray
@@ -93,6 +107,8 @@ class Shard:
         order = np.argsort(terms, kind="stable")
         self.lists = row[order]
         self.list_starts = np.searchsorted(terms[order], np.arange(n_terms + 1))
+        self.real, self.summary = impact.astype(float), np.zeros(n_terms)
+        np.maximum.at(self.summary, terms, self.real)
         signs = np.random.default_rng(5).choice(np.array([-1.0, 1.0], np.float32), (SKETCH, n_terms))
         sketch = np.stack([np.bincount(row, impact * s[terms], len(starts) - 1) for s in signs], 1).astype(np.float32)
         self.sketch = sketch / np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-30)
@@ -110,15 +126,18 @@ class Shard:
             starts = np.append(np.flatnonzero(np.diff(nearest[order], prepend=-1)), len(docs))
         else:
             starts = np.array([0, len(docs)])
-        group = max(1, SUMMARY_CELLS // self.n_terms)
+        width = self.n_terms - term
+        group = max(1, SUMMARY_CELLS // width)
         for at in range(0, len(starts) - 1, group):
             ends = starts[at:at + group + 1]
             part = docs[ends[0]:ends[-1]]
             lo, hi = self.starts[part], self.starts[part + 1]
             places = _ranges(lo, hi)
             block = np.repeat(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), hi - lo)
-            summary = np.zeros((self.n_terms, len(ends) - 1))
-            np.maximum.at(summary.reshape(-1), self.terms[places] * (len(ends) - 1) + block, self.impact[places])
+            terms = self.terms[places] - term
+            rest = terms >= 0
+            summary = np.zeros((width, len(ends) - 1))
+            np.maximum.at(summary.reshape(-1), terms[rest] * (len(ends) - 1) + block[rest], self.real[places[rest]])
             yield Blocks(part, ends - ends[0], summary)
 
     def scores(self, docs: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -128,36 +147,38 @@ class Shard:
         return np.add.reduceat(self.impact[places] * query[self.terms[places]], np.cumsum(hi - lo) - (hi - lo))
 
 
-def search_shard(shard: Shard, rank: np.ndarray, queries: Queries, by_term: list, order: np.ndarray, floor: np.ndarray,
-                 k: int, tally: dict | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the scores and documents of its ``k`` best, equal scores by ``rank``. ``by_term[t]`` are the queries
-    with term ``t``, ``order`` the terms from the weightiest, ``floor`` a score per query that the ``k``-th best
-    of all documents has at least. ``tally`` counts blocks met and skipped, and documents scored."""
-    n_queries, n_docs = len(queries.starts) - 1, len(shard.starts) - 1
-    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * n_queries
-    floor, seen, query = floor.copy(), np.zeros((n_queries, n_docs), bool), np.zeros(shard.n_terms, np.int64)
-    for term in order:
+def search_shard(shard: Shard, rank: np.ndarray, queries: Queries, by_term: list, floor: np.ndarray, k: int,
+                 tally: dict | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the scores and documents of its ``k`` best, equal scores by ``rank``. ``floor`` is a score per query
+    that the ``k``-th best of all documents has at least. ``tally`` counts lists and blocks met and skipped, and
+    documents scored."""
+    n_docs, margin = len(shard.starts) - 1, 1 + 1e-9  # the margin covers the rounding of doubles
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+    floor, seen, query = floor.copy(), np.zeros((len(queries), n_docs), bool), np.zeros(shard.n_terms, np.int64)
+    tally = {} if tally is None else tally
+    bounds = [np.cumsum((queries.of(q)[1] * shard.summary[queries.of(q)[0]])[::-1])[::-1] for q in range(len(queries))]
+    for term in range(shard.n_terms):
         if shard.list_starts[term] == shard.list_starts[term + 1]:
             continue
-        for blocks in shard.blocks(term):
+        asked = [(q, i) for q, i in by_term[term] if bounds[q][i] * margin >= floor[q]]
+        tally["lists"] = tally.get("lists", 0) + len(by_term[term])
+        tally["lists skipped"] = tally.get("lists skipped", 0) + len(by_term[term]) - len(asked)
+        for blocks in shard.blocks(term) if asked else ():
             sizes = np.diff(blocks.starts)
-            for q in by_term[term]:
+            for q, i in asked:
                 terms, times = queries.of(q)
-                bound = times @ blocks.summary[terms]
-                open_blocks = bound * (1 + 1e-9) >= floor[q]  # the margin covers the rounding of doubles
-                if tally is not None:
-                    tally["blocks"] += len(sizes)
-                    tally["skipped"] += int((~open_blocks).sum())
+                open_blocks = times[i:] @ blocks.summary[terms[i:] - term] * margin >= floor[q]
                 docs = blocks.docs[np.repeat(open_blocks, sizes)]
                 docs = docs[~seen[q, docs]]
+                tally["blocks"] = tally.get("blocks", 0) + len(sizes)
+                tally["skipped"] = tally.get("skipped", 0) + int((~open_blocks).sum())
+                tally["scored"] = tally.get("scored", 0) + len(docs)
                 if not len(docs):
                     continue
                 seen[q, docs] = True
                 query[terms] = times
                 score = shard.scores(docs, query)
                 query[terms] = 0
-                if tally is not None:
-                    tally["scored"] += len(docs)
                 fit = (score >= floor[q]) & (score > 0)
                 if not fit.any():
                     continue
@@ -208,7 +229,10 @@ def _search_block(vectors: DataFrame, rows: list, vocabulary: list[bytes], item_
     n_docs, n_terms = totals[0], totals[1] or 0
     frequency = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # a row per query term
     weights = np.array([weight(n_docs, frequency.get(t, 0)) for t in range(len(vocabulary))], np.int64)
-    number = {t: i for i, t in enumerate(vocabulary)}
+    order = np.argsort(-weights, kind="stable")  # from here on terms are numbered from the weightiest
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    weights, number = weights[order], {t: int(place[i]) for i, t in enumerate(vocabulary)}
     items, lists = [], {}
     for r in rows:
         lists.setdefault(r["item"], []).append((number[r["term"].encode("utf-8", "surrogatepass")], r["times"]))
@@ -217,24 +241,21 @@ def _search_block(vectors: DataFrame, rows: list, vocabulary: list[bytes], item_
     queries = Queries(np.cumsum([0, *(len(lists[i]) for i in items)]), np.array([t for t, _ in flat], np.int64),
                       np.array([c for _, c in flat], np.int64))
     kind, id_type = to_arrow_type(item_type), vectors.schema["id"].dataType
-    sent = spark.sparkContext.broadcast((items, queries, weights))
+    sent = spark.sparkContext.broadcast((items, queries, weights, place))
 
     def run(batches):
-        items, queries, weights = sent.value
-        by_term = [[] for _ in weights]
-        for q in range(len(items)):
-            for t in queries.of(q)[0]:
-                by_term[t].append(q)
-        order = [t for t in np.argsort(-weights, kind="stable") if by_term[t] and weights[t] > 0]
+        items, queries, weights, place = sent.value
+        by_term = queries.by_term(len(weights))
         best = [[] for _ in items]  # (score, id) from the best
         for ids, n, starts, terms, tfs in _shards(batches):
             m = 100 - 25 + (25 * n * n_docs) // n_terms
+            terms = place[terms]
             impact = impacts(weights[terms], tfs, np.repeat(m, np.diff(starts)))
             rank = np.empty(len(ids), np.int64)
             rank[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
             floor = np.array([b[-1][0] if len(b) == k else 0 for b in best], np.int64)
             shard = Shard(starts, terms, impact, len(weights))
-            for q, (score, docs) in enumerate(search_shard(shard, rank, queries, by_term, order, floor, k)):
+            for q, (score, docs) in enumerate(search_shard(shard, rank, queries, by_term, floor, k)):
                 if len(docs):
                     found = zip(score.tolist(), ids.take(pa.array(docs)).to_pylist())
                     best[q] = sorted([*best[q], *found], key=lambda x: (-x[0], x[1] is None, x[1]))[:k]
