@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm import (chat, decontamination, lexical_search, line_dedup, packing, quality, sharding, simhash, suffix_dedup,
-                          token_counts, url_templates, whitening)
+from kinframe.llm import (chat, decontamination, lexical_search, line_dedup, packing, quality, quality_net, sharding, simhash,
+                          suffix_dedup, token_counts, url_templates, whitening)
 from kinframe.llm.common import scratch
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
@@ -143,3 +143,9 @@ SELECT item_id, CAST(rk AS INTEGER) AS rank, doc_id, score FROM (
 def op13(t: Tables) -> DataFrame:
     """The 20 best documents for every benchmark item."""
     return lexical_search.search(t.documents, t.benchmark, 20)
+
+
+@query("op12_quality_classifier")
+def op12(t: Tables) -> DataFrame:
+    """Quality score of every document."""
+    return quality_net.score_documents(t.documents, t.labels)
