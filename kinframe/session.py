@@ -9,6 +9,7 @@ the session and only falls back to a fresh scratch folder when it is unset
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -64,3 +65,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (for Arrow functions), once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="kinframe-code-"), name)  # the driver serves it from here
+    sc.addPyFile(shutil.make_archive(archive, "zip", root, name))
+    _SHIPPED.add(sc.applicationId)
