@@ -37,7 +37,7 @@ def uniforms(seed: int, group: str, replicates: np.ndarray, cell: str) -> np.nda
 
 
 def binomial_quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """Elementwise the least k with P(Binomial(n, p) <= k) >= u. The masses are built outward from the mode by their
+    """Elementwise the least k with P(Binomial(n, p) <= k) >= u, up to masses 15 deviations out. The masses are built outward from the mode by their
     ratios and normalised, so no factorial is needed; the work is that of the standard deviation."""
     if p >= 1:
         return n.copy()
