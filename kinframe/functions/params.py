@@ -112,23 +112,80 @@ def json_doc(text: str | Column) -> Column:
     return F.when(ok, t).when(ok2, fixed)
 
 
+def number_of(text: Column) -> Column:
+    """``parse_numbers`` of one text as a single expression, for use inside array functions."""
+    t = F.lower(F.regexp_replace(F.trim(text), ",", ""))
+    nxm = F.regexp_extract(t, NXM, 1).cast("double") * F.regexp_extract(t, NXM, 2).cast("double") * multiplier(F.regexp_extract(t, NXM, 3))
+    suffixed = F.regexp_extract(t, SUFFIXED, 1).cast("double") * multiplier(F.regexp_extract(t, SUFFIXED, 2))
+    value = F.when(t.rlike(NXM), nxm).when(t.rlike(SUFFIXED), suffixed).otherwise(t.try_cast("double"))
+    return F.nanvl(value, F.lit(None).cast("double"))
+
+
+_MAP = "map<string,string>"
+
+
+def nested_numbers(doc: Column) -> Column:
+    """The texts that can hold a parameter count, in order of search, from a JSON object of any depth: the values under
+    the ordered keys (an object stands for its values, depth first), then ``safetensors``, then the same for every nested
+    object, depth first in document order.
+
+    A stack machine in one fold: ``o`` entries are objects to search, ``v`` entries are values to read. Every pair of
+    the document is pushed twice at most, which bounds the number of steps by its colons and braces.
+    """
+    def is_object(x: Column) -> Column:
+        return x.startswith("{")
+
+    def marked(kind: str, texts: Column) -> Column:
+        return F.transform(F.filter(texts, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(kind), x))
+
+    def search(text: Column) -> Column:
+        m = F.from_json(text, _MAP)
+        safe = F.from_json(F.try_element_at(m, F.lit("safetensors")), _MAP)
+        dtypes = F.from_json(F.try_element_at(safe, F.lit("parameters")), _MAP)
+        scalars = F.array(F.try_element_at(safe, F.lit("total")), *[F.try_element_at(dtypes, F.lit(t)) for t in SAFETENSOR_DTYPES])
+        return F.concat(marked("v", F.array(*[F.try_element_at(m, F.lit(k)) for k in PARAM_KEYS])),
+                        marked("v", F.filter(scalars, lambda x: ~is_object(x))),
+                        marked("o", F.filter(F.map_values(m), is_object)))
+
+    none = F.array().cast("array<string>")
+
+    def step(state: Column, _: Column) -> Column:
+        top, rest = F.try_element_at(state["stack"], F.lit(1)), F.slice(state["stack"], 2, 1 << 30)
+        text, value = F.substring(top, 2, 1 << 30), top.startswith("v")
+        push = F.when(value & is_object(text), marked("v", F.map_values(F.from_json(text, _MAP)))).when(
+            value, none).otherwise(search(text))
+        found = F.when(value & ~is_object(text), F.array(text)).otherwise(none)
+        return F.when(top.isNull(), state).otherwise(F.struct(
+            F.concat(F.coalesce(push, none), rest).alias("stack"), F.concat(state["found"], found).alias("found")))
+
+    steps = 2 * (F.length(doc) - F.length(F.replace(F.replace(doc, F.lit(":")), F.lit("{")))) + 1
+    start = F.struct(F.array(F.concat(F.lit("o"), doc)).alias("stack"), none.alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["found"])
+
+
 def params_from_metadata(df: DataFrame, metadata: str, out: str = "params") -> DataFrame:
-    """Ordered keys (object values by their first value) → safetensors.total
-    → safetensors.parameters.{F32,BF16,I64}."""
+    """Ordered keys → safetensors.total → safetensors.parameters.{F32,BF16,I64} → the same in nested objects, depth
+    first in document order; an object under a key stands for its values.
+
+    Documents whose own keys answer with plain values are read by path; only the others are searched (``nested_numbers``).
+    """
     keep = list(df.columns)
     d = df.select(*keep, json_doc(F.col(metadata)).alias("_doc"))
     raw = [F.get_json_object("_doc", f"$.{k}").alias(f"_r{i}") for i, k in enumerate(PARAM_KEYS)]
     d = d.select(*keep, "_doc", *raw)
-    srcs = {}
-    for i, _ in enumerate(PARAM_KEYS):
-        r = F.col(f"_r{i}")
-        first = F.try_element_at(F.map_values(F.from_json(r, "map<string,string>")), F.lit(1))
-        srcs[f"_m{i}"] = F.when(r.startswith("{"), first).otherwise(r)
-    srcs["_mt"] = F.get_json_object("_doc", "$.safetensors.total")
-    for dt in SAFETENSOR_DTYPES:
-        srcs[f"_md{dt}"] = F.get_json_object("_doc", f"$.safetensors.parameters.{dt}")
-    parsed = parse_numbers(d, srcs, keep)
-    return parsed.select(*keep, F.coalesce(*[F.col(n) for n in srcs]).alias(out))
+    keys = {f"_m{i}": F.col(f"_r{i}") for i, _ in enumerate(PARAM_KEYS)}
+    srcs = {**keys, "_mt": F.get_json_object("_doc", "$.safetensors.total"),
+            **{f"_md{t}": F.get_json_object("_doc", f"$.safetensors.parameters.{t}") for t in SAFETENSOR_DTYPES}}
+    objects = [F.coalesce(F.col(f"_r{i}").startswith("{"), F.lit(False)) for i, _ in enumerate(PARAM_KEYS)]
+    deep = F.col("_doc").rlike(r"(?s)^\s*\{.*\{")
+    d = d.select(*keep, "_doc", *[F.col(f"_r{i}") for i, _ in enumerate(PARAM_KEYS)],
+                 F.greatest(*objects).alias("_obj"), deep.alias("_deep"))
+    parsed = parse_numbers(d, srcs, [*keep, "_doc", "_obj", "_deep"]).select(
+        *keep, "_doc", "_obj", "_deep", F.coalesce(*[F.col(n) for n in srcs]).alias("_flat"))
+    search = F.col("_deep") & (F.col("_obj") | F.col("_flat").isNull())
+    hits = F.when(search, F.transform(nested_numbers(F.col("_doc")), number_of))
+    first = F.try_element_at(F.filter(hits, lambda x: x.isNotNull()), F.lit(1))
+    return parsed.select(*keep, F.when(search, first).otherwise(F.col("_flat")).alias(out))
 
 
 def params_coalesced(df: DataFrame, metadata: str, card: str, model_id: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinframe.functions.common import r6
+from kinframe.operators.names import contained_names
 from kinframe.operators.topk import top_k
 from kinframe.plans.params import PARAMS_SQL, params_table
 from kinframe.plans.registry import query
 from kinframe.sources import bindings as b
+from kinframe.sources.files import scratch_path
 from kinframe.sources.tables import Tables
 
 # Parameter bin edges and labels (right-closed).
@@ -159,18 +161,46 @@ def q_incremental_remaining(t: Tables):
     return b.cat(t).select("id", "model_id").join(done, "id", "left_anti")
 
 
-@query("coverage_found_missing", sql=b.with_views(
-    """SELECT id, CASE WHEN id IN (SELECT id FROM exact) THEN 'found' ELSE 'missing' END AS status FROM ids""", "cat",
-    ctes=("f AS (SELECT DISTINCT translate(lower(trim(split_part(model_id, '/', 2))), '-/_', '') AS fname FROM cat WHERE id % 3 = 0)",
-          "ids AS (SELECT id, translate(lower(trim(split_part(model_id, '/', 2))), '-/_', '') AS name_norm FROM cat)",
-          "exact AS (SELECT id FROM ids WHERE name_norm IN (SELECT fname FROM f))")))
-def q_coverage_found_missing(t: Tables):
-    """Ids found by exact normalised name among stored file names, missing otherwise.
+COVERAGE = (
+    "f AS (SELECT DISTINCT translate(lower(trim(split_part(replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '_finetunes_20250529.csv' ELSE '.csv' END, '_finetunes_', 1))), '-/_', '') AS fname"
+    " FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40))",
+    "ids AS (SELECT id, translate(lower(trim(split_part(model_id, '/', 2))), '-/_', '') AS name FROM cat)",
+    "cov AS (SELECT id, CASE WHEN name IN (SELECT fname FROM f) THEN 'exact' WHEN EXISTS (SELECT 1 FROM f WHERE contains(fname, name)) THEN 'contained' ELSE 'missing' END AS status FROM ids)")
+
+
+def stored_files(t: Tables):
+    """Names of the tree files collected so far (stand-in: parts that were returned in large lots), as a stored table."""
+    sold = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).select(F.col("l_partkey").alias("p_partkey")).distinct()
+    names = t.part.join(sold, "p_partkey", "left_semi").select(F.concat(
+        F.regexp_replace("p_name", " ", "-"), F.lit("-"), F.col("p_partkey").cast("string"),
+        F.when(F.col("p_partkey") % 2 == 0, "_finetunes_20250529.csv").otherwise(".csv")).alias("file"))
+    path = scratch_path(t.spark, "tree-files")
+    names.write.parquet(path)
+    return t.spark.read.schema(names.schema).parquet(path)
 
-    File names: the names of every third catalog model (a stored subset)."""
-    c = b.cat(t)
+
+def coverage(ids: DataFrame, files: DataFrame) -> DataFrame:
+    """``id, status`` of every id with a name: ``exact`` (equal to a file's normalised base name), ``contained`` in one,
+    or ``missing``. The base name is what stands before ``_finetunes_`` (the file name if nothing does)."""
     norm = lambda x: F.translate(F.lower(F.trim(x)), "-/_", "")
-    files = c.where(F.col("id") % 3 == 0).select(norm(F.split_part("model_id", F.lit("/"), F.lit(2))).alias("fname")).distinct()
-    ids = c.select("id", norm(F.split_part("model_id", F.lit("/"), F.lit(2))).alias("name_norm"))
-    found = ids.join(files, ids.name_norm == files.fname, "left_semi").select("id").withColumn("f", F.lit(1))
-    return ids.join(found, "id", "left").select("id", F.when(F.col("f") == 1, "found").otherwise("missing").alias("status"))
+    base = F.split_part("file", F.lit("_finetunes_"), F.lit(1))
+    texts = files.select(norm(F.when(base != "", base).otherwise(F.col("file"))).alias("text")).distinct()
+    parts = F.split("model_id", "/")
+    named = ids.where(F.trim("model_id") != "").select("id", norm(F.when(F.size(parts) == 2, parts[1]).otherwise(F.col("model_id"))).alias("name"))
+    exact = texts.select(F.col("text").alias("name"), F.lit("exact").alias("e"))
+    inside = contained_names(named.join(exact, "name", "left_anti"), texts).withColumn("c", F.lit("contained"))
+    return named.join(exact, "name", "left").join(inside, "name", "left").select("id", F.coalesce("e", "c", F.lit("missing")).alias("status"))
+
+
+@query("coverage_found_missing", sql=b.with_views("SELECT id, status FROM cov", "cat", ctes=COVERAGE))
+def q_coverage_found_missing(t: Tables):
+    """Catalog ids found among the stored tree files by name or as part of one, or missing."""
+    return coverage(b.cat(t).select("id", "model_id"), stored_files(t))
+
+
+@query("coverage_summary", sql=b.with_views(
+    "SELECT status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM cov GROUP BY status", "cat", ctes=COVERAGE))
+def q_coverage_summary(t: Tables):
+    """Number and percentage of the catalog ids per way of being found."""
+    n = coverage(b.cat(t).select("id", "model_id"), stored_files(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("status", "n", r6(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("percent"))  # three rows

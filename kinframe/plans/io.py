@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from kinframe.functions.text import SECRET_PATTERNS, secret_flag
 from kinframe.operators import graph as g
 from kinframe.operators.sequence import running_sum
+from kinframe.operators.trees import flatten_trees
 from kinframe.plans import graph as pg
 from kinframe.plans.catalog import TAGS_SQL, tags
 from kinframe.plans.registry import query
@@ -129,6 +130,48 @@ def q_stream_new_ids(t: Tables):
     return t.spark.read.parquet(out)
 
 
+NESTED_SQL = """WITH m AS (
+  SELECT o_orderkey AS tree, 'order/' || o_orderkey AS id, NULL AS parent, 0 AS depth, CAST(floor(o_totalprice) AS BIGINT) AS downloads, CAST(0 AS BIGINT) AS likes FROM orders
+  UNION ALL SELECT l_orderkey, 'line/' || l_orderkey || '-' || l_linenumber, 'order/' || l_orderkey, 1, CAST(floor(l_quantity) AS BIGINT), l_linenumber
+    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT l_orderkey, 'part/' || l_partkey, 'line/' || l_orderkey || '-' || l_linenumber, 2, CAST(floor(p_retailprice) AS BIGINT), p_size
+    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+SELECT 'node' AS kind, tree, CAST(NULL AS VARCHAR) AS src, id AS dst, max(downloads) AS downloads, max(likes) AS likes, max(depth) AS depth, min(depth) AS level FROM m GROUP BY tree, id
+UNION ALL SELECT DISTINCT 'edge', tree, parent, id, NULL, NULL, NULL, NULL FROM m WHERE parent IS NOT NULL"""
+
+
+def nested_documents(t: Tables):
+    """``tree, text``: every order with its lines, and every line with its part, as one nested JSON document."""
+    def model(kind: str, key, downloads, likes, depth: int, kids=None):
+        fields = [F.concat(F.lit(f"https://hub.example/{kind}/"), key).alias("model_id"),
+                  F.struct(F.floor(downloads).cast("long").alias("downloads"), likes.cast("long").alias("likes")).alias("metadata"),
+                  F.lit(depth).alias("depth")]
+        return F.struct(*fields, *([] if kids is None else [kids.alias("children")]))
+
+    c = F.col
+    part = model("part", c("l_partkey").cast("string"), c("p_retailprice"), c("p_size"), 2)
+    lines = t.lineitem.join(t.part.select(c("p_partkey").alias("l_partkey"), "p_retailprice", "p_size"), "l_partkey", "left").select("l_orderkey", "l_linenumber", model(
+        "line", F.concat(c("l_orderkey").cast("string"), F.lit("-"), c("l_linenumber").cast("string")), c("l_quantity"), c("l_linenumber"), 1,
+        F.filter(F.array(F.when(c("p_size").isNotNull(), part)), lambda p: p.isNotNull())).alias("m"))
+    kids = lines.groupBy(c("l_orderkey").alias("o_orderkey")).agg(  # a handful of lines an order
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "m"))), lambda s: s["m"]).alias("kids"))
+    tree = t.orders.join(kids, "o_orderkey", "left")
+    return tree.select(c("o_orderkey").alias("tree"), F.to_json(model("order", c("o_orderkey").cast("string"), c("o_totalprice"), F.lit(0), 0, c("kids"))).alias("text"))
+
+
+@query("flatten_nested_tree", sql=NESTED_SQL)
+def q_flatten_nested_tree(t: Tables):
+    """Stored nested documents (order, lines, parts) as node and edge rows."""
+    path = fs.scratch_path(t.spark, "nested")
+    docs = nested_documents(t)
+    docs.write.parquet(path)
+    nodes, edges = flatten_trees(t.spark.read.schema(docs.schema).parquet(path), "tree", "text")
+    none = lambda kind: F.lit(None).cast(kind)
+    return nodes.select(F.lit("node").alias("kind"), "tree", none("string").alias("src"), F.col("id").alias("dst"), "downloads", "likes", "depth", "level").unionByName(
+        edges.select(F.lit("edge").alias("kind"), "tree", "src", "dst", none("long").alias("downloads"), none("long").alias("likes"),
+                     none("int").alias("depth"), none("int").alias("level")))
+
+
 def indexed(df, order_col):
     """Dense 0-based position in ``order_col`` order (running count, no global window)."""
     return running_sum(df.withColumn("_one", F.lit(1)), [], [order_col], "_one", "_pos", inclusive=False).drop("_one")

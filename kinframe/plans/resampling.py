@@ -8,6 +8,7 @@ from kinframe.functions.common import r6
 from kinframe.operators import bootstrap as B
 from kinframe.operators import similarity as S
 from kinframe.plans import stats as ps
+from kinframe.plans.buckets import HALF_OPEN
 from kinframe.plans.registry import query
 from kinframe.plans.similarity import COS_SQL
 from kinframe.sources import bindings as b
@@ -15,11 +16,8 @@ from kinframe.sources.tables import Tables
 
 N_BOOT, SEED = 1000, 42
 
-#: The size bins (half open) and the closed gap of the published result.
-SIZE_BINS = {
-    "Tiny (0-1M)": (0.0, 1e6), "Small (1M-10M)": (1e6, 1e7), "Medium (10M-100M)": (1e7, 1e8), "Large (100M-1B)": (1e8, 1e9),
-    "Huge (1B-20B)": (1e9, 20e9), "Gap (20B-70B)": (20e9, 70e9), "Massive (>70B)": (70e9, float("inf")),
-}
+SIZE_BINS = {name: (float(lo), float(hi)) for name, lo, hi in HALF_OPEN}
+#: The closed gap of the published result.
 GAP = (20e9, 70e9)
 #: Column of a replicate -> section and statistic of the published result.
 SHAPE = {

@@ -65,6 +65,9 @@ def params_from_metadata(m: str) -> str:
     tries.append(parse_number(f"json_extract_string({d}, '$.safetensors.total')"))
     tries += [parse_number(f"json_extract_string({d}, {q('$.safetensors.parameters.' + t)})")
               for t in SAFETENSOR_DTYPES]
+    # nested objects: the first number under any of the keys, wherever it lies
+    found = "list_concat(" + ", ".join(f"json_extract_string({d}, {q('$..' + k)})" for k in PARAM_KEYS) + ")"
+    tries.append(f"list_filter(list_transform({found}, lambda x: {parse_number('x')}), lambda x: x IS NOT NULL)[1]")
     return "coalesce(" + ", ".join(tries) + ")"
 
 

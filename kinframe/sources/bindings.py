@@ -123,7 +123,10 @@ def par(t: Tables) -> DataFrame:
                                     (size * 1000).cast("string"), F.lit(', "BF16": '),
                                     (size * 500).cast("string"), F.lit("}}}")))
          .when(k % 7 == 1, F.concat(F.lit('{"num_parameters": "'), size.cast("string"), F.lit('M"}')))
-         .when(k % 7 == 2, F.lit("not json")).alias("metadata"))
+         .when(k % 7 == 2, F.lit("not json"))
+         .when(k % 7 == 3, F.concat(F.lit('{"id": {"rev": "a1"}, "config": {"num_parameters": "'), size.cast("string"), F.lit('M"}}')))
+         .when(k % 7 == 4, F.concat(F.lit('{"size": "n/a", "card": {"data": {"note": "x", "model_size": "'), size.cast("string"),
+                                    F.lit('K"}}}'))).alias("metadata"))
 
 
 # ----------------------------------------------------------------- SQL CTEs
@@ -144,7 +147,9 @@ FROM (SELECT lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 WHERE src IS NOT NULL""",
     "doc_edge": "SELECT CAST(floor(doc_id / 4) AS BIGINT) AS src, doc_id AS dst FROM documents WHERE doc_id >= 4",
     "emb_edge": "SELECT CAST(floor(vec_id / 4) AS BIGINT) AS src, vec_id AS dst FROM embeddings WHERE vec_id >= 4",
-    "par": """SELECT p_partkey AS id, replace(p_name, ' ', '-') || '-' || CAST(p_size AS STRING) || CASE p_partkey % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'm' ELSE '' END AS model_id, CASE WHEN p_partkey % 5 = 0 THEN 'Params: ' || CAST(p_size AS STRING) || 'K' WHEN p_partkey % 5 = 1 THEN 'N/A' END AS card, CASE WHEN p_partkey % 7 = 0 THEN '{"safetensors": {"parameters": {"F32": ' || CAST(p_size * 1000 AS STRING) || ', "BF16": ' || CAST(p_size * 500 AS STRING) || '}}}' WHEN p_partkey % 7 = 1 THEN '{"num_parameters": "' || CAST(p_size AS STRING) || 'M"}' WHEN p_partkey % 7 = 2 THEN 'not json' END AS metadata FROM part""",
+    "par": """SELECT p_partkey AS id, replace(p_name, ' ', '-') || '-' || CAST(p_size AS STRING) || CASE p_partkey % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'm' ELSE '' END AS model_id, CASE WHEN p_partkey % 5 = 0 THEN 'Params: ' || CAST(p_size AS STRING) || 'K' WHEN p_partkey % 5 = 1 THEN 'N/A' END AS card, CASE WHEN p_partkey % 7 = 0 THEN '{"safetensors": {"parameters": {"F32": ' || CAST(p_size * 1000 AS STRING) || ', "BF16": ' || CAST(p_size * 500 AS STRING) || '}}}' WHEN p_partkey % 7 = 1 THEN '{"num_parameters": "' || CAST(p_size AS STRING) || 'M"}' WHEN p_partkey % 7 = 2 THEN 'not json'
+  WHEN p_partkey % 7 = 3 THEN '{"id": {"rev": "a1"}, "config": {"num_parameters": "' || CAST(p_size AS STRING) || 'M"}}'
+  WHEN p_partkey % 7 = 4 THEN '{"size": "n/a", "card": {"data": {"note": "x", "model_size": "' || CAST(p_size AS STRING) || 'K"}}}' END AS metadata FROM part""",
 }
 
 
