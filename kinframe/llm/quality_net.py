@@ -72,7 +72,8 @@ class Contexts:
     """Sums of context vectors and counts of contexts per slot."""
 
     def __init__(self):
-        self.places, self.signs = index_vectors()
+        self.places, signs = index_vectors()
+        self.signs = signs.astype(np.int64)
         self.sums, self.counts = np.zeros(SLOTS * WIDTH, np.int64), np.zeros(SLOTS, np.int64)
         self.waiting, self.size = [], 0
 
@@ -96,8 +97,9 @@ class Contexts:
             pair = (text[step:] == text[:-step]) & ~old[step:]
             a, b = slots[:-step][pair], slots[step:][pair]
             for centre, near in ((a, b), (b, a)):
-                flat = (centre[:, None] * np.int64(WIDTH) + self.places[near]).ravel()
-                self.sums += np.bincount(flat, self.signs[near].ravel(), SLOTS * WIDTH).astype(np.int64)
+                start = centre * np.int64(WIDTH)
+                for e in range(ENTRIES):
+                    np.add.at(self.sums, start + self.places[near, e], self.signs[near, e])
                 self.counts += np.bincount(centre, minlength=SLOTS)
         self.waiting, self.size = [], 0
 
@@ -163,14 +165,18 @@ def pooled(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     n, total, square, step = len(slots), np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
     if not n:
         return np.zeros(FEATURES)
-    for at in range(0, n, 1 << 14):
-        x = vectors[slots[max(at - 1, 0):at + (1 << 14)]].astype(float)
-        step += np.abs(np.diff(x, axis=0)).sum(0)
-        x = x[1:] if at else x
-        total += x.sum(0)
-        square += np.einsum("ij,ij->j", x, x)
+    for at in range(0, n, 2048):  # floats in short runs, doubles across them
+        x = vectors[slots[max(at - 1, 0):at + 2048]]
+        gap = np.diff(x, axis=0)
+        step += np.abs(gap, out=gap).sum(0)
+    kinds, times = np.unique(slots, return_counts=True)
+    for at in range(0, len(kinds), 2048):
+        total += times[at:at + 2048].astype(np.float32) @ vectors[kinds[at:at + 2048]]
     mean = total / n
-    return np.concatenate([mean, np.sqrt(np.maximum(square / n - mean * mean, 0)), step / max(n - 1, 1)])
+    for at in range(0, len(kinds), 2048):
+        x = vectors[kinds[at:at + 2048]] - mean.astype(np.float32)
+        square += times[at:at + 2048].astype(np.float32) @ np.square(x, out=x)
+    return np.concatenate([mean, np.sqrt(square / n), step / max(n - 1, 1)])
 
 
 @dataclasses.dataclass(frozen=True)
