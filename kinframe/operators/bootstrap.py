@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kinframe.operators.sampling import dense_index
+from kinframe.operators.sequence import dense_index
 from kinframe.session import ship_package
 
 CHUNK = 256

@@ -10,9 +10,12 @@ emptiness test that ends the loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinframe.operators.sequence import dense_index
 from kinframe.session import ensure_checkpoint_dir
 
 # Relation kinds in the order the edge-type list is built; the
@@ -97,51 +100,89 @@ def _edge_index(edges: DataFrame, key: str) -> DataFrame:
     return edges.select("src", "dst").repartition(n, key).checkpoint(eager=True)
 
 
-def bfs_depths(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
-               checkpoint_every: int = 1) -> DataFrame:
+def _known(levels: list[DataFrame]) -> DataFrame:
+    """All rows of the levels; every 16th level they become one checkpoint, so the plan stays short."""
+    if len(levels) > 16:
+        levels[:] = [reduce(DataFrame.unionByName, levels).checkpoint(eager=True)]
+    return reduce(DataFrame.unionByName, levels)
+
+
+def bfs_depths(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every node reachable from ``start(id)`` once, at its minimal depth
-    (≤ ``max_depth`` if given): ``(id, depth)``."""
+    (≤ ``max_depth`` if given): ``(id, depth)``. Each level is checkpointed once."""
     idx = _edge_index(edges, "src")
-    visited = start.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint(eager=True)
-    frontier = visited.select("id")
-    d = 0
+    frontier = start.select("id").distinct().withColumn("depth", F.lit(0)).checkpoint(eager=True)
+    levels, d = [frontier], 0
     while max_depth is None or d < max_depth:
         d += 1
-        nxt = (frontier.join(idx, frontier["id"] == idx["src"]).select(F.col("dst").alias("id"))
-               .distinct().join(visited.select("id"), "id", "left_anti"))
-        nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
+        nxt = (frontier.select("id").join(idx, F.col("id") == F.col("src")).select(F.col("dst").alias("id"))
+               .distinct().join(_known(levels).select("id"), "id", "left_anti"))
+        frontier = nxt.withColumn("depth", F.lit(d)).checkpoint(eager=True)
+        if frontier.isEmpty():
             break
-        visited = visited.unionByName(nxt.withColumn("depth", F.lit(d)))
-        if d % checkpoint_every == 0:
-            visited = visited.checkpoint(eager=True)
-        frontier = nxt
-    return visited
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
-def closure_pairs(edges: DataFrame, max_len: int | None = None) -> DataFrame:
-    """Transitive closure ``(ancestor, descendant, distance)`` with the minimal distance."""
+def closure_pairs(edges: DataFrame, max_len: int | None = None, start: DataFrame | None = None) -> DataFrame:
+    """Transitive closure ``(ancestor, descendant, distance)`` with the minimal distance, of all nodes or of those in
+    ``start(id)``. Each length is checkpointed once."""
     idx = _edge_index(edges, "src")
-    pairs = edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant")).distinct() \
-                 .withColumn("distance", F.lit(1)).checkpoint(eager=True)
-    frontier = pairs.select("ancestor", "descendant")
-    d = 1
+    first = edges if start is None else edges.join(start.select(F.col("id").alias("src")), "src", "left_semi")
+    frontier = first.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant")).distinct().withColumn(
+        "distance", F.lit(1)).checkpoint(eager=True)
+    levels, d = [frontier], 1
     while max_len is None or d < max_len:
         d += 1
-        nxt = (frontier.join(idx, frontier["descendant"] == idx["src"])
-               .select("ancestor", F.col("dst").alias("descendant")).distinct()
-               .join(pairs.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti")).checkpoint(eager=True)
-        if nxt.isEmpty():
+        nxt = (frontier.join(idx, F.col("descendant") == F.col("src")).select("ancestor", F.col("dst").alias("descendant")).distinct()
+               .join(_known(levels).select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"))
+        frontier = nxt.withColumn("distance", F.lit(d)).checkpoint(eager=True)
+        if frontier.isEmpty():
             break
-        pairs = pairs.unionByName(nxt.withColumn("distance", F.lit(d))).checkpoint(eager=True)
-        frontier = nxt
-    return pairs
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def descendant_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    cl = closure_pairs(edges).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
-    return nodes.select("id").join(cl, "id", "left").select(
-        "id", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+    """``(id, n_descendants)``: the size of every node's reachable set.
+
+    A node is *shared* if it has several parents, or reaches one that has, or lies on or below a cycle. Where nothing
+    below a node is shared its descendants form a tree, and counts are added up level by level from the leaves. Only the
+    shared nodes need sets: their closure among themselves, plus the trees that hang on each of them.
+    """
+    links = edges.select("src", "dst").distinct().checkpoint(eager=True)
+    several = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    up = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    above = bfs_depths(up, several).select("id").checkpoint(eager=True)
+    plain = links.join(above.select(F.col("id").alias("dst")), "dst", "left_anti")  # edges into nodes with a tree below
+    tops = (nodes.select("id").union(links.select("src")).union(links.select("dst")).distinct().join(above, "id", "left_anti")
+            .join(plain.join(above.select(F.col("id").alias("src")), "src", "left_anti").select(F.col("dst").alias("id")), "id", "left_anti"))
+    forest = bfs_depths(plain, tops).checkpoint(eager=True)
+    parent = plain.select(F.col("dst").alias("id"), F.col("src").alias("parent"))
+    top = forest.agg(F.max("depth")).first()[0]
+    counts, below = [], None
+    for d in range(top if top is not None else -1, -1, -1):
+        level = forest.where(F.col("depth") == d).select("id")
+        if below is not None:
+            level = level.join(below, "id", "left")
+        level = level.select("id", (F.coalesce("n", F.lit(0)) if below is not None else F.lit(0).cast("long")).alias("n")).checkpoint(eager=True)
+        counts.append(level)
+        below = level.join(parent, "id").groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("n") + 1).alias("n"))
+    trees = reduce(DataFrame.unionByName, counts) if counts else forest.select("id", F.lit(0).cast("long").alias("n"))
+    trees = trees.checkpoint(eager=True)
+    shared = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(trees, "id", "left_anti").checkpoint(eager=True)
+    hang = (trees.join(parent, "id").join(shared.select(F.col("id").alias("parent")), "parent", "left_semi")
+            .groupBy(F.col("parent").alias("h")).agg(F.sum(F.col("n") + 1).alias("hang")))
+    core = links.join(shared.select(F.col("id").alias("src")), "src", "left_semi").join(
+        shared.select(F.col("id").alias("dst")), "dst", "left_semi")
+    reach = closure_pairs(core).select(F.col("ancestor").alias("id"), "descendant", F.lit(1).alias("one"))
+    # a node's own trees count once: for itself, unless a cycle has it among its descendants already
+    own = shared.join(reach.where("id = descendant").select("id"), "id", "left_anti").select(
+        "id", F.col("id").alias("descendant"), F.lit(0).alias("one"))
+    sets = reach.unionByName(own).join(hang, F.col("descendant") == F.col("h"), "left").groupBy("id").agg(
+        F.sum(F.col("one") + F.coalesce("hang", F.lit(0))).alias("n"))
+    counted = trees.unionByName(sets)
+    return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_descendants"))
 
 
 def single_parent_tree(relations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -153,12 +194,11 @@ def single_parent_tree(relations: DataFrame, nodes: DataFrame) -> DataFrame:
 def layout_positions(depths: DataFrame, desc_counts: DataFrame) -> DataFrame:
     """Per depth level: rank by descendant count (desc, id asc);
     x = rank − (n + 1) / 2, y = −depth / 2."""
-    j = depths.join(desc_counts, "id")
-    w = Window.partitionBy("depth").orderBy(F.desc("n_descendants"), "id")
-    n = F.count(F.lit(1)).over(Window.partitionBy("depth"))
-    return j.select("id", "depth", "n_descendants",
-                    (F.row_number().over(w) - (n + 1) / 2.0).alias("x"),
-                    (-F.col("depth") / 2.0).alias("y"))
+    j = depths.join(desc_counts, "id").withColumn("_least", -F.col("n_descendants"))
+    placed = dense_index(j, ["depth"], ["_least", "id"], "_at")  # a level can hold most of the nodes
+    sizes = placed.groupBy(F.col("depth").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    return placed.join(sizes, F.col("depth") == F.col("_d")).select(
+        "id", "depth", "n_descendants", (F.col("_at") + 1 - (F.col("_n") + 1) / 2.0).alias("x"), (-F.col("depth") / 2.0).alias("y"))
 
 
 def motif_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

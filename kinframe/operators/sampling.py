@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.operators.graph import degrees
-from kinframe.operators.sequence import running_sum
+from kinframe.operators.sequence import dense_index, running_sum
 
 
 def u64(key: Column) -> Column:
@@ -24,11 +24,6 @@ def draw_key(seed: int, motif: str, slot: str) -> Column:
     return F.concat(F.lit(f"{seed}:{motif}:"), F.col("i").cast("string"), F.lit(f":{slot}"))
 
 
-def dense_index(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
-    """0-based position within ``key`` in ``order`` (running count)."""
-    return running_sum(df.withColumn("_one", F.lit(1)), key, order, "_one", out, inclusive=False).drop("_one")
-
-
 def weighted_pick(items: DataFrame, weight: str, order: list[str], draws: DataFrame, x: str,
                   buckets: int = 1024) -> DataFrame:
     """Join each draw (value ``x`` in [0, W)) to the item whose cumulative

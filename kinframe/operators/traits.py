@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinframe.operators.sequence import dense_index
+from kinframe.operators.topk import top_k
+
 # Trait placeholders dropped from top-trait rankings.
 PLACEHOLDER_TRAITS = ["other", "unknown", "None", "", "[]"]
 
@@ -50,16 +53,18 @@ def trait_transitions(edges_with_traits: DataFrame) -> DataFrame:
     each child trait c. A substitution therefore counts once as added and once
     as removed.
     """
-    e = edges_with_traits.select("src_traits", "dst_traits")
-    added = (e.select(F.explode(F.array_except("dst_traits", "src_traits")).alias("to_trait"),
-                      "src_traits")
-             .select(F.explode("src_traits").alias("from_trait"), "to_trait",
-                     F.lit(1).alias("a"), F.lit(0).alias("r")))
-    removed = (e.select(F.explode(F.array_except("src_traits", "dst_traits")).alias("from_trait"),
-                        "dst_traits")
-               .select("from_trait", F.explode("dst_traits").alias("to_trait"),
-                       F.lit(0).alias("a"), F.lit(1).alias("r")))
-    return (added.unionByName(removed)
+    src, dst = F.col("src_traits"), F.col("dst_traits")
+
+    def flows(one, other, turn) -> Column:
+        return F.flatten(F.transform(one, lambda x: F.transform(other, lambda y: turn(x, y))))
+
+    added = flows(F.array_except(dst, src), src, lambda x, p: F.struct(
+        p.alias("from_trait"), x.alias("to_trait"), F.lit(1).alias("a"), F.lit(0).alias("r")))
+    removed = flows(F.array_except(src, dst), dst, lambda x, c: F.struct(
+        x.alias("from_trait"), c.alias("to_trait"), F.lit(0).alias("a"), F.lit(1).alias("r")))
+    none = F.array().cast("array<struct<from_trait:string,to_trait:string,a:int,r:int>>")
+    one_pass = F.concat(F.coalesce(added, none), F.coalesce(removed, none))
+    return (edges_with_traits.select(F.explode(one_pass).alias("f")).select("f.*")
             .groupBy("from_trait", "to_trait")
             .agg(F.sum("a").cast("bigint").alias("added_transitions"),
                  F.sum("r").cast("bigint").alias("removed_transitions"),
@@ -111,15 +116,11 @@ def oriented_totals(oriented: DataFrame) -> DataFrame:
 
 
 def top_traits(appearances: DataFrame, n: int, placeholders=PLACEHOLDER_TRAITS) -> DataFrame:
-    """Top (n+5) traits by appearances, placeholders dropped, first n kept.
-
-    The ranking window is global but runs over distinct trait values only.
-    """
+    """Top (n+5) traits by appearances, placeholders dropped, first n kept: at most n + 5 rows are ranked."""
+    first = top_k(appearances, [F.desc("total_appearances"), F.asc("trait")], n + 5)
+    kept = first.where(~F.col("trait").isin(placeholders) & F.col("trait").isNotNull())
     w = Window.orderBy(F.desc("total_appearances"), F.asc("trait"))
-    ranked = appearances.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n + 5)
-    kept = ranked.where(~F.col("trait").isin(placeholders) & F.col("trait").isNotNull())
-    w2 = Window.orderBy("_r")
-    return (kept.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
+    return (kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("trait", "total_appearances", "rank"))
 
 
@@ -129,18 +130,18 @@ def net_flow_order(transitions: DataFrame) -> DataFrame:
     A scalable stand-in for the exact maximum-compatibility ordering: traits
     that mostly flow into others come first. Returns (trait, net_flow, position).
     """
-    out = transitions.select(F.col("from_trait").alias("trait"), F.col("transitions").alias("f"))
-    inc = transitions.select(F.col("to_trait").alias("trait"), (-F.col("transitions")).alias("f"))
-    net = out.unionByName(inc).groupBy("trait").agg(F.sum("f").cast("bigint").alias("net_flow"))
-    w = Window.orderBy(F.desc("net_flow"), F.asc("trait"))
-    return net.withColumn("position", F.row_number().over(w))
+    ends = F.explode(F.array(F.struct(F.col("from_trait").alias("trait"), F.col("transitions").alias("f")),
+                             F.struct(F.col("to_trait").alias("trait"), (-F.col("transitions")).alias("f"))))
+    net = transitions.select(ends.alias("e")).select("e.*").groupBy("trait").agg(F.sum("f").cast("bigint").alias("net_flow"))
+    placed = dense_index(net.withColumn("_least", -F.col("net_flow")), [], ["_least", "trait"], "_at")
+    return placed.select("trait", "net_flow", (F.col("_at") + 1).cast("int").alias("position"))
 
 
 def _positioned(transitions: DataFrame, order: DataFrame) -> DataFrame:
+    """Transitions with the positions of both ends (Spark broadcasts the order only if it is small)."""
     pf = order.select(F.col("trait").alias("from_trait"), F.col("position").alias("from_pos"))
     pt = order.select(F.col("trait").alias("to_trait"), F.col("position").alias("to_pos"))
-    # The order table has one row per trait (a bounded, small domain).
-    return transitions.join(F.broadcast(pf), "from_trait").join(F.broadcast(pt), "to_trait")
+    return transitions.join(pf, "from_trait").join(pt, "to_trait")
 
 
 def order_score(transitions: DataFrame, order: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinframe.functions.common import r6
 from kinframe.operators import graph as g
+from kinframe.operators.sequence import dense_index
 from kinframe.operators.topk import top_k_per_group
 from kinframe.plans.registry import query
 from kinframe.sources import bindings as b
@@ -101,12 +103,10 @@ def q_degrees(t: Tables):
     """SELECT r.id, dc.n_descendants, CAST(row_number() OVER (ORDER BY dc.n_descendants DESC, r.id) AS INTEGER) AS rank
 FROM roots r JOIN dc ON dc.id = r.id""", ROOTS, CLOSURE, recursive=True))
 def q_roots(t: Tables):
-    from pyspark.sql import Window
     e = edges(t)
     n = nodes(t)
-    r = g.roots(n, e).join(g.descendant_counts(n, e), "id")
-    # roots are few (one per tree); ranking them needs no partitioning
-    return r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_descendants"), "id")))
+    r = g.roots(n, e).join(g.descendant_counts(n, e), "id").withColumn("least", -F.col("n_descendants"))
+    return dense_index(r, [], ["least", "id"], "at").select("id", "n_descendants", (F.col("at") + 1).cast("int").alias("rank"))
 
 
 @query("successors", sql=gsql("SELECT src, dst FROM edges WHERE src IN (SELECT id FROM roots)", ROOTS))
@@ -136,9 +136,7 @@ def q_depth_limit(t: Tables):
     ROOTS, CLOSURE, recursive=True))
 def q_full_descendants(t: Tables):
     e = edges(t)
-    cl = g.closure_pairs(e).groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance"))
-    r = g.roots(nodes(t), e).select(F.col("id").alias("ancestor"))
-    return cl.join(r, "ancestor").select(F.col("ancestor").alias("root"), "descendant", "distance")
+    return g.closure_pairs(e, start=g.roots(nodes(t), e)).select(F.col("ancestor").alias("root"), "descendant", "distance")
 
 
 @query("ancestors", sql=gsql(
@@ -274,7 +272,6 @@ def q_capped_children(t: Tables):
     """Children listings capped at K=3 per (parent, relation); the flag marks a hit cap."""
     k = 3
     o = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_children"))
-    from pyspark.sql import Window
     return o.select("o_custkey", "o_orderpriority", "n_children",
                     F.least("n_children", F.lit(k)).cast("bigint").alias("kept"),
                     (F.col("n_children") > k).alias("truncated"),

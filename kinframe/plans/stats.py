@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from kinframe.functions.common import r6
 from kinframe.operators import graph as g
 from kinframe.operators import stats as st
+from kinframe.operators.sequence import dense_index
+from kinframe.operators.topk import top_k
 from kinframe.plans import graph as pg
 from kinframe.plans.catalog import crawl
 from kinframe.plans.params import PARAMS_SQL, params_table
@@ -248,9 +250,8 @@ def q_ecosystem_saturation(t: Tables):
     n = b.cat(t)
     r = g.roots(n, e).join(g.descendant_counts(n, e), "id")
     kids = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("c"))
-    # roots are the base models: one per tree, a small set
-    x = r.join(kids, "id", "left").select(F.row_number().over(Window.orderBy("id")).alias("x"),
-                                          F.coalesce("c", F.lit(0)).alias("kids"), "n_descendants")
+    x = dense_index(r.join(kids, "id", "left"), [], ["id"], "at").select(
+        (F.col("at") + 1).alias("x"), F.coalesce("c", F.lit(0)).alias("kids"), "n_descendants")
     return x.agg(r6(F.regr_slope("kids", "x")).alias("slope_children"), r6(F.regr_intercept("kids", "x")).alias("intercept_children"),
                  r6(F.regr_slope("n_descendants", "x")).alias("slope_descendants"),
                  r6(F.regr_intercept("n_descendants", "x")).alias("intercept_descendants"))
@@ -277,8 +278,8 @@ def q_tag_contrast(t: Tables):
 
     def top(df):
         c = df.groupBy(F.col("event_type").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
-        # one row per distinct tag: small
-        return c.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), "tag")).cast("bigint")).where("rk <= 10")
+        # ten rows are ranked
+        return top_k(c, [F.desc("n"), F.asc("tag")], 10).withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), "tag")).cast("bigint"))
     hi = top(e.where(F.col("value") >= 25)).select(F.col("rk").alias("rk_a"), F.col("tag").alias("tag_high"), F.col("n").alias("n_high"))
     lo = top(e.where(F.col("value") < 25)).select(F.col("rk").alias("rk_b"), F.col("tag").alias("tag_low"), F.col("n").alias("n_low"))
     j = hi.join(lo, hi.rk_a == lo.rk_b, "full_outer")
