@@ -3,8 +3,9 @@
 1. *Random indexing.* Every token has a fixed sparse index vector (a few entries of +1 or -1). A token's context
    vector is the sum of the index vectors met within two tokens of it, over all documents. Tokens fall into a fixed
    number of slots by a checksum, so a task adds up one table of bounded size, Spark adds the tables of all tasks,
-   and the finished word vectors (``SLOTS x WIDTH`` floats, 16 MB) can be broadcast whatever the corpus.
-2. *Pooling.* A document becomes the mean, the spread and the mean step between neighbours of its tokens' vectors.
+   and the finished word vectors (``SLOTS x WIDTH`` floats, 8 MB) can be broadcast whatever the corpus.
+2. *Pooling.* A document becomes the mean and the spread of its tokens' vectors, and the mean steps from a token's
+   vector to those of the next token and the one after it.
 3. *Network.* Two numpy layers (tanh, then a logit), fitted to a bounded sample of labelled documents; a part of it
    is kept back to stop the fit and to choose the temperature that divides the logit.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slots of tokens, width of the vectors, entries of an index vector, tokens to each side.
-SLOTS, WIDTH, ENTRIES, SIDE = 1 << 16, 64, 4, 2
+SLOTS, WIDTH, ENTRIES, SIDE = 1 << 16, 32, 4, 2
 #: Contexts after which half of a token's vector is taken from them.
 TRUST = 10
 #: Characters split at once, tokens handled at once.
@@ -31,7 +32,7 @@ SAMPLE = 20000
 HIDDEN, EPOCHS, BATCH, PATIENCE, RATE, DECAY = 32, 200, 128, 20, 0.004, 1e-3
 #: Fixed value: the score from which a document is predicted to be of good quality.
 GOOD = 0.7
-FEATURES = 3 * WIDTH
+FEATURES = 4 * WIDTH
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 
@@ -73,10 +74,16 @@ class Contexts:
 
     def __init__(self):
         self.places, signs = index_vectors()
-        self.signs = signs.astype(np.int64)
+        self.signs = signs.astype(np.int32)
         self.sums, self.counts = np.zeros(SLOTS * WIDTH, np.int64), np.zeros(SLOTS, np.int64)
+        self.recent, self.n_recent = np.zeros(SLOTS * WIDTH, np.int32), 0  # half the size, so more of it stays in cache
         self.waiting, self.size = [], 0
 
+    def settle(self) -> None:
+        """Move the recent sums over before they could exceed their type."""
+        self.sums += self.recent
+        self.recent[:], self.n_recent = 0, 0
+
     def add(self, slots: np.ndarray) -> None:
         for at in range(0, len(slots), TOKENS):  # pieces overlap by the side, so no neighbours are lost
             self.waiting.append((slots[max(at - SIDE, 0):at + TOKENS], min(at, SIDE)))
@@ -99,8 +106,11 @@ class Contexts:
             for centre, near in ((a, b), (b, a)):
                 start = centre * np.int64(WIDTH)
                 for e in range(ENTRIES):
-                    np.add.at(self.sums, start + self.places[near, e], self.signs[near, e])
+                    np.add.at(self.recent, start + self.places[near, e], self.signs[near, e])
                 self.counts += np.bincount(centre, minlength=SLOTS)
+        self.n_recent += len(slots)
+        if self.n_recent > 1 << 28:
+            self.settle()
         self.waiting, self.size = [], 0
 
 
@@ -115,6 +125,7 @@ def word_vectors(docs: DataFrame, col: str = "text") -> np.ndarray:
             for text in batch.column(0):
                 found.add(slots_of(text.as_py()))
         found.flush()
+        found.settle()
         table = np.concatenate([found.sums.reshape(SLOTS, WIDTH), found.counts[:, None]], 1)
         blocks = [b for b in range(SLOTS // rows) if found.counts[b * rows:(b + 1) * rows].any()]
         if blocks:
@@ -161,14 +172,15 @@ def _unpacked(cells: bytes) -> np.ndarray:
 
 
 def pooled(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean, spread and mean step between neighbours of a document's token vectors; zeros without tokens."""
-    n, total, square, step = len(slots), np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
+    """Mean, spread and mean steps to the next two of a document's token vectors; zeros without tokens."""
+    n, total, square, steps = len(slots), np.zeros(WIDTH), np.zeros(WIDTH), np.zeros((2, WIDTH))
     if not n:
         return np.zeros(FEATURES)
     for at in range(0, n, 2048):  # floats in short runs, doubles across them
-        x = vectors[slots[max(at - 1, 0):at + 2048]]
-        gap = np.diff(x, axis=0)
-        step += np.abs(gap, out=gap).sum(0)
+        x = vectors[slots[at:at + 2048 + 2]]
+        for k in (1, 2):
+            gap = x[k:2048 + k] - x[:min(len(x) - k, 2048)]
+            steps[k - 1] += np.abs(gap, out=gap).sum(0)
     kinds, times = np.unique(slots, return_counts=True)
     for at in range(0, len(kinds), 2048):
         total += times[at:at + 2048].astype(np.float32) @ vectors[kinds[at:at + 2048]]
@@ -176,7 +188,7 @@ def pooled(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     for at in range(0, len(kinds), 2048):
         x = vectors[kinds[at:at + 2048]] - mean.astype(np.float32)
         square += times[at:at + 2048].astype(np.float32) @ np.square(x, out=x)
-    return np.concatenate([mean, np.sqrt(square / n), step / max(n - 1, 1)])
+    return np.concatenate([mean, np.sqrt(square / n), steps[0] / max(n - 1, 1), steps[1] / max(n - 2, 1)])
 
 
 @dataclasses.dataclass(frozen=True)

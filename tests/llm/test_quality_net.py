@@ -24,8 +24,8 @@ def plain_contexts(texts):
 
 def plain_pooled(slots, vectors):
     x = vectors[slots].astype(float)
-    step = np.abs(x[1:] - x[:-1]).mean(0) if len(x) > 1 else np.zeros(qn.WIDTH)
-    return np.concatenate([x.mean(0), x.std(0), step])
+    steps = [np.abs(x[k:] - x[:-k]).mean(0) if len(x) > k else np.zeros(qn.WIDTH) for k in (1, 2)]
+    return np.concatenate([x.mean(0), x.std(0), *steps])
 
 
 @pytest.mark.parametrize("tokens", [1 << 18, 7])
@@ -36,6 +36,7 @@ def test_contexts_and_pooling_equal_brute_force(monkeypatch, odd_rows, tokens):
     for t in texts:
         found.add(qn.slots_of(t))
     found.flush()
+    found.settle()
     sums, counts = plain_contexts(texts)
     assert (found.sums.reshape(sums.shape) == sums).all() and (found.counts == counts).all()
     vectors = qn.finished(sums, counts)
