@@ -63,8 +63,9 @@ def q_scan_tree_json(t: Tables):
             .select("model_id", F.col("depth").cast("int").alias("depth"),
                     F.coalesce("children", F.array().cast("array<string>")).alias("children"))
             .withColumn("children_count", F.size("children")))
-    # one document per (depth, model-id hash) group: documents stay small
-    docs = rows.groupBy("depth", F.pmod(F.xxhash64("model_id"), F.lit(64)).alias("_g")).agg(
+    # a document holds about 500 models of a depth, however many there are
+    sizes = rows.groupBy(F.col("depth").alias("_d")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_n"))
+    docs = rows.join(sizes, F.col("depth") == F.col("_d")).groupBy("depth", F.pmod(F.xxhash64("model_id"), F.col("_n")).alias("_g")).agg(
         F.collect_list(F.struct("model_id", "depth", "children", "children_count")).alias("models"))
     path = fs.scratch_path(t.spark, "trees-json")
     docs.select(F.to_json(F.struct("models")).alias("value")).write.mode("overwrite").text(path)
@@ -125,9 +126,9 @@ def q_stream_new_ids(t: Tables):
     """Structured Streaming over the events folder: ids appended once each."""
     schema = t.events.schema
     out = fs.scratch_path(t.spark, "stream-ids")
-    ingest.run_available(ingest.stream_ids(t.spark, t.root, schema, "event_id", glob="events.parquet"),
-                         out, out + "-ckpt", "event_id")
-    return t.spark.read.parquet(out)
+    ids = ingest.stream_ids(t.spark, t.root, schema, "event_id", glob="events.parquet")
+    ingest.run_available(ids, out, out + "-ckpt", "event_id")
+    return ingest.stored_keys(t.spark, out, ids.schema)
 
 
 NESTED_SQL = """WITH m AS (

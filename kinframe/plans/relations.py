@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinframe.functions.common import r6
+from kinframe.operators.numbers import with_divisors
 from kinframe.plans import graph as pg
 from kinframe.plans.registry import query
 from kinframe.sources import bindings as b
@@ -36,10 +37,7 @@ def q_number_properties(t: Tables):
     """Distinct whole values that are powers, round, prime or rich in divisors: counts and percentages."""
     n, s = F.col("n"), F.col("s")
     v = t.lineitem.where("l_extendedprice >= 1").select(F.floor("l_extendedprice").cast("bigint").alias("n")).distinct()
-    root = F.floor(F.sqrt(n)).cast("bigint")
-    f = v.select(n, F.rtrim(n.cast("string"), F.lit("0")).alias("s"), root.alias("root")).select(
-        "n", "s", (2 * F.size(F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("root")), lambda d: F.col("n") % d == 0))
-                   - F.when(F.col("root") * F.col("root") == n, 1).otherwise(0)).alias("divisors"))
+    f = with_divisors(v, "n").withColumn("s", F.rtrim(n.cast("string"), F.lit("0")))
     flags = {"power_of_2": n.bitwiseAND(n - 1) == 0, "power_of_10": s == "1",
              "round": (F.length(s) <= 2) | s.endswith("5"), "prime": F.col("divisors") == 2,
              "many_divisors": F.col("divisors") > 12}

@@ -9,6 +9,8 @@ table (a bare streaming ``dropDuplicates`` would keep unbounded state).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from pyspark.sql import types as T
 
 from kinframe.functions.text import secret_flag
 
+#: Buckets of an output by the hash of the key.
+BUCKETS = 64
+
 
 def stream_ids(spark: SparkSession, src_dir: str, schema: T.StructType, id_col: str,
                glob: str | None = None) -> DataFrame:
@@ -26,26 +31,37 @@ def stream_ids(spark: SparkSession, src_dir: str, schema: T.StructType, id_col:
     return r.parquet(src_dir).select(id_col).where(F.col(id_col).isNotNull())
 
 
+def append_new(batch: DataFrame, epoch: int, out_dir: str, stream: str, key: str, buckets: int = BUCKETS) -> None:
+    """Store the keys of a micro-batch that no other batch has stored.
+
+    The rows of a batch lie in a folder of its own, ``batch=<stream>-<epoch>/bucket=<hash of the key>``, that a repeated
+    run of the batch overwrites: replaying a batch, or starting again after a crash between the write and the commit,
+    adds nothing. Only the buckets that the batch has are read for the comparison."""
+    spark, own = batch.sparkSession, f"{stream}-{epoch}"
+    fresh = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    met = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+    schema = fresh.schema.add("batch", "string")
+    try:
+        stored = spark.read.schema(schema).parquet(out_dir).where(F.col("bucket").isin(met) & (F.col("batch") != own))
+        fresh = fresh.join(stored.select("bucket", key), ["bucket", key], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # otherwise the first batch: nothing is stored yet
+    fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out_dir}/batch={own}")
+
+
 def run_available(df: DataFrame, out_dir: str, checkpoint: str, key: str) -> None:
-    """Append each micro-batch's new keys (not yet in ``out_dir``) and stop when
-    all available input is processed."""
-    spark = df.sparkSession
-
-    def upsert(batch: DataFrame, _epoch: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            stored = spark.read.parquet(out_dir).select(key)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = None  # the first batch: nothing is stored yet
-        if stored is not None:
-            fresh = fresh.join(stored, key, "left_anti")
-        fresh.write.mode("append").parquet(out_dir)
-
-    q = (df.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    """Store every new key of the stream once and stop when all available input is processed. The checkpoint's path
+    names the stream: several streams can fill one output."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    query = (df.writeStream.foreachBatch(lambda batch, epoch: append_new(batch, epoch, out_dir, stream, key))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def stored_keys(spark: SparkSession, out_dir: str, schema: T.StructType) -> DataFrame:
+    """The rows that ``run_available`` has stored."""
+    return spark.read.schema(schema).parquet(out_dir).select(*schema.names)
 
 
 def secret_split_stream(spark: SparkSession, src_dir: str, schema: T.StructType, text_col: str,
