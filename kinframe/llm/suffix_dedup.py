@@ -25,9 +25,10 @@ Whole contexts and the bytes left of an anchor are compared by 64-bit hashes, wi
 36 bytes; suffixes byte by byte.
 
 Defined cases: a null text is empty, texts under 100 bytes lose nothing; a row without id is compared
-with nothing and stays whole; repeated rows are one document (each gets the same result), rows with one
-id and different texts likewise lose the spans of each other; an empty table gives an empty result; other
-columns are ignored.
+with nothing and stays whole; repeated rows are one document (each gets the same result); rows with one id
+and different texts are documents of their own, the one whose text has the lesser SHA-256 being the earlier;
+ids of other types than whole numbers are ordered as Spark orders them; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinframe.llm.common import n_partitions, small_batches, whole_text
+from kinframe.llm.common import n_partitions, small_batches, stored, whole_text
 from kinframe.llm.suffix_runs import Run, merge, write_run
+from kinframe.operators.sequence import dense_index
 
 LENGTH = 100
 GRAM = 36
@@ -469,7 +471,7 @@ def _cut(batches):
 def _spans(texts: DataFrame) -> DataFrame:
     """``id, text`` to ``doc, spans``: byte spans to remove (they may overlap), of documents that have any."""
     n = n_partitions(texts.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    dealt = texts.mapInArrow(_dealt_anchors, _ANCHORS).repartition(n, "route")
+    dealt = texts.select("id", "text").mapInArrow(_dealt_anchors, _ANCHORS).repartition(n, "route")
     found = dealt.mapInArrow(_repeated, "doc long, at int, room int, kind int").groupBy("doc").agg(
         F.collect_list(F.struct("at", "room", "kind")).alias("anchors"))
     runs = (texts.join(found, F.col("id") == F.col("doc")).select("text", "doc", "anchors")
@@ -478,15 +480,31 @@ def _spans(texts: DataFrame) -> DataFrame:
         F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    """``key, text`` (no null key) to ``id, key, text``: equal rows share a long ``id``, ids rise with the key and, where
+    rows of one key have different texts, with the SHA-256 of the text. Whole keys that name one text each are the ids."""
+    if rows.schema["key"].dataType.simpleString() in _WHOLE:
+        mark = F.xxhash64("text")
+        several = rows.groupBy("key").agg((F.min(mark) < F.max(mark)).alias("several")).where("several").limit(1)
+        if several.isEmpty():
+            return rows.select(F.col("key").cast("long").alias("id"), "key", "text")
+    marked = rows.withColumn("digest", F.sha2("text", 256))
+    numbers = dense_index(marked.select("key", "digest").distinct(), [], ["key", "digest"], "id")
+    return stored(marked.join(numbers, ["key", "digest"]).select("id", "key", "text"), "suffix-texts")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, spans, kept`` per row: the maximal removed byte spans and the bytes left."""
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("key"), whole_text(text_col).alias("text"))
     # both joins deal the same rows by id, so Spark exchanges the texts once
-    texts = rows.filter(F.col("id").isNotNull())
-    joined = texts.join(_spans(texts), F.col("id") == F.col("doc"), "left").select("id", "text", "spans")
-    alone = rows.filter(F.col("id").isNull()).select("id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
+    texts = _documents(rows.filter(F.col("key").isNotNull()))
+    joined = texts.join(_spans(texts), F.col("id") == F.col("doc"), "left").select("key", "text", "spans")
+    alone = rows.filter(F.col("key").isNull()).select("key", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
     cut = joined.unionByName(alone).mapInArrow(
-        _cut, "id long, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
-    return cut.select(F.col("id").cast(id_type).alias(id_col), "n_bytes", "spans", "kept")
+        _cut, f"id {id_type}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
+    return cut.withColumnRenamed("id", id_col)
