@@ -2,7 +2,7 @@
 
 1. *Random indexing.* Every token has a fixed sparse index vector (a few entries of +1 or -1). A token's context
    vector is the sum of the index vectors met within two tokens of it, over all documents. Tokens fall into a fixed
-   number of slots by a checksum, so a task adds up one table of bounded size, Spark adds the tables of all tasks,
+   number of slots by a hash, so a task adds up one table of bounded size, Spark adds the tables of all tasks,
    and the finished word vectors (``SLOTS x WIDTH`` floats, 8 MB) can be broadcast whatever the corpus.
 2. *Pooling.* A document becomes the mean and the spread of its tokens' vectors, and the mean steps from a token's
    vector to those of the next token and the one after it.
@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import dataclasses
-import re
 import zlib
 
 import numpy as np
@@ -22,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slots of tokens, width of the vectors, entries of an index vector, tokens to each side.
-SLOTS, WIDTH, ENTRIES, SIDE = 1 << 16, 32, 4, 2
+SLOT_BITS, WIDTH, ENTRIES, SIDE = 16, 32, 4, 2
+SLOTS = 1 << SLOT_BITS
 #: Contexts after which half of a token's vector is taken from them.
 TRUST = 10
-#: Characters split at once, tokens handled at once.
+#: Bytes split at once, tokens handled at once.
 PIECE, TOKENS = 1 << 20, 1 << 18
 #: At most so many labelled documents are fitted to.
 SAMPLE = 20000
@@ -34,32 +34,63 @@ HIDDEN, EPOCHS, BATCH, PATIENCE, RATE, DECAY = 32, 200, 128, 20, 0.004, 1e-3
 GOOD = 0.7
 FEATURES = 4 * WIDTH
 
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
-
-
-class _Slots(dict):
-    """Slot per token, remembered for a bounded number of tokens."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        slot = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % SLOTS
-        return slot
-
-
-_SLOT = _Slots()
-
-
-def slots_of(text: str | None) -> np.ndarray:
-    """The slots of a text's tokens (runs of letters, digits or signs, and line ends), whatever its length."""
-    text, at, out = text or "", 0, []
-    while at < len(text):
-        end = at + PIECE
-        while end < len(text) and end < at + 2 * PIECE and not text[end].isspace():
-            end += 1
-        out.append(np.array([_SLOT[t] for t in _TOKEN.findall(text, at, end)], np.int32))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+#: Fixed classes of bytes: 0 separates, runs of one of 1 to 4 are tokens, every 5 is a token.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[*range(0x21), 0x7F]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[0x30:0x3A], _CLASS[0x5F], _CLASS[0x0A] = 2, 4, 5
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, for one piece."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(PIECE + 1, base, np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.cumprod(steps))
+    return _POWERS
+
+
+def pieces(column: pa.Array):
+    """The tokens of a column of texts, piece by piece: their slots, and the row of each. Tokens are runs of letters
+    (all bytes beyond ASCII are letters), of digits, of underscores or of other signs, and line ends; the slot comes from
+    a polynomial hash of the bytes. A text longer than a piece is cut where a separator stands."""
+    column = column.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at, last = int(offsets[0]), int(offsets[-1])
+    power, inverse = _powers()
+    while at < last:
+        stop = min(at + PIECE, last)
+        if stop < last:
+            start_of_row = int(offsets[np.searchsorted(offsets, stop, "right") - 1])
+            gaps = np.flatnonzero(_CLASS[data[at:stop]] == 0) if start_of_row <= at else ()
+            stop = start_of_row if start_of_row > at else at + int(gaps[-1]) + 1 if len(gaps) else stop
+        text = data[at:stop]
+        kind = _CLASS[text]
+        change = np.ones(len(text), bool)
+        change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 5)
+        rows = offsets[np.searchsorted(offsets, at):np.searchsorted(offsets, stop)]
+        change[rows - at] = True
+        begin = np.flatnonzero(change)
+        end = np.append(begin[1:], len(text))
+        keep = kind[begin] != 0
+        begin, end = begin[keep], end[keep]
+        sums = np.zeros(len(text) + 1, np.uint64)
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:len(text)], out=sums[1:])
+        hashes = (sums[end] - sums[begin]) * inverse[begin] * np.uint64(_MIX)
+        yield (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int32), np.searchsorted(offsets, begin + at, "right") - 1
+        at = stop
+
+
+def slots_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all tokens of a column, and where each row's begin (and the last's end)."""
+    found = list(pieces(column))
+    slots = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int32)
+    rows = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+    return slots, np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(column)))])
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -77,41 +108,36 @@ class Contexts:
         self.signs = signs.astype(np.int32)
         self.sums, self.counts = np.zeros(SLOTS * WIDTH, np.int64), np.zeros(SLOTS, np.int64)
         self.recent, self.n_recent = np.zeros(SLOTS * WIDTH, np.int32), 0  # half the size, so more of it stays in cache
-        self.waiting, self.size = [], 0
+        self.texts, self.tail = 0, (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def settle(self) -> None:
         """Move the recent sums over before they could exceed their type."""
         self.sums += self.recent
         self.recent[:], self.n_recent = 0, 0
 
-    def add(self, slots: np.ndarray) -> None:
-        for at in range(0, len(slots), TOKENS):  # pieces overlap by the side, so no neighbours are lost
-            self.waiting.append((slots[max(at - SIDE, 0):at + TOKENS], min(at, SIDE)))
-            self.size += len(self.waiting[-1][0])
-            if self.size >= TOKENS:
-                self.flush()
-
-    def flush(self) -> None:
-        if not self.waiting:
-            return
-        slots = np.concatenate([w[0] for w in self.waiting])
-        text = np.repeat(np.arange(len(self.waiting)), [len(w[0]) for w in self.waiting])
-        old = np.zeros(len(slots), bool)  # tokens whose neighbours before them were counted with an earlier piece
-        start = np.cumsum([0, *(len(w[0]) for w in self.waiting[:-1])])
-        for s, (_, n) in zip(start, self.waiting):
-            old[s:s + n] = True
+    def add(self, column: pa.Array) -> None:
+        for slots, rows in pieces(column):
+            for at in range(0, len(slots), TOKENS):
+                self._count(slots[at:at + TOKENS], rows[at:at + TOKENS] + self.texts)
+        self.texts += len(column)
+
+    def _count(self, slots: np.ndarray, texts: np.ndarray) -> None:
+        """Contexts of the tokens with those before them; the last ones before this call are the tail."""
+        first = len(self.tail[0])
+        slots, texts = np.append(self.tail[0], slots), np.append(self.tail[1], texts)
         for step in range(1, SIDE + 1):
-            pair = (text[step:] == text[:-step]) & ~old[step:]
-            a, b = slots[:-step][pair], slots[step:][pair]
+            pair = np.flatnonzero(texts[step:] == texts[:-step])
+            pair = pair[pair + step >= first]  # two tokens of the tail have met
+            a, b = slots[pair], slots[pair + step]
             for centre, near in ((a, b), (b, a)):
                 start = centre * np.int64(WIDTH)
                 for e in range(ENTRIES):
                     np.add.at(self.recent, start + self.places[near, e], self.signs[near, e])
                 self.counts += np.bincount(centre, minlength=SLOTS)
+        self.tail = slots[-SIDE:], texts[-SIDE:]
         self.n_recent += len(slots)
         if self.n_recent > 1 << 28:
             self.settle()
-        self.waiting, self.size = [], 0
 
 
 def word_vectors(docs: DataFrame, col: str = "text") -> np.ndarray:
@@ -122,9 +148,7 @@ def word_vectors(docs: DataFrame, col: str = "text") -> np.ndarray:
     def count(batches):
         found = Contexts()
         for batch in batches:
-            for text in batch.column(0):
-                found.add(slots_of(text.as_py()))
-        found.flush()
+            found.add(batch.column(0))
         found.settle()
         table = np.concatenate([found.sums.reshape(SLOTS, WIDTH), found.counts[:, None]], 1)
         blocks = [b for b in range(SLOTS // rows) if found.counts[b * rows:(b + 1) * rows].any()]
@@ -273,7 +297,8 @@ def _pool_rows(vectors):
     def run(batches):
         table = vectors.value
         for batch in batches:
-            out = np.array([pooled(slots_of(t.as_py()), table) for t in batch.column(batch.num_columns - 1)], np.float64)
+            slots, ends = slots_of(batch.column(batch.num_columns - 1))
+            out = np.array([pooled(slots[a:b], table) for a, b in zip(ends, ends[1:])], np.float64)
             ends = pa.array(np.arange(0, out.size + 1, FEATURES, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(out.ravel()))],
                                              [*batch.schema.names[:-1], "features"])

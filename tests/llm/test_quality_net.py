@@ -1,19 +1,37 @@
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinframe.llm import quality_net as qn
 from tests.llm.conftest import WORDS, prose
 
 
+TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|_+|\n|[!-/:-@\[-^`{-~]+")
+
+
+def plain_slots(text):
+    """Slots token by token."""
+    out = []
+    for token in TOKEN.findall((text or "").encode()):
+        h = sum((b + 1) * pow(qn._BASE, i, 1 << 64) for i, b in enumerate(token)) * qn._MIX % (1 << 64)
+        out.append(h >> (64 - qn.SLOT_BITS))
+    return np.array(out, np.int64)
+
+
+def one(text):
+    return qn.slots_of(pa.array([text], pa.string()))[0]
+
+
 def plain_contexts(texts):
     """Context sums and counts, neighbour by neighbour."""
     places, signs = qn.index_vectors()
     sums, counts = np.zeros((qn.SLOTS, qn.WIDTH)), np.zeros(qn.SLOTS)
     for text in texts:
-        slots = [zlib.crc32(t.encode()) % qn.SLOTS for t in qn._TOKEN.findall(text or "")]
+        slots = plain_slots(text)
         for i, centre in enumerate(slots):
             for j in range(max(0, i - qn.SIDE), min(len(slots), i + qn.SIDE + 1)):
                 if j != i:
@@ -28,30 +46,37 @@ def plain_pooled(slots, vectors):
     return np.concatenate([x.mean(0), x.std(0), *steps])
 
 
-@pytest.mark.parametrize("tokens", [1 << 18, 7])
-def test_contexts_and_pooling_equal_brute_force(monkeypatch, odd_rows, tokens):
+@pytest.mark.parametrize("tokens,piece", [(1 << 18, 1 << 20), (7, 1 << 20), (1 << 18, 40), (5, 60)])
+def test_contexts_and_pooling_equal_brute_force(monkeypatch, odd_rows, tokens, piece):
     monkeypatch.setattr(qn, "TOKENS", tokens)
-    texts = [t for _, t, _ in odd_rows if t and len(t) < 3000][:12]
+    monkeypatch.setattr(qn, "PIECE", piece)
+    monkeypatch.setattr(qn, "_POWERS", [])
+    texts = [t for _, t, _ in odd_rows if t is None or len(t) < 3000 and "x" * 50 not in t and "é" * 50 not in t][:18]
+    texts += ["a_b__c 12,5!! \n\n#x", "\n", "", None, "Zwölf_é€ 9\x7f9"]
     found = qn.Contexts()
-    for t in texts:
-        found.add(qn.slots_of(t))
-    found.flush()
+    column = pa.array(["dropped", *texts], pa.string()).slice(1)
+    found.add(column.slice(0, 9))
+    found.add(column.slice(9))
     found.settle()
     sums, counts = plain_contexts(texts)
     assert (found.sums.reshape(sums.shape) == sums).all() and (found.counts == counts).all()
     vectors = qn.finished(sums, counts)
-    for t in texts:
-        assert np.allclose(qn.pooled(qn.slots_of(t), vectors), plain_pooled(qn.slots_of(t), vectors), atol=1e-6)
+    slots, ends = qn.slots_of(column)
+    for t, a, b in zip(texts, ends, ends[1:]):
+        assert slots[a:b].tolist() == plain_slots(t).tolist()
+        want = plain_pooled(plain_slots(t), vectors) if b > a else np.zeros(qn.FEATURES)
+        assert np.allclose(qn.pooled(slots[a:b], vectors), want, atol=1e-5)
 
 
 def test_long_texts_are_read_whole(monkeypatch):
     monkeypatch.setattr(qn, "PIECE", 50)
+    monkeypatch.setattr(qn, "_POWERS", [])
     text = "one two! three\n" * 300 + "x" * 500 + " end"
-    whole = [zlib.crc32(t.encode()) % qn.SLOTS for t in qn._TOKEN.findall(text[:4500])]
-    assert qn.slots_of(text)[:len(whole)].tolist() == whole and len(qn.slots_of(text)) > len(whole)
+    whole = plain_slots(text[:4500])
+    assert one(text)[:len(whole)].tolist() == whole.tolist() and one(text)[-1] == plain_slots("end")[0]
     vectors = np.random.default_rng(1).standard_normal((qn.SLOTS, qn.WIDTH)).astype(np.float32)
     slots = np.random.default_rng(2).integers(0, qn.SLOTS, 40000).astype(np.int32)
-    assert np.allclose(qn.pooled(slots, vectors), plain_pooled(slots, vectors), atol=1e-6)
+    assert np.allclose(qn.pooled(slots, vectors), plain_pooled(slots, vectors), atol=1e-5)
 
 
 def test_word_vectors_of_spark_equal_one_task(session, odd_docs, odd_rows):
