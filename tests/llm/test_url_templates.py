@@ -21,14 +21,14 @@ def rule(host, path):
     return max(fits, key=len, default=None)
 
 
-def tree_verdicts(pages, labels, many=20, rare=0.01, z=2.58, k=10.0):
+def tree_verdicts(pages, labels, z=2.58, k=10.0):
     """Template and share of bad pages per page, level by level in plain Python."""
     shapes = {}
     for p, url in pages:
         host, path = split(url)
         parts = [x for x in path.split("/") if x]
-        shape = ["{n}" if re.match(ut._NUMBER, x) else "{x}" if re.match(ut._HEX, x) else x for x in parts[:12]]
-        shapes[p] = (host, tuple(shape + ["**"] * (len(parts) > 12)))
+        shape = ["{n}" if re.match(ut._NUMBER, x) else "{x}" if re.match(ut._HEX, x) else x for x in parts]
+        shapes[p] = (host, tuple(shape))
     template = dict.fromkeys(shapes, "")
     for level in range(max(len(s) for _, s in shapes.values())):
         here = {p: (h, template[p], s[level]) for p, (h, s) in shapes.items() if len(s) > level}
@@ -38,12 +38,12 @@ def tree_verdicts(pages, labels, many=20, rare=0.01, z=2.58, k=10.0):
                 if (a, b) == (h, parent):
                     own.setdefault(c, []).append(p)
             counts = {c: (len(x), sum(p in labels for p in x), sum(labels.get(p, 0) for p in x)) for c, x in own.items()}
-            n, lab, bad = (sum(v[i] for v in counts.values()) for i in range(3))
+            lab, bad = (sum(v[i] for v in counts.values()) for i in (1, 2))
             for c, x in own.items():
-                m, l, b = counts[c]
+                _, l, b = counts[c]
                 error = (bad / lab * (1 - bad / lab) * (1 / l + 1 / (lab - l))) ** 0.5 if 0 < l < lab else 0
                 differs = error > 0 and abs(b / l - (bad - b) / (lab - l)) > z * error
-                keep = c in ("{n}", "{x}", "**") or len(own) == 1 or (differs and not (len(own) > many and m < rare * n))
+                keep = c in ("{n}", "{x}") or len(own) == 1 or differs
                 for p in x:
                     template[p] = parent + "/" + (c if keep else "*")
     base = sum(labels.values()) / max(1, sum(p in shapes for p in labels)) if labels else 0.0
@@ -64,8 +64,11 @@ def test_against_plain_python(session):
     urls += [f"http://hot.example.com/tag/word{k}/x" for k in range(60)]
     urls += [f"http://s{k % 5}.example.org/en/{k}.html?p=1" for k in range(100)]
     urls += ["http://deep.org/" + "a/" * 20 + str(k % 2) for k in range(4)] + ["http://hex.org/p/0123456789abcdef0123"]
+    urls += ["http://deep.org/" + "a/" * (k % 5) + rng.choice(["b", "c/d", "c/d/" + "e/" * 30]) for k in range(60)]
+    urls += [f"http://wide.org/{'/'.join(rng.choice('uvw') for _ in range(rng.randrange(0, 7)))}" for _ in range(150)]
+    urls += [f"http://grow.org/c{k % 40}/{'bad' if k % 40 == 7 else 'ok'}/{k}" for k in range(400)] + ["http://long.org/" + "seg/" * 3000 + "end"]
     pages = list(enumerate(urls))
-    labels = {p: int("/spam/" in (u or "") or rng.random() < 0.1) for p, u in pages if rng.random() < 0.6}
+    labels = {p: int("/spam/" in (u or "") or "/bad/" in (u or "") or "/u/v" in (u or "") or rng.random() < 0.1) for p, u in pages if rng.random() < 0.6}
     table = session.createDataFrame([(p, u, "h", "t") for p, u in pages], "page_id long, url string, host string, template string")
     marks = session.createDataFrame([(p, b) for p, b in labels.items()], "page_id long, bad int")
     got = {r.page_id: r for r in ut.judge(table, marks).collect()}
@@ -99,3 +102,13 @@ def test_a_rare_branch_that_differs_is_kept(session):
     assert len(got) == len(pages)
     assert {(got[p].template, got[p].verdict) for p, u in pages if "/evil/" in u} == {("/evil/{n}", "block")}
     assert {(got[p].template, got[p].verdict) for p, u in pages if "/evil/" not in u} == {("/*/{n}", "allow")}
+
+
+def test_deep_branches_are_told_apart(session):
+    """Pages below 13 shared and differing segments."""
+    deep = "/".join(f"s{k}" for k in range(11))
+    urls = [f"http://d.org/{deep}/x/{'bad' if k % 2 else 'good'}/{k}" for k in range(200)]
+    pages = list(enumerate(urls))
+    marks = session.createDataFrame([(p, p % 2) for p, _ in pages], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in ut.judge(session.createDataFrame(pages, "page_id long, url string"), marks).collect()}
+    assert got == {p: "block" if p % 2 else "allow" for p, _ in pages}
