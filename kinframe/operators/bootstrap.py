@@ -30,20 +30,29 @@ CHUNK = 256
 QUARTERS = (0.25, 0.5, 0.75)
 
 
-def uniforms(seed: int, group: str, replicates: np.ndarray, cell: str) -> np.ndarray:
-    """Numbers in [0, 1): the first 60 bits of the md5 of ``seed:group:replicate:cell``."""
-    key = f"{seed}:{group}:%d:{cell}"
-    return np.array([int(hashlib.md5((key % r).encode()).hexdigest()[:15], 16) for r in replicates]) / float(1 << 60)
+def uniforms(seed: int, group: str, replicates: np.ndarray) -> Callable[[str], np.ndarray]:
+    """For a cell, the replicates' numbers in [0, 1): the first 60 bits of the md5 of ``seed:group:replicate:cell``."""
+    begun = [hashlib.md5(f"{seed}:{group}:{r}:".encode()) for r in replicates]
+
+    def of(cell: str) -> np.ndarray:
+        ends, text = [], cell.encode()
+        for h in begun:
+            h = h.copy()
+            h.update(text)
+            ends.append(h.digest())
+        return (np.frombuffer(b"".join(ends), ">u8")[::2] >> np.uint64(4)).astype(np.int64) / float(1 << 60)
+
+    return of
 
 
 def binomial_quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """Elementwise the least k with P(Binomial(n, p) <= k) >= u, up to masses 15 deviations out. The masses are built outward from the mode by their
+    """Elementwise the least k with P(Binomial(n, p) <= k) >= u, up to masses of less than 2^-60. The masses are built outward from the mode by their
     ratios and normalised, so no factorial is needed; the work is that of the standard deviation."""
     if p >= 1:
         return n.copy()
     if p <= 0 or not n.any():
         return np.zeros(len(n), np.int64)
-    half = int(np.ceil(15 * np.sqrt(n.max() * p * (1 - p)))) + 40
+    half = int(np.ceil(9 * np.sqrt(n.max() * p * (1 - p)))) + 20
     step, odds, out = np.arange(half), p / (1 - p), np.empty(len(n), np.int64)
     rows = max(1, (1 << 21) // half)
     for at in range(0, len(n), rows):
@@ -97,8 +106,9 @@ def _shares(cells: DataFrame, n_boot: int, seed: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         g, chunks, weights = table["g"][0].as_py(), table["chunk"].to_pylist(), table["w"].to_pylist()
+        uniform = uniforms(seed, g or "", replicates)
         n = split(np.full(n_boot, sum(weights), np.int64), weights,
-                  lambda i: uniforms(seed, g or "", replicates, f"c{chunks[i]}"))
+                  lambda i: uniform(f"c{chunks[i]}"))
         valid = n[:, 1:] if chunks[0] == -1 else n
         before = np.cumsum(n, axis=1) - n - (n[:, :1] if chunks[0] == -1 else 0)
         c = len(chunks)
@@ -117,7 +127,8 @@ def _per_chunk(cells: DataFrame, n_boot: int, seed: int, reduce: Callable, schem
             return arrow.empty_table()
         own, shares = own.sort_by("cell"), shares.sort_by("replicate")
         g, names, replicates = own["g"][0].as_py(), own["cell"].to_pylist(), shares["replicate"].to_numpy()
-        draws = split(shares["n"].to_numpy(), own["w"].to_pylist(), lambda i: uniforms(seed, g or "", replicates, str(names[i])))
+        uniform = uniforms(seed, g or "", replicates)
+        draws = split(shares["n"].to_numpy(), own["w"].to_pylist(), lambda i: uniform(str(names[i])))
         return pa.table(reduce(own, shares, draws), schema=arrow)
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))

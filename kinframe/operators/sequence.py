@@ -72,9 +72,9 @@ def previous_in_group(df: DataFrame, key: str, order: Sequence[str], carry: Sequ
           for c in carry])
 
 
-def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
-                out: str = "running", inclusive: bool = True, buckets: int | None = None) -> DataFrame:
-    """Running total of ``value`` within ``key`` in ``order`` (a total order).
+def running_sums(df: DataFrame, key: Sequence[str], order: Sequence[str], sums: dict[str, str],
+                 inclusive: bool = True, buckets: int | None = None) -> DataFrame:
+    """Running totals (``out -> value``) within ``key`` in ``order`` (a total order), in one layout.
 
     Replaces ``sum(value) OVER (PARTITION BY key ORDER BY order)``, whose
     un-keyed form is a single-partition window: each bucket sums locally; the
@@ -85,13 +85,19 @@ def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value:
     b = _bucketed(df, key + list(order), buckets)
     frame = Window.partitionBy("_b", *key).orderBy(*order)
     frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = b.withColumn("_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
-    tot = b.groupBy("_b", *key).agg(F.sum(value).alias("_tot"))
+    local = b.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"_loc_{out}") for out, v in sums.items()])
+    tot = b.groupBy("_b", *key).agg(*[F.sum(v).alias(f"_tot_{out}") for out, v in sums.items()])
     w = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(F.col("_b").alias("_ob"), *[F.col(k).alias(f"_o_{k}") for k in key],
-                      F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_off"))
+                      *[F.coalesce(F.sum(f"_tot_{out}").over(w), F.lit(0)).alias(f"_off_{out}") for out in sums])
     on = (F.col("_b") == F.col("_ob")) & _same(key, [f"_o_{k}" for k in key])
-    return local.join(offs, on).select(*df.columns, (F.col("_loc") + F.col("_off")).alias(out))
+    return local.join(offs, on).select(*df.columns, *[(F.col(f"_loc_{out}") + F.col(f"_off_{out}")).alias(out) for out in sums])
+
+
+def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
+                out: str = "running", inclusive: bool = True, buckets: int | None = None) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, key, order, {out: value}, inclusive, buckets)
 
 
 def dense_index(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
