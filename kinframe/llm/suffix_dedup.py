@@ -484,13 +484,14 @@ _WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
 
 def _documents(rows: DataFrame) -> DataFrame:
-    """``key, text`` (no null key) to ``id, key, text``: equal rows share a long ``id``, ids rise with the key and, where
-    rows of one key have different texts, with the SHA-256 of the text. Whole keys that name one text each are the ids."""
+    """``key, text`` (no null key) to ``id, text`` and, where the key is not the id, ``key``: equal rows share a long
+    ``id``, ids rise with the key and, where rows of one key have different texts, with the SHA-256 of the text. Whole
+    keys that name one text each are the ids."""
     if rows.schema["key"].dataType.simpleString() in _WHOLE:
         mark = F.xxhash64("text")
         several = rows.groupBy("key").agg((F.min(mark) < F.max(mark)).alias("several")).where("several").limit(1)
         if several.isEmpty():
-            return rows.select(F.col("key").cast("long").alias("id"), "key", "text")
+            return rows.select(F.col("key").cast("long").alias("id"), "text")
     marked = rows.withColumn("digest", F.sha2("text", 256))
     numbers = dense_index(marked.select("key", "digest").distinct(), [], ["key", "digest"], "id")
     return stored(marked.join(numbers, ["key", "digest"]).select("id", "key", "text"), "suffix-texts")
@@ -503,8 +504,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("key"), whole_text(text_col).alias("text"))
     # both joins deal the same rows by id, so Spark exchanges the texts once
     texts = _documents(rows.filter(F.col("key").isNotNull()))
-    joined = texts.join(_spans(texts), F.col("id") == F.col("doc"), "left").select("key", "text", "spans")
-    alone = rows.filter(F.col("key").isNull()).select("key", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
+    own = "key" if "key" in texts.columns else "id"
+    joined = texts.join(_spans(texts), F.col("id") == F.col("doc"), "left").select(own, "text", "spans")
+    alone = rows.filter(F.col("key").isNull()).select(
+        F.col("key").cast(joined.schema[own].dataType).alias(own), "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
     cut = joined.unionByName(alone).mapInArrow(
-        _cut, f"id {id_type}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
-    return cut.withColumnRenamed("id", id_col)
+        _cut, f"id {joined.schema[own].dataType.simpleString()}, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
+    return cut.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_col)
