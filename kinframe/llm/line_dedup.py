@@ -3,21 +3,25 @@
 Documents that share rare lines are paired, their line sequences aligned by patience diff, and the common
 blocks deleted from the later document. Documents are ordered by (id, hash of the text).
 
-Pairs: every line of ``min_line`` characters or more is owned by the first document that has it, and a
-later document with the line is paired with the owner, so pairs grow with the lines and not with the
-square of a group of copies. A pair counts if the lines it shares are a passage by their length
-(``PASSAGE * min_line`` characters together, so any three lines, or one long line), or one of them is
-rare (in at most the share ``rare`` of the documents, or in two), or they are all that the later document
-has: so copies and passages are found however large their group and the table, and a lone short line that
-is common pairs nothing.
+Pairs: every line of ``min_line`` characters or more is a key, and every shorter one together with the short
+lines after it (blank ones aside) that are needed to reach ``min_line`` characters; so verse, code and wrapped
+passages have keys, too. A key is owned by the first document that has it, and a later document with the key is
+paired with the owner, so pairs grow with the lines and not with the square of a group of copies. A pair counts
+if the lines that begin its shared keys are a passage by their length (``PASSAGE * min_line`` characters
+together, so any three lines, or one long line), or one of the keys is rare (in at most the share ``rare`` of the
+documents, or in two), or they are all that the later document has: so copies and passages are found however
+large their group and the table, and a lone line that is common pairs nothing.
 
 Alignment: lines that occur once in each of two ranges are matched along their longest increasing
-subsequence, ranges between matches and common ends likewise. Consecutive matches are blocks; a block
-with at least one line of ``min_line`` characters is deleted from the later document. What the alignment
-leaves although the earlier document has it (a passage that it holds twice, or in another order) is found
-as the longest blocks of the earlier document that end at each line of the later one, and deleted likewise:
-so a pair leaves no long line that both have, and no further partner is needed. The first document that
-has a line never loses it, so no line is deleted everywhere.
+subsequence, ranges between matches and common ends likewise. Consecutive matches are blocks; a block of
+``min_line`` characters is deleted from the later document. What the alignment leaves although the earlier
+document has it (a passage that it holds twice, or in another order) is found as the longest blocks of the
+earlier document that end at each line of the later one, and deleted likewise: so all blocks of ``min_line``
+characters that a pair shares go, and no further partner is needed. The first document that has such a block
+never loses it, so none is deleted everywhere.
+
+A task reads a later document once and then its partners one after the other, so its memory holds two documents
+however many partners there are.
 
 Only line hashes are exchanged for this; texts move once, to be cut.
 
@@ -33,7 +37,7 @@ from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm.common import WHITE, small_batches, stored, whole_text
@@ -120,47 +124,77 @@ def longest_ends(a: list[int | None], b: list[int]) -> list[int]:
     return out
 
 
-def _moved(earlier: list[int], later: list[int], long_enough: list[bool], done: list[int]) -> list[int]:
-    """Positions in ``later`` of blocks of ``earlier`` in any place with a long line that is not in ``done``."""
+def _moved(earlier: list[int], later: list[int], size: list[int], done: list[int], least: int) -> list[int]:
+    """Positions in ``later`` of blocks of ``earlier`` in any place with ``least`` characters, if some are not ``done``."""
     have, cut = set(earlier), set(done)
-    left = [e and k not in cut and later[k] in have for k, e in enumerate(long_enough)]
-    if not any(left):
+    if not any(x in have and k not in cut for k, x in enumerate(later)):
         return []
     also = set(later)
     ends = longest_ends([x if x in also else None for x in earlier], later)
-    before = [0, *accumulate(left)]
+    before = [0, *accumulate(size)]
     out: list[int] = []
     upto = 0
     for j, n in enumerate(ends):
         whole = j + 1 == len(ends) or ends[j + 1] != n + 1  # else the next position's block holds this one
-        if whole and before[j + 1] > before[j + 1 - n]:
+        if whole and before[j + 1] - before[j + 1 - n] >= least:
             out += range(max(upto, j + 1 - n), j + 1)  # starts never go back
             upto = j + 1
     return out
 
 
-def common_blocks(earlier: list[int], later: list[int], long_enough: list[bool]) -> list[int]:
-    """Positions in ``later`` of common blocks with at least one line that is long enough: aligned ones first, then
-    what the alignment leaves."""
+def common_blocks(earlier: list[int], later: list[int], size: list[int], least: int) -> list[int]:
+    """Positions in ``later`` of common blocks with at least ``least`` characters (``size`` per line): aligned ones first,
+    then what the alignment leaves."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if any(long_enough[k] for k in block):
+            if sum(size[k] for k in block) >= least:
                 out += block
             block = []
         block.append(j)
         last = (i, j)
-    return out + _moved(earlier, later, long_enough, out)
-
-
-def _aligned(batches):
-    """``id, digest, earlier, later, long`` to ``id, digest, cut``: positions to delete."""
-    for b in batches:
-        cut = [common_blocks(x, y, z) for x, y, z in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cut, pa.list_(pa.int32()))],
-                                         names=["id", "digest", "cut"])
+    return out + _moved(earlier, later, size, out, least)
+
+
+def _aligner(least: int):
+    """Rows ``id, digest, owner, lines, size``, a document (``owner`` 0) before its partners (1), to ``id, digest, cut``:
+    positions to delete."""
+    def run(batches):
+        lines, size = [], []
+        for b in batches:
+            owner, at, cuts = b.column(2).to_pylist(), [], []
+            for k in range(b.num_rows):
+                if not owner[k]:
+                    lines, size = b.column(3)[k].as_py(), b.column(4)[k].as_py()
+                    continue
+                cut = common_blocks(b.column(3)[k].as_py(), lines, size, least)
+                if cut:
+                    at.append(k), cuts.append(cut)
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)),
+                                                  pa.array(cuts, pa.list_(pa.int32()))], names=["id", "digest", "cut"])
+
+    return run
+
+
+def _keys(min_line: int) -> tuple[Column, Column]:
+    """The lines with characters (to be named ``solid``), and from them ``line, size`` per distinct key of a document: the
+    hash of a long line, or of a run of short ones, and the characters of the line that begins it."""
+    solid = F.filter(F.arrays_zip("lines", "size"), lambda x: x["size"] > 0)
+    none = F.array().cast("array<long>")
+    start = F.struct(F.lit(0).alias("chars"), none.alias("run"), F.lit(False).alias("over"))
+
+    def longer(s: Column, y: Column) -> Column:
+        more = F.struct((s["chars"] + y["size"]).alias("chars"), F.concat(s["run"], F.array(y["lines"])).alias("run"), F.lit(False).alias("over"))
+        ended = F.struct(s["chars"].alias("chars"), s["run"].alias("run"), F.lit(True).alias("over"))
+        return F.when(s["over"] | (s["chars"] >= min_line), s).when(y["size"] >= min_line, ended).otherwise(more)
+
+    # every line has a character, so ``min_line`` lines are enough
+    run = lambda i: F.aggregate(F.slice("solid", i + 1, min_line), start, longer, lambda s: F.when(s["chars"] >= min_line, F.xxhash64(s["run"])))
+    key = lambda x, i: F.struct(F.when(x["size"] >= min_line, x["lines"]).otherwise(run(i)).alias("line"), x["size"].alias("size"))
+    return solid, F.array_distinct(F.filter(F.transform("solid", key), lambda k: k["line"].isNotNull()))
 
 
 def deletions(docs: DataFrame, min_line: int = 20, rare: float = 0.2, id_col: str = "doc_id",
@@ -176,10 +210,11 @@ def deletions(docs: DataFrame, min_line: int = 20, rare: float = 0.2, id_col: st
         .groupBy("id", "digest").agg(F.first("lines").alias("lines"), F.first("size").alias("size")), "lines")
     few = max(2, rare * lines.count())
 
-    long_lines = F.array_distinct(F.filter(F.arrays_zip("lines", "size"), lambda x: x["size"] >= min_line))
-    met = lines.select("id", "digest", long_lines.alias("own")).select(
+    solid, keys = _keys(min_line)
+    met = lines.select("id", "digest", solid.alias("solid")).select("id", "digest", keys.alias("own")).select(
         "id", "digest", F.size("own").alias("n_own"), F.explode("own").alias("own")).select(
-        "id", "digest", "n_own", F.col("own.lines").alias("line"), F.col("own.size").alias("chars"))
+        "id", "digest", "n_own", F.col("own.line").alias("line"), F.col("own.size").alias("chars"))
+    # a run can begin with lines of several sizes only if their hashes collide, so a key occurs once in a document
     owners = met.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "digest")).alias("owner"))
     shared = met.join(owners.filter("docs > 1"), "line").filter(
         ~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("digest") == F.col("owner.digest"))))
@@ -187,18 +222,17 @@ def deletions(docs: DataFrame, min_line: int = 20, rare: float = 0.2, id_col: st
         F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("docs").alias("rarest"),
         F.max("n_own").alias("n_own"))
         .filter((F.col("chars") >= PASSAGE * min_line) | (F.col("rarest") <= few) | (F.col("n") == F.col("n_own"))))
+    pairs = stored(pairs.select("id", "digest", F.col("owner.id").alias("owner_id"), F.col("owner.digest").alias("owner_digest")), "pairs")
 
-    later = lines.select(F.col("id").alias("i"), F.col("digest").alias("d"), F.col("lines").alias("later"),
-                         F.transform("size", lambda x: x >= min_line).alias("long"))
-    earlier = lines.select(F.col("id").alias("i2"), F.col("digest").alias("d2"), F.col("lines").alias("earlier"))
-    both = (pairs.select("id", "digest", F.col("owner.id").alias("owner_id"), F.col("owner.digest").alias("owner_digest"))
-            .join(later, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")))
-            .join(earlier, F.col("owner_id").eqNullSafe(F.col("i2")) & (F.col("owner_digest") == F.col("d2"))))
+    own = lines.select(F.col("id").alias("i"), F.col("digest").alias("d"), "lines", "size")
+    later = own.join(pairs.select("id", "digest").distinct(), F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select(
+        "id", "digest", F.lit(0).alias("owner"), "lines", "size")
+    earlier = pairs.join(own, F.col("owner_id").eqNullSafe(F.col("i")) & (F.col("owner_digest") == F.col("d"))).select(
+        "id", "digest", F.lit(1).alias("owner"), "lines", F.array().cast(lines.schema["size"].dataType).alias("size"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    cut = both.select("id", "digest", "earlier", "later", "long").mapInArrow(
-        _aligned, f"id {id_type}, digest long, cut array<int>")
-    return cut.filter(F.size("cut") > 0).groupBy("id", "digest").agg(
-        F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    both = later.unionByName(earlier).repartition("id", "digest").sortWithinPartitions("id", "digest", "owner")
+    cut = both.mapInArrow(_aligner(min_line), f"id {id_type}, digest long, cut array<int>")
+    return cut.groupBy("id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 
 def _with_cuts(docs: DataFrame, id_col: str, text_col: str, min_line: int, rare: float) -> DataFrame:

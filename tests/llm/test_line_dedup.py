@@ -35,11 +35,45 @@ def test_patience_matches_in_order():
         assert len(ld.patience(a, b)) == longest_common(a, b)
 
 
-def brute(rows, min_line=20, rare=100):
+def substance(line):
+    return len(line.strip(" \t\r\x0b\x0c"))
+
+
+def keys_of(lines, min_line):
+    """Keys in order with the characters of the line that begins each."""
+    solid, out = [x for x in lines if substance(x)], {}
+    for k, x in enumerate(solid):
+        if substance(x) >= min_line:
+            out[x] = substance(x)
+            continue
+        run, chars = [], 0
+        for y in solid[k:]:
+            if substance(y) >= min_line or chars >= min_line:
+                break
+            run, chars = [*run, y], chars + substance(y)
+        if chars >= min_line:
+            out["short", *run] = substance(x)
+    return out
+
+
+def common(earlier, later, min_line):
+    """Positions of ``later`` in any block of lines that ``earlier`` has as well, with enough characters."""
+    out = set()
+    for j in range(len(later)):
+        for i in range(len(earlier)):
+            n = 0
+            while i + n < len(earlier) and j + n < len(later) and earlier[i + n] == later[j + n]:
+                n += 1
+            if sum(map(substance, later[j:j + n])) >= min_line:
+                out.update(range(j, j + n))
+    return out
+
+
+def brute(rows, min_line=20, rare=0.2):
     """{(id, text): positions deleted}"""
     docs = sorted({(i, t or "") for i, t in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
     lines = [t.split("\n") for _, t in docs]
-    own = [{x for x in ls if len(x.strip()) >= min_line} for ls in lines]
+    own = [keys_of(ls, min_line) for ls in lines]
     have = {}
     for k, s in enumerate(own):
         for x in s:
@@ -51,8 +85,8 @@ def brute(rows, min_line=20, rare=100):
             if have[x][0] < k:
                 owners.setdefault(have[x][0], []).append(x)
         for o, shared in owners.items():
-            if min(len(have[x]) for x in shared) <= rare or len(shared) >= 3 or len(shared) == len(s):
-                cut[docs[k]].update(ld.common_blocks(lines[o], lines[k], [len(x.strip()) >= min_line for x in lines[k]]))
+            if sum(s[x] for x in shared) >= 3 * min_line or min(len(have[x]) for x in shared) <= max(2, rare * len(docs)) or len(shared) == len(s):
+                cut[docs[k]] |= common(lines[o], lines[k], min_line)
     return cut
 
 
@@ -112,10 +146,10 @@ def test_rarity_is_a_share_and_passages_always_go(session):
 
 def test_blocks_that_alignment_leaves():
     # the owner holds the passage twice, and no other line is common; a block in another order
-    assert sorted(ld.common_blocks([1, 8, 9, 2, 8, 9, 3], [5, 8, 9, 6], [True] * 4)) == [1, 2]
-    assert sorted(set(ld.common_blocks([1, 2, 3, 4, 5], [4, 5, 1, 2, 3], [True] * 5))) == [0, 1, 2, 3, 4]
-    # short lines go with a long neighbour of the same block only
-    assert sorted(set(ld.common_blocks([1, 7, 2, 3], [2, 3, 9, 7, 9, 1, 7], [True, True, True, False, True, True, False]))) == [0, 1, 5, 6]
+    assert sorted(ld.common_blocks([1, 8, 9, 2, 8, 9, 3], [5, 8, 9, 6], [20] * 4, 20)) == [1, 2]
+    assert sorted(set(ld.common_blocks([1, 2, 3, 4, 5], [4, 5, 1, 2, 3], [20] * 5, 20))) == [0, 1, 2, 3, 4]
+    # short lines go with neighbours of the same block only
+    assert sorted(set(ld.common_blocks([1, 7, 2, 3], [2, 3, 9, 7, 9, 1, 7], [20, 20, 20, 3, 20, 20, 3], 20))) == [0, 1, 5, 6]
     rng = random.Random(3)
     for _ in range(500):
         a = [rng.randrange(9) for _ in range(rng.randrange(20))]
@@ -123,11 +157,31 @@ def test_blocks_that_alignment_leaves():
         ends = [max(n for n in range(j + 2) if n == 0 or any(a[i:i + n] == b[j + 1 - n:j + 1] for i in range(len(a))))
                 for j in range(len(b))]
         assert ld.longest_ends(a, b) == ends
-        is_long = [x > 3 for x in b]
-        got = set(ld.common_blocks(a, b, is_long))
-        assert {j for j, x in enumerate(b) if x > 3 and x in a} == {j for j in got if is_long[j]}
-        held = [(j, n) for j, n in enumerate(ends) if any(is_long[j + 1 - n:j + 1])]
-        assert all(any(j - n < k <= j for j, n in held) for k in got)
+        text = lambda x: "x" * x + chr(97 + x)
+        got = set(ld.common_blocks(a, b, [x + 1 for x in b], 9))
+        assert got == common([text(x) for x in a], [text(x) for x in b], 9)
+
+
+def test_documents_of_short_lines(session):
+    """Copies and passages of lines that are all shorter than a key."""
+    rng = random.Random(12)
+    verse = lambda n: [f"{prose(rng, 2, 100)[:12]} {rng.randrange(100)}" for _ in range(n)]
+    poem, passage = verse(60), verse(12)
+    texts = ["\n".join(poem)] * 3 + ["\n\n".join(poem[:20]), "\n".join([*verse(5), "", *passage, *verse(4)]), "\n".join([*verse(8), *passage, "", *verse(2)])]
+    texts += ["ab\ncd", "ab\ncd", "\n".join(["x"] * 40), "\n".join(["x"] * 25)]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    got = {r.doc_id: set(r.removed_lines) for r in ld.dedup_lines(session.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: cut for (i, _), cut in want.items()}
+    assert got[1] == got[2] == set(range(60)) and len(got[5]) >= 12 and not got[7] and len(got[9]) == 25
+
+
+def test_a_document_with_very_many_partners(session):
+    rng = random.Random(13)
+    lines = [prose(rng, 6, 100) + f" number {k}" for k in range(1500)]
+    rows = [(k, lines[k] + f"\nown {k}") for k in range(1500)] + [(9999, "\n".join(lines))]
+    got = ld.deletions(session.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.id, sorted(r.cut)) for r in got] == [(9999, list(range(1500)))]
 
 
 def test_no_partner_is_missed(session):

@@ -1,3 +1,5 @@
+import public_tokenizers
+
 import corpus_pipeline
 from kinframe.llm import queries
 from tests.llm.test_decontamination import brute as hits
@@ -41,7 +43,7 @@ def test_stages_against_brute_force(session):
     lengths = {}
     for r in seen[4][1].collect():
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
-    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    path = public_tokenizers.path("word_bpe_49k.json")
     assert lengths == {i: len(x) // 4 + 1 for i, x in zip(got[3], encode_ids(list(got[3].values()), path))}
 
 
@@ -51,4 +53,4 @@ def test_run_and_registration(session):
     import __spark_entry__ as entry
 
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries())
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
