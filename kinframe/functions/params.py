@@ -35,6 +35,7 @@ CARD_PATTERNS = [
     r"(\d+x\d+[BKMkmb]?)",
     r'"num_parameters":\s*(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?[BKMkmb]?)',
 ]
+# Forms of a number text and of a time stamp.
 NXM = r"^(\d+)x(\d+)([bkmg])?$"
 SUFFIXED = r"^(\d+(?:\.\d+)?)\s*(thousand|million|billion|k|m|b|g)?$"
 ISO_TS = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?"

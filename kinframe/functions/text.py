@@ -26,6 +26,7 @@ PERMISSIVE = ["mit", "bsd", "apache-2.0", "openrail"]
 # Labels of a last-modified date in a card, in order.
 LAST_MODIFIED_PATTERNS = [r"last modified:\s*(\d{4}-\d{2}-\d{2})", r"last_modified:\s*(\d{4}-\d{2}-\d{2})",
                           r"last updated:\s*(\d{4}-\d{2}-\d{2})", r"last_updated:\s*(\d{4}-\d{2}-\d{2})"]
+# The language block of a card.
 LANGUAGE_BLOCK = r"language:\s*(\[[^\]]*\]|(?:\s*-\s*[a-z]{2}[\-\w]*\s*)+)"
 
 

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import ids as I
 from kinframe.functions.common import r6
+from kinframe.functions.dictionaries import LANGUAGES
 from kinframe.operators import graph as g
 from kinframe.plans.graph import EDGES
 from kinframe.plans.registry import query
+from kinframe.plans.sqlfn import q
 from kinframe.sources import bindings as b
 from kinframe.sources.tables import Tables
 
-# ISO 639-1 codes of the dimension table and their names.
-LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish"}
-LANG_SQL = "dim_language(code, name) AS (VALUES ('en', 'English'), ('de', 'German'), ('fr', 'French'), ('es', 'Spanish'))"
+LANG_SQL = "dim_language(code, name) AS (VALUES " + ", ".join(f"({q(c)}, {q(n)})" for c, n in LANGUAGES.items()) + ")"
 
 
 def tags(t: Tables):
@@ -75,8 +75,8 @@ def q_parents_by_relation(t: Tables):
 
 
 @query("languages_from_tags", sql=csql(
-    """SELECT id, array_to_string(list_transform(list_filter(tags, lambda x: length(x) = 2 AND x IN ('en', 'de', 'fr', 'es')),
-  lambda x: CASE x WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' END), ',') AS languages FROM tags"""))
+    f"""SELECT id, array_to_string(list_transform(list_filter(tags, lambda x: length(x) = 2 AND x IN ({', '.join(q(c) for c in LANGUAGES)})),
+  lambda x: CASE x {' '.join(f'WHEN {q(c)} THEN {q(n)}' for c, n in LANGUAGES.items())} END), ',') AS languages FROM tags"""))
 def q_languages_from_tags(t: Tables):
     x = tags(t)
     two = F.filter("tags", lambda s: F.length(s) == 2)

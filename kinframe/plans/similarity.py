@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinframe.functions.common import r6
+from kinframe.functions.dictionaries import STOP_WORDS
 from kinframe.operators import similarity as S
 from kinframe.operators.topk import top_k, top_k_per_group
 from kinframe.plans.registry import query
@@ -12,10 +13,6 @@ from kinframe.plans.sqlfn import q
 from kinframe.sources import bindings as b
 from kinframe.sources.tables import Tables
 
-# English stop words removed by ``clean_tokens``.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it",
-              "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with", "not",
-              "but", "they", "we", "you", "i", "all", "any", "can", "had", "her", "his", "our", "their"]
 NONWORD = r"[^\p{L}\p{N}_]+"
 TOK_SQL = f"regexp_extract_all(lower(text), {q(S.TOKEN)})"
 

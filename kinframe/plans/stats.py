@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinframe.functions.common import r6
+from kinframe.functions.dictionaries import CARD_FIELDS
 from kinframe.operators import graph as g
 from kinframe.operators import stats as st
 from kinframe.operators.sequence import dense_index
@@ -116,27 +117,27 @@ def q_summary_by_depth(t: Tables):
         "max_total", "mean_card_length", "mean_parameters", "pct_with_derivatives")
 
 
-# Card phrases by category (words that occur in the documents).
-PHRASES = [("structure", "the"), ("structure", "and"), ("legal", "license"), ("legal", "apache"),
-           ("contact", "mail"), ("contact", "example.com")]
+#: Category and phrase of every field looked for in a card.
+PHRASES = [(category, phrase) for category, phrases in CARD_FIELDS.items() for phrase in phrases]
 PHRASE_SQL = "dim_phrase(category, phrase) AS (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in PHRASES) + ")"
 
 
-def phrase_table(spark):
-    return spark.createDataFrame(PHRASES, "category string, phrase string")
+def fields_in_cards(t: Tables):
+    """``depth, hits``: one boolean per phrase and card, found where the card is scanned; the texts are not moved."""
+    cards = t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low")).select(
+        "id", F.array(*[F.coalesce(F.col("low").contains(p), F.lit(False)).cast("int") for _, p in PHRASES]).alias("hits"))
+    return crawl_full(t).select("id", "depth").join(cards, "id").select("depth", "hits")
 
 
 @query("field_presence_by_depth", sql=ksql(
     """SELECT c.depth, p.category, p.phrase, round(100.0 * avg(CASE WHEN contains(lower(d.text), p.phrase) THEN 1 ELSE 0 END), 6)::DOUBLE AS pct
 FROM crawl c JOIN documents d ON d.doc_id = c.id CROSS JOIN dim_phrase p GROUP BY c.depth, p.category, p.phrase""", PHRASE_SQL))
 def q_field_presence_by_depth(t: Tables):
-    """One pass over the cards: the phrase list (a fixed handful of rows) is
-    broadcast and crossed with each card."""
-    c = crawl_full(t).select("id", "depth")
-    d = t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
-    x = c.join(d, "id").crossJoin(F.broadcast(phrase_table(t.spark)))
-    return x.groupBy("depth", "category", "phrase").agg(
-        r6(100.0 * F.avg(F.when(F.col("low").contains(F.col("phrase")), 1).otherwise(0))).alias("pct"))
+    """Share of the cards of a depth that have each field, all fields in one aggregate."""
+    sums = fields_in_cards(t).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("hits")[k]) for k in range(len(PHRASES))]).alias("s"))
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(p).alias("phrase"), r6(100.0 * F.col("s")[k] / F.col("n")).alias("pct"))
+                     for k, (c, p) in enumerate(PHRASES)])
+    return sums.select("depth", F.explode(rows).alias("r")).select("depth", "r.*")
 
 
 @query("category_completion_by_depth", sql=ksql(
@@ -146,15 +147,15 @@ def q_field_presence_by_depth(t: Tables):
   FROM crawl c JOIN documents d ON d.doc_id = c.id CROSS JOIN dim_phrase p GROUP BY c.depth, p.category, c.id) x GROUP BY depth, category""",
     PHRASE_SQL))
 def q_category_completion_by_depth(t: Tables):
-    c = crawl_full(t).select("id", "depth")
-    d = t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low"))
-    x = c.join(d, "id").crossJoin(F.broadcast(phrase_table(t.spark)))
-    per = x.groupBy("depth", "category", "id").agg(
-        F.sum(F.when(F.col("low").contains(F.col("phrase")), 1).otherwise(0)).alias("hits"),
-        F.count(F.lit(1)).alias("np"))
-    return per.groupBy("depth", "category").agg(
-        r6(F.count_if(F.col("hits") > 0) / (F.max("np") * F.count(F.lit(1)))).alias("completion_capped"),
-        r6(F.avg(F.col("hits") / F.col("np"))).alias("mean_phrase_share"))
+    """Per category: cards with any field over all cards and fields, and the mean share of its fields."""
+    own = {c: [k for k, (d, _) in enumerate(PHRASES) if d == c] for c in CARD_FIELDS}
+    found = lambda ks: sum((F.col("hits")[k] for k in ks[1:]), F.col("hits")[ks[0]])
+    cards = fields_in_cards(t).select("depth", *[found(ks).alias(f"h{i}") for i, ks in enumerate(own.values())])
+    sums = cards.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"h{i}") > 0).alias(f"any{i}") for i in range(len(own))],
+                                      *[F.sum(f"h{i}").alias(f"sum{i}") for i in range(len(own))])
+    rows = F.array(*[F.struct(F.lit(c).alias("category"), r6(F.col(f"any{i}") / (len(ks) * F.col("n"))).alias("completion_capped"),
+                              r6(F.col(f"sum{i}") / (len(ks) * F.col("n"))).alias("mean_phrase_share")) for i, (c, ks) in enumerate(own.items())])
+    return sums.select("depth", F.explode(rows).alias("r")).select("depth", "r.*")
 
 
 def valid_params(t: Tables):
