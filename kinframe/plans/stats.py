@@ -287,16 +287,48 @@ def q_tag_contrast(t: Tables):
     return j.select(F.coalesce("rk_a", "rk_b").alias("rank"), "tag_high", "n_high", "tag_low", "n_low")
 
 
-@query("histogram", sql="""WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS n FROM lineitem WHERE l_extendedprice IS NOT NULL),
-b AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin FROM lineitem, m WHERE l_extendedprice IS NOT NULL)
-SELECT bin, round(lo + bin * (hi - lo) / 50, 6) AS bin_lo, round(lo + (bin + 1) * (hi - lo) / 50, 6) AS bin_hi, count(*) AS n,
-  round(count(*) / (max(m.n) * (hi - lo) / 50), 9) AS density FROM b, m GROUP BY bin, lo, hi""")
-def q_histogram(t: Tables):
-    h = st.fixed_histogram(t.lineitem, "l_extendedprice", 50)
+def _bins_sql(rows: str, bins: int) -> str:
+    return f"""(WITH v AS ({rows}), m AS (SELECT min(x) - CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS lo, max(x) + CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS hi, count(*) AS n FROM v),
+c AS (SELECT CAST(least(floor((x - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INTEGER) AS bin FROM v, m)
+SELECT bin, round(lo + bin * (hi - lo) / {bins}, 6) AS bin_lo, round(lo + (bin + 1) * (hi - lo) / {bins}, 6) AS bin_hi, count(*) AS n,
+  round(count(*) / (max(m.n) * (hi - lo) / {bins}), 9) AS density FROM c, m GROUP BY bin, lo, hi)"""
+
+
+def _rounded_bins(h):
     return h.select("bin", r6("bin_lo").alias("bin_lo"), r6("bin_hi").alias("bin_hi"), "n",
                     F.round("density", 9).alias("density"))
 
 
+@query("histogram", sql=f"SELECT * FROM {_bins_sql('SELECT l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL', 50)} h")
+def q_histogram(t: Tables):
+    """50 bins over the values."""
+    return _rounded_bins(st.fixed_histogram(t.lineitem, "l_extendedprice", 50))
+
+
+@query("histogram_log10", sql=b.with_views(f"SELECT * FROM {_bins_sql('SELECT log10(parameters) AS x FROM pc WHERE parameters > 0', 50)} h", "par", ctes=(PARAMS_SQL,)))
+def q_histogram_log10(t: Tables):
+    """50 bins over the decimal logarithm of the parameter counts."""
+    return _rounded_bins(st.fixed_histogram(valid_params(t).select(F.log10("parameters").alias("x")), "x", 50))
+
+
+_WHOLE = "CAST(floor(l_extendedprice) AS BIGINT)"
+_STRIPPED = f"rtrim(CAST({_WHOLE} AS VARCHAR), '0')"
+_FLAGGED = {"round": f"(length({_STRIPPED}) <= 2 OR right({_STRIPPED}, 1) = '5')", "power_of_2": f"{_WHOLE} & ({_WHOLE} - 1) = 0"}
+
+
+@query("histogram_properties", sql=" UNION ALL ".join(
+    f"SELECT '{p}' AS property, h.* FROM {_bins_sql(f'SELECT DISTINCT floor(l_extendedprice) AS x FROM lineitem WHERE l_extendedprice >= 1 AND {f}', 20)} h"
+    for p, f in _FLAGGED.items()))
+def q_histogram_properties(t: Tables):
+    """20 bins over the distinct values that are round, and over those that are powers of 2."""
+    n, s = F.col("n"), F.col("s")
+    v = t.lineitem.where("l_extendedprice >= 1").select(F.floor("l_extendedprice").cast("bigint").alias("n")).distinct().select(
+        n, F.rtrim(n.cast("string"), F.lit("0")).alias("s"))
+    flags = {"round": (F.length(s) <= 2) | s.endswith("5"), "power_of_2": n.bitwiseAND(n - 1) == 0}
+    parts = [_rounded_bins(st.fixed_histogram(v.where(f), "n", 20)).select(F.lit(p).alias("property"), "*") for p, f in flags.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query("timeline_counts", sql="SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def q_timeline_counts(t: Tables):
     return t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -414,36 +414,108 @@ def q_html_linked_spaces(t: Tables):
 
 
 H1 = r"<h1>([^<]*)</h1>"
+# Entities of stored pages and the characters they stand for (the ampersand last).
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# Classes of tags that hold a subject.
+SUBJECT_CLASSES = "subject|keyword|classification"
 
 
-@query("html_keywords", sql=f"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(html, {q(H1)}, 1), ' '), lambda x: trim(x)), lambda x: x <> ''))), '|') AS keywords FROM pages""")
-def q_html_keywords(t: Tables):
-    """Subjects of a landing page: the distinct words of its marked heading."""
+def decoded(c):
+    for entity, char in ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def plain(c):
+    """Text of a piece of a page: tags removed, entities decoded, white space at the ends removed."""
+    return X.strip_ws(decoded(F.regexp_replace(c, "<[^>]*>", "")))
+
+
+def subjects_of(html):
+    """Distinct subjects of a landing page: the parts of the content of the first keywords meta tag (as they are, between
+    commas) and the text of every span, div or p tag whose class names a subject, a keyword or a classification."""
+    meta = F.regexp_extract(html, r'(?is)<meta\b[^>]*\bname="keywords"[^>]*>', 0)
+    content = decoded(F.regexp_extract(meta, r'(?is)\bcontent="([^"]*)"', 1))
+    listed = F.when(meta != "", F.split(content, ",")).otherwise(F.array().cast("array<string>"))
+    tag = rf'(?is)<(span|div|p)\b[^>]*\bclass="[^"]*(?:{SUBJECT_CLASSES})[^"]*"[^>]*>(.*?)</\1>'
+    marked = F.filter(F.transform(F.regexp_extract_all(html, F.lit(tag), 2), plain), lambda x: x != "")
+    return F.array_distinct(F.concat(listed, marked))
+
+
+def landing_pages(t: Tables):
+    """Stored landing pages (stand-in): every page with its language and heading as keywords, and a subject line."""
     p = t.pages.select("page_id", "html")
-    w = F.filter(F.transform(F.split(F.regexp_extract("html", H1, 1), " "), lambda x: F.trim(x)), lambda x: x != "")
-    return p.select("page_id", F.array_join(F.array_sort(F.array_distinct(w)), "|").alias("keywords"))
+    return p.select("page_id", F.concat(
+        F.lit('<meta name="keywords" content="'), F.regexp_extract("html", r'<html lang="([^"]*)"', 1), F.lit(","),
+        F.regexp_replace(F.regexp_extract("html", H1, 1), r'[ "]+', ","), F.lit('"><p class="Subject-area"> area '),
+        (F.col("page_id") % 7).cast("string"), F.lit(" <b>x</b></p><span class='other'>no</span>"), "html").alias("html"))
+
+
+@query("html_keywords", sql=rf"""SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(
+  string_split(replace(replace(replace(replace(replace(lang || ',' || regexp_replace(h1, '[ "]+', ',', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), ','),
+  ['area ' || CAST(page_id % 7 AS VARCHAR) || ' x']))), '|') AS keywords
+FROM (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, {q(H1)}, 1) AS h1 FROM pages) z""")
+def q_html_keywords(t: Tables):
+    """Subjects of stored landing pages."""
+    return landing_pages(t).select("page_id", F.array_join(F.array_sort(subjects_of(F.col("html"))), "|").alias("keywords"))
 
 
 # Section label keywords → relationship, in lookup order.
 REL_LABELS = [("finetuned", "finetuned"), ("finetunes", "finetuned"), ("quantized", "quantized"),
               ("adapter", "adapter"), ("adapters", "adapter"), ("merge", "merged"), ("merges", "merged")]
-
-
-@query("html_lineage_rows", sql=f"""SELECT * FROM (SELECT page_id, regexp_replace(url, {q(URL_PREFIX)}, '') AS model_id, href AS parent_model_id,
-  CASE {' '.join(f"WHEN contains(lower(label), {q(k)}) THEN {q(v)}" for k, v in REL_LABELS)} END AS parent_relationship
-  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {q(r'<a href="[^"]+">[^<]*</a>')}, 0)) AS a FROM pages) x,
-  LATERAL (SELECT regexp_extract(a, {q(A_HREF)}, 1) AS href, regexp_extract(a, '>([^<]*)<', 1) AS label) y) z
-WHERE parent_relationship IS NOT NULL AND contains(parent_model_id, '/') AND parent_model_id <> model_id""")
-def q_html_lineage_rows(t: Tables):
-    """Relation rows from stored pages: each anchor's label gives the relation
-    (first keyword of the label map contained in it), its target the parent."""
-    p = t.pages.select("page_id", "url", "html")
-    a = p.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a href="[^"]+">[^<]*</a>'), 0)).alias("a"))
-    label = F.lower(F.regexp_extract("a", ">([^<]*)<", 1))
+_HOME = r"(?is)<p[^>]*>\s*base model\s*</p>"
+_TREE = r'(?i)<div\b[^>]*\bclass="[^"]*\btext-smd\b[^"]*"[^>]*>'
+_SECTION = r'(?i)<div\b[^>]*\bclass="[^"]*\bflex\b[^"]*"[^>]*>'
+_LABEL = r'(?is)<div\b[^>]*\bclass="[^"]*\bfont-semibold\b[^"]*"[^>]*>(.*?)</div>'
+_LINK = r'(?is)<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>'
+
+
+def lineage_rows(pages):
+    """``model_id, parent_model_id, parent_relationship, base_model_id`` from stored model pages ``(model_id, html)``.
+
+    The tree is the ``text-smd`` container with a paragraph "Base model"; a page without it gives nothing. Its ``flex``
+    sections have a bold label, whose first known word gives the relationship, and links: the parent is what follows
+    ``base_model:`` (and the relation) in a link, else the link's text. A parent needs a slash and is not the model
+    itself. The base model is the first link of the section with the paragraph, null if it has none."""
+    trees = F.filter(F.slice(F.split("html", _TREE), 2, 1 << 20), lambda x: x.rlike(_HOME))
+    s = pages.select("model_id", F.get(trees, F.lit(0)).alias("tree")).where("tree IS NOT NULL")
+    s = s.select("model_id", F.split("tree", _SECTION).alias("sections"))
+    home = F.get(F.filter("sections", lambda x: x.rlike(_HOME)), F.lit(0))
+    base = F.when(home.rlike(_LINK), plain(F.regexp_extract(home, _LINK, 2)))
+    x = s.select("model_id", base.alias("base_model_id"), F.explode("sections").alias("section"))
+    label = F.lower(plain(F.regexp_extract("section", _LABEL, 1)))
     rel = F.lit(None).cast("string")
     for k, v in reversed(REL_LABELS):
         rel = F.when(label.contains(k), F.lit(v)).otherwise(rel)
-    x = a.select("page_id", F.regexp_replace("url", URL_PREFIX, "").alias("model_id"),
-                 F.regexp_extract("a", A_HREF, 1).alias("parent_model_id"), rel.alias("parent_relationship"))
-    return x.where(F.col("parent_relationship").isNotNull() & F.col("parent_model_id").contains("/")
-                   & (F.col("parent_model_id") != F.col("model_id")))
+    x = x.select("model_id", "base_model_id", rel.alias("parent_relationship"), "section").where("parent_relationship IS NOT NULL")
+    links = F.arrays_zip(F.regexp_extract_all("section", F.lit(_LINK), 1).alias("href"), F.regexp_extract_all("section", F.lit(_LINK), 2).alias("text"))
+    x = x.select("model_id", "base_model_id", "parent_relationship", F.explode(links).alias("a"))
+    named = F.element_at(F.split(F.element_at(F.split("a.href", "base_model:"), -1), ":"), -1)
+    parent = F.when(F.col("a.href").contains("base_model:"), named).otherwise(plain(F.col("a.text")))
+    x = x.select("model_id", parent.alias("parent_model_id"), "parent_relationship", "base_model_id")
+    return x.where(F.col("parent_model_id").contains("/") & (F.col("parent_model_id") != F.col("model_id")))
+
+
+def model_pages(t: Tables):
+    """Stored model pages (stand-in): every catalog model with parents, a section per relation."""
+    names = b.cat(t).select(F.col("id").alias("src"), F.col("model_id").alias("parent"))
+    r = b.lin_rel(t).join(names, "src").select("dst", "src", "rel", "parent").distinct()
+    label = F.create_map(*[F.lit(x) for x in ("finetune", "Finetuned", "quantized", "Quantized from", "adapter", "Adapters", "merge", "Merges", "generic", "Other")])
+    section = F.concat(F.lit('<div class="flex"><div class="font-semibold">'), label[F.col("rel")], F.lit("</div>"), F.when(
+        F.col("rel") == "finetune", F.concat(F.lit('<a href="/models?other=base_model:finetune:'), "parent", F.lit('">this model</a>'))).otherwise(
+        F.concat(F.lit('<a href="/'), "parent", F.lit('">\n '), "parent", F.lit("</a>"))), F.lit("</div>"))
+    pages = r.groupBy("dst").agg(F.min(F.struct("src", "parent")).alias("b"), F.array_join(F.array_sort(F.collect_list(section)), "").alias("s"))
+    me = b.cat(t).select(F.col("id").alias("dst"), "model_id")
+    return pages.join(me, "dst").select("model_id", F.concat(
+        F.lit('<html><nav><a href="/x/y">x/y</a></nav><div class="w text-smd"><div class="flex"><p> Base Model </p><a href="/'), "b.parent", F.lit('">'), "b.parent",
+        F.lit("</a></div>"), "s", F.lit("</div></html>")).alias("html"))
+
+
+@query("html_lineage_rows", sql=b.with_views(
+    """SELECT model_id, parent_model_id, parent_relationship, base_model_id FROM (
+  SELECT m.model_id, p.model_id AS parent_model_id, r.rel, CASE r.rel WHEN 'finetune' THEN 'finetuned' WHEN 'merge' THEN 'merged' ELSE r.rel END AS parent_relationship,
+    first_value(p.model_id) OVER (PARTITION BY r.dst ORDER BY r.src) AS base_model_id
+  FROM (SELECT DISTINCT dst, src, rel FROM lin_rel) r JOIN cat m ON m.id = r.dst JOIN cat p ON p.id = r.src) z WHERE rel <> 'generic'""", "cat", "lin_rel"))
+def q_html_lineage_rows(t: Tables):
+    """Relation rows from stored model pages by section label."""
+    return lineage_rows(model_pages(t))
