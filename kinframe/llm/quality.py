@@ -115,6 +115,12 @@ def apply_policy(led: DataFrame, policy: int | tuple[str, ...]) -> DataFrame:
     return led.select("*", hits(mask(BASE_RULES)).alias("base_failed"), (~hits(mask(policy))).alias("kept"))
 
 
+def verdicts(led: DataFrame) -> DataFrame:
+    """Adds ``base_failed`` and, for every version of the policy, ``kept_v<version>``."""
+    hits = lambda m: F.col("fail_bits").bitwiseAND(F.lit(m).cast("long")) != 0
+    return led.select("*", hits(mask(BASE_RULES)).alias("base_failed"), *[(~hits(mask(v))).alias(f"kept_v{v}") for v in POLICIES])
+
+
 def ablations(led: DataFrame, policy: int | tuple[str, ...]) -> DataFrame:
     """Per rule of the policy: documents that fail it, that fail it alone (kept once it is dropped), that
     the policy rejects. Bit patterns are counted first, so what is regrouped is at most 2^rules rows."""

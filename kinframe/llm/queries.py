@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.llm import (chat, decontamination, lexical_search, line_dedup, packing, quality, quality_net, sharding, simhash,
                           suffix_dedup, token_counts, url_templates, whitening)
-from kinframe.llm.common import scratch
+from kinframe.llm.common import scratch, stored
 from kinframe.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from kinframe.sources.tables import Tables
 
@@ -41,16 +43,33 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END
         + CASE WHEN word_chars > 20 * n_words THEN 8 ELSE 0 END
         + CASE WHEN 10 * n_symbols > 3 * n_words THEN 16 ELSE 0 END
         + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END AS BIGINT) AS fail_bits FROM f)
-SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
+VERDICT_SQL = QUALITY_SQL + "SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, " + ", ".join(
+    f"(fail_bits & {quality.mask(v)}) = 0 AS kept_v{v}" for v in quality.POLICIES) + " FROM b"
+ABLATION_SQL = QUALITY_SQL + " UNION ALL ".join(
+    f"SELECT {v} AS policy, '{r}' AS rule, CAST({quality.bit(r)} AS BIGINT) AS bit, count(*) FILTER (WHERE fail_bits & {quality.bit(r)} <> 0) AS n_failed, "
+    f"count(*) FILTER (WHERE fail_bits & {quality.mask(v)} = {quality.bit(r)}) AS n_failed_alone, "
+    f"count(*) FILTER (WHERE fail_bits & {quality.mask(v)} <> 0) AS n_rejected FROM b" for v, rules in quality.POLICIES.items() for r in rules)
+
+
+def quality_ledger(t: Tables) -> DataFrame:
+    """The rule ledger of all documents, stored once; every verdict and count is read from it."""
+    return stored(quality.ledger(t.documents), "ledger")
 
 
-@query("op8_quality_rules", QUALITY_SQL)
+@query("op8_quality_rules", VERDICT_SQL)
 def op8(t: Tables) -> DataFrame:
-    """Rule ledger of every document under the newest policy."""
-    return quality.apply_policy(quality.ledger(t.documents), max(quality.POLICIES)).select(
+    """Rule ledger of every document with the verdicts of all policies; ``kept`` is the newest one's."""
+    return quality.verdicts(quality_ledger(t)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "fail_bits",
-        "base_failed", "kept")
+        "base_failed", F.col(f"kept_v{max(quality.POLICIES)}").alias("kept"), *[f"kept_v{v}" for v in quality.POLICIES])
+
+
+@query("quality_ablations", ABLATION_SQL)
+def quality_ablations(t: Tables) -> DataFrame:
+    """Per policy and rule: documents that fail the rule, that fail it alone, that the policy rejects."""
+    led = quality_ledger(t)
+    return reduce(DataFrame.unionByName, [quality.ablations(led, v).select(F.lit(v).alias("policy"), "*") for v in quality.POLICIES])
 
 
 @query("op5_token_counts")

@@ -36,6 +36,7 @@ def test_policies_and_ablations(odd_docs, odd_rows):
     for policy in quality.POLICIES:
         m = quality.mask(policy)
         assert quality.apply_policy(led, policy).filter("kept").count() == sum(b & m == 0 for b in bits)
+        assert quality.verdicts(led).filter(f"kept_v{policy}").count() == sum(b & m == 0 for b in bits)
         rows = {r.rule: r for r in quality.ablations(led, policy).collect()}
         for rule in quality.POLICIES[policy]:
             bit = quality.bit(rule)
