@@ -80,6 +80,14 @@ def op5(t: Tables) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("token_counts_cached")
+def token_counts_cached(t: Tables) -> DataFrame:
+    """Token counts of every document from a cache that an earlier run over the labelled documents has filled."""
+    cache, model = scratch(t.spark, "token-cache"), public_tokenizers.path("piece_bpe_32k.model")
+    token_counts.count_tokens(t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi"), model, cache)
+    return token_counts.count_tokens(t.documents, model, cache)
+
+
 @query("op6_best_fit_packing")
 def op6(t: Tables) -> DataFrame:
     """All documents in sequences of 2048 tokens."""

@@ -6,7 +6,10 @@ missing are encoded (one representative document each), and their counts are app
 Parquet table ``digest, tokenizer, n_tokens``.
 
 Normalisation must never change a count, so it is only: null reads as empty. Copies are found before any
-text moves: the shuffle by digest carries 32 bytes a document, and each missing text moves once.
+text moves: the shuffle by digest carries 32 bytes a document. If few texts are missing (at most ``FEW``
+digests, which are then broadcast), no text moves at all; otherwise the rows are exchanged by (id, digest) to
+meet the representatives, which moves every text of the table once. Digests of many documents (at most 500)
+meet their count by a broadcast, so copies are no hot group.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; repeated rows and ids each get their row;
 an empty table gives an empty result and leaves the cache as it was; other columns are ignored.
@@ -25,6 +28,10 @@ from kinframe.llm.common import small_batches, stored, whole_text
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 _LOADED: dict[str, object] = {}
+#: Missing digests up to which they are broadcast (32 bytes each and the id).
+FEW = 10000
+#: A digest of more than this part (1 / 500) of all documents is joined by a broadcast.
+HOT = 500
 
 
 def tokenizer_version(path: str) -> str:
@@ -85,10 +92,16 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, id_col: str
     meta = stored(keyed.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
 
     known = _cache(spark, cache_path, version)
-    missing = meta.groupBy("digest").agg(F.min("id").alias("id")).join(known, "digest", "left_anti")
-    wanted = missing.select(F.col("digest").alias("d"), F.col("id").alias("i")).hint("shuffle_hash")
+    per_text = stored(meta.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("docs")), "distinct-texts")
+    wanted = stored(per_text.join(known, "digest", "left_anti").select(F.col("digest").alias("d"), F.col("id").alias("i")), "missing-texts")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
     texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left_semi")
-    _encoded(texts.select("digest", "text"), model_path, version).write.mode("append").parquet(cache_path)
+    new = _encoded(texts.select("digest", "text"), model_path, version)
+    new.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
 
     counts = _cache(spark, cache_path, version)
-    return meta.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    total = per_text.agg(F.sum("docs")).first()[0] or 0
+    hot = per_text.filter(F.col("docs") * HOT > total).select("digest")  # fewer than HOT digests can have so large a part
+    known_hot = F.broadcast(counts.join(F.broadcast(hot), "digest", "left_semi"))
+    found = meta.join(known_hot, "digest").unionByName(meta.join(F.broadcast(hot), "digest", "left_anti").join(counts, "digest"))
+    return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

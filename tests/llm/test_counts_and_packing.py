@@ -26,6 +26,24 @@ def test_counts_and_cache(session, odd_docs, odd_rows, no_docs):
     assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t, _ in odd_rows})
 
 
+@pytest.mark.parametrize("few,hot", [(10000, 500), (3, 500), (10000, 1)])
+def test_half_filled_cache_and_copies(session, odd_docs, odd_rows, monkeypatch, few, hot):
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "FEW", few)
+    monkeypatch.setattr(token_counts, "HOT", hot)
+    model, cache = sentencepiece.SentencePieceProcessor(model_file=PIECE), scratch(session, "test-cache")
+    token_counts.count_tokens(odd_docs.filter("source = 'a'"), PIECE, cache).collect()
+    before = session.read.parquet(cache).count()
+    many = odd_docs.unionByName(odd_docs.filter("doc_id = 0").crossJoin(session.range(40).select("id").withColumnRenamed("id", "n")).drop("n"))
+    got = token_counts.count_tokens(many, PIECE, cache).collect()
+    rows = [(i, t) for i, t, _ in odd_rows] + [(0, odd_rows[0][1])] * 40
+    want = [(i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    stored = session.read.parquet(cache)
+    assert before < stored.count() == stored.select("digest").distinct().count()
+
+
 def test_chunked_ids_are_the_library_s(odd_rows):
     from tokenizers import Tokenizer
 
