@@ -44,6 +44,8 @@ from kinframe.llm.common import WHITE, small_batches, stored, whole_text
 
 #: Fixed value: shared lines with the characters of so many lines of the least length are a passage.
 PASSAGE = 3
+#: A key with more than this part (1 / 500) of all rows of shared keys is joined by a broadcast.
+HOT = 500
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -216,8 +218,12 @@ def deletions(docs: DataFrame, min_line: int = 20, rare: float = 0.2, id_col: st
         "id", "digest", "n_own", F.col("own.line").alias("line"), F.col("own.size").alias("chars"))
     # a run can begin with lines of several sizes only if their hashes collide, so a key occurs once in a document
     owners = met.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "digest")).alias("owner"))
-    shared = met.join(owners.filter("docs > 1"), "line").filter(
-        ~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("digest") == F.col("owner.digest"))))
+    owners = stored(owners.filter("docs > 1"), "owners")
+    # keys with more than this part of all shared ones are fewer than HOT, and are broadcast
+    many = F.col("docs") * HOT > (owners.agg(F.sum("docs")).first()[0] or 0)
+    hot = F.broadcast(owners.filter(many))
+    shared = met.join(hot, "line").unionByName(met.join(hot.select("line"), "line", "left_anti").join(owners.filter(~many), "line"))
+    shared = shared.filter(~(F.col("id").eqNullSafe(F.col("owner.id")) & (F.col("digest") == F.col("owner.digest"))))
     pairs = (shared.groupBy("id", "digest", "owner").agg(
         F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("docs").alias("rarest"),
         F.max("n_own").alias("n_own"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from kinframe.llm import line_dedup as ld
 from tests.llm.conftest import prose
 
@@ -90,7 +92,9 @@ def brute(rows, min_line=20, rare=0.2):
     return cut
 
 
-def test_against_brute_force(session, odd_docs, odd_rows, no_docs):
+@pytest.mark.parametrize("hot", [500, 1, 10 ** 9])
+def test_against_brute_force(session, odd_docs, odd_rows, no_docs, monkeypatch, hot):
+    monkeypatch.setattr(ld, "HOT", hot)
     rng = random.Random(5)
     pool = [prose(rng, 8, 100) + f" {k}" for k in range(60)] + ["", "--", "short"]
     boiler = "All rights reserved by nobody in particular"
