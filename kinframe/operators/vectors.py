@@ -25,8 +25,8 @@ from kinframe.operators.components import components
 from kinframe.operators.topk import top_k_per_group
 from kinframe.session import ensure_checkpoint_dir, ship_package
 
-#: Most pivots, vectors of a block and queries of a block aimed at, doubles of broadcast centroids.
-PIVOTS, BLOCK, QUERIES, CENTROIDS = 1024, 1024, 256, 1 << 20
+#: Most pivots, sampled vectors per pivot, vectors of a block and queries of a block aimed at, doubles of broadcast centroids.
+PIVOTS, SAMPLE, BLOCK, QUERIES, CENTROIDS = 1024, 8, 1024, 256, 1 << 20
 #: Slack of bounds: similarities are compared at 6 decimals, angles of doubles are good to 1e-8.
 SLACK = 1e-6
 
@@ -65,12 +65,18 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
 
-def choose_pivots(points: DataFrame, width: int) -> np.ndarray:
-    """At most ``PIVOTS`` and about sqrt(n) vectors, by a hash: the bounded sample that lays out the cells."""
+def choose_pivots(points: DataFrame, width: int, measure: Callable) -> np.ndarray:
+    """About sqrt(n) and at most ``PIVOTS`` vectors that lay out the cells: of a bounded sample (``SAMPLE`` times as
+    many, by a hash) each next one is the farthest from those before, so that separate groups get cells of their own."""
     n = points.count()
     wanted = int(min(PIVOTS, max(1, np.ceil(np.sqrt(n)))))
-    sample = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(wanted).collect()
-    return np.array([r["x"] for r in sample]).reshape(-1, width)
+    sample = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(wanted * SAMPLE).collect()
+    x = np.array([r["x"] for r in sample]).reshape(-1, width)
+    chosen, away = [0], measure(x, x[:1])[:, 0]
+    while len(chosen) < min(wanted, len(x)) and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, measure(x, x[chosen[-1:]])[:, 0])
+    return x[chosen]
 
 
 def _placed(points: DataFrame, pivots: np.ndarray, measure: Callable, near: float | None = None) -> DataFrame:
@@ -129,7 +135,7 @@ def nearest(vectors: DataFrame, k: int, asks: Column, id_col: str = "vec_id", co
     if not width or points.isEmpty():
         return (spark.createDataFrame([], "id long, neighbour long, similarity double, rank int"),
                 spark.createDataFrame([], "id long, met long"))
-    pivots = choose_pivots(points, width)
+    pivots = choose_pivots(points, width, _angles)
     placed = _placed(points, pivots, _angles).checkpoint()
     cells = placed.groupBy("cell").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
     counts = {r["cell"]: r["n"] for r in cells}  # a row per pivot at most
@@ -229,7 +235,7 @@ def density_clusters(vectors: DataFrame, eps: float, min_rows: int, id_col: str
         return spark.createDataFrame([], out)
     points = rows.groupBy("key", "x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).checkpoint()
     points = points.withColumn("id", F.monotonically_increasing_id()).checkpoint()  # a point's own number, kept from here on
-    pivots = choose_pivots(points, width)
+    pivots = choose_pivots(points, width, _distances)
     placed = _placed(points.select("id", "x", "n"), pivots, _distances, eps).checkpoint()
     counts = {r["cell"]: r["n"] for r in placed.where("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     everyone = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
