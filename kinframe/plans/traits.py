@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinframe.functions.common import r6
 from kinframe.operators import traits as tr
+from kinframe.plans import graph as pg
 from kinframe.plans.registry import query
 from kinframe.sources import bindings as b
 from kinframe.sources.tables import Tables
@@ -140,3 +141,31 @@ FROM evt_edge WHERE src_trait IS NOT NULL AND src_trait <> '' AND dst_trait IS N
 def q_mutation_rate(t: Tables):
     m = tr.mutation_rate(evt_traits(t))
     return m.select(r6("mutations").alias("mutations"), "traffic", r6("mutation_rate").alias("mutation_rate"))
+
+
+LIN_TRAITS = """tt AS (SELECT p_partkey AS id, list_filter([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)], lambda x: x <> '') AS ts FROM part),
+lt AS (SELECT s.ts AS st, d.ts AS dt FROM edges JOIN tt s ON s.id = src JOIN tt d ON d.id = dst)"""
+
+
+def lin_traits(t: Tables):
+    """Lineage edges with the multi-valued traits of both ends."""
+    return tr.attach_traits(pg.edges(t), b.cat_traits_array(t))
+
+
+@query("lin_trait_transitions", sql=pg.gsql(
+    """SELECT from_trait, to_trait, CAST(sum(a) AS BIGINT) AS added_transitions, CAST(sum(r) AS BIGINT) AS removed_transitions, count(*) AS transitions FROM (
+  SELECT f AS from_trait, x AS to_trait, 1 AS a, 0 AS r FROM (SELECT st, unnest(list_filter(list_distinct(dt), lambda z: NOT list_contains(st, z))) AS x FROM lt) k, unnest(k.st) u(f)
+  UNION ALL SELECT x, f, 0, 1 FROM (SELECT dt, unnest(list_filter(list_distinct(st), lambda z: NOT list_contains(dt, z))) AS x FROM lt) k, unnest(k.dt) u(f)) y
+GROUP BY from_trait, to_trait""", LIN_TRAITS))
+def q_lin_trait_transitions(t: Tables):
+    """Transition graph of the multi-valued traits along lineage edges."""
+    return tr.trait_transitions(lin_traits(t))
+
+
+@query("lin_mutation_rate", sql=pg.gsql(
+    """SELECT round(sum(j), 6) AS mutations, count(*) AS traffic, round(avg(j), 6) AS mutation_rate FROM (
+  SELECT 1 - len(list_intersect(st, dt)) / len(list_distinct(list_concat(st, dt))) AS j FROM lt WHERE len(st) > 0 AND len(dt) > 0) z""", LIN_TRAITS))
+def q_lin_mutation_rate(t: Tables):
+    """Mean Jaccard distance of the trait sets along lineage edges."""
+    m = tr.mutation_rate(lin_traits(t))
+    return m.select(r6("mutations").alias("mutations"), "traffic", r6("mutation_rate").alias("mutation_rate"))
