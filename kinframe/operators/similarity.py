@@ -8,11 +8,14 @@ and similarities are computed only for pairs the caller supplies
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinframe.operators.topk import top_k
+from kinframe.session import ensure_checkpoint_dir
 
+#: Terms with more than this part (1 / 500) of all (document, term) rows are joined by a broadcast.
+HOT = 500
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -50,12 +53,20 @@ def restrict(tf: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def tfidf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """tf · (ln((1 + N)/(1 + df)) + 1), L2-normalised per document."""
+    """tf · (ln((1 + N)/(1 + df)) + 1), L2-normalised per document.
+
+    The counts are stored once. Terms with more than 1/``HOT`` of all rows (fewer than ``HOT`` of them) meet their document
+    frequency by a broadcast, so a word in every document is no hot join key; the norm is summed within a document."""
+    ensure_checkpoint_dir(tf.sparkSession)
+    tf = tf.checkpoint()
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    w = (tf.join(df_, "term").crossJoin(n_docs)  # n_docs: one row
-         .withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)))
-    norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("nrm"))
-    return w.join(norm, "doc").select("doc", "term", (F.col("raw") / F.col("nrm")).alias("weight"))
+    many = F.col("df") * HOT > tf.count()
+    hot = F.broadcast(df_.where(many))
+    known = tf.join(hot, "term").unionByName(tf.join(hot.select("term"), "term", "left_anti").join(df_.where(~many), "term"))
+    w = known.crossJoin(n_docs).withColumn(  # n_docs: one row
+        "raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
+    return w.select("doc", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def cosine_sparse(pairs: DataFrame, weights: DataFrame) -> DataFrame:
