@@ -68,6 +68,21 @@ def q_crosstab_by_depth(t: Tables):
                     r6(F.col("n") / F.sum("n").over(Window.partitionBy("category"))).alias("share_of_category"))
 
 
+@query("crosstab_by_depth_type", sql=ksql(
+    """SELECT depth, pipeline_tag AS type, library_name AS license, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share_overall,
+  round(count(*) / sum(count(*)) OVER (PARTITION BY depth, pipeline_tag), 6) AS share_of_type
+FROM (SELECT c.depth, c.pipeline_tag, n.library_name FROM crawl c JOIN cat n ON n.id = c.id) z GROUP BY depth, pipeline_tag, library_name"""))
+def q_crosstab_by_depth_type(t: Tables):
+    """Counts of (depth, type) by license (the library stands for it), with shares of all models and of the depth's type."""
+    lic = b.cat(t).select("id", F.col("library_name").alias("license"))
+    c = crawl_full(t).select("id", "depth", F.col("pipeline_tag").alias("type")).join(lic, "id").groupBy("depth", "type", "license").agg(F.count(F.lit(1)).alias("n"))
+    c = c.checkpoint()
+    total = c.agg(F.sum("n").alias("all"))
+    per = c.groupBy(F.col("depth").alias("d"), F.col("type").alias("y")).agg(F.sum("n").alias("m"))
+    return c.join(per, (F.col("depth") == F.col("d")) & F.col("type").eqNullSafe(F.col("y"))).crossJoin(total).select(  # one row
+        "depth", "type", "license", "n", r6(F.col("n") / F.col("all")).alias("share_overall"), r6(F.col("n") / F.col("m")).alias("share_of_type"))
+
+
 @query("derivative_stats_by_depth", sql=ksql(
     """SELECT depth, count(*) AS n, """ + ", ".join(f"round(avg({k}), 6) AS mean_{k}" for k in KINDS) + """,
   round(quantile_cont(total_derivatives, 0.25), 6) AS q25, round(quantile_cont(total_derivatives, 0.5), 6) AS q50,
@@ -93,28 +108,41 @@ def q_derivative_correlation_by_depth(t: Tables):
                                     .alias(f"corr_{a[:-6]}_{c2[:-6]}") for a, c2 in PAIRS])
 
 
+#: Measures of the summary as SQL over the crawl catalog.
+MEASURES = {"total_derivatives": "total_derivatives", "card_length": "card_length", "parameters": "parameters",
+            "derivative_diversity": " + ".join(f"CAST({k} > 0 AS INT)" for k in KINDS)}
+
+
+def _wide(x):
+    """Numbers of a million and more at whole thousands, others at 6 decimals."""
+    return F.when(F.abs(x) < 1e6, r6(x)).otherwise(F.round(x, -3))
+
+
+def _wide_sql(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 1e6 THEN round({x}, 6) ELSE round({x}, -3) END"
+
+
+_SUMMARY = {"mean": "avg(x)", "median": "median(x)", "sum": "sum(x)", "std": "stddev_samp(x)", "min": "min(x)", "max": "max(x)"}
+
+
 @query("summary_by_depth", sql=ksql(
-    """SELECT depth, round(avg(total_derivatives), 6) AS mean_total, round(median(total_derivatives), 6) AS median_total,
-  CAST(sum(total_derivatives) AS BIGINT) AS sum_total, round(stddev_samp(total_derivatives), 6) AS std_total,
-  min(total_derivatives) AS min_total, max(total_derivatives) AS max_total,
-  round(avg(card_length), 6) AS mean_card_length, round(avg(parameters), 6) AS mean_parameters,
-  round(100.0 * count(*) FILTER (WHERE total_derivatives > 0) / count(*), 6)::DOUBLE AS pct_with_derivatives
-FROM crawl GROUP BY ROLLUP (depth)"""))
+    "SELECT depth, measure, n, " + ", ".join(f"{_wide_sql(k)} AS {k}" for k in _SUMMARY) + """, pct_positive FROM (
+  SELECT depth, measure, count(x) AS n, """ + ", ".join(f"{f} AS {k}" for k, f in _SUMMARY.items()) + """,
+    round(100.0 * count(*) FILTER (WHERE x > 0) / count(x), 6)::DOUBLE AS pct_positive FROM (""" + " UNION ALL ".join(
+        f"SELECT depth, '{m}' AS measure, CAST({e} AS DOUBLE) AS x FROM crawl" for m, e in MEASURES.items()) + """) v
+  WHERE x IS NOT NULL GROUP BY GROUPING SETS ((depth, measure), (measure))) z"""))
 def q_summary_by_depth(t: Tables):
-    """Per depth and overall (depth null): rollup aggregates; medians exact from histograms."""
-    c = crawl_full(t).select("depth", "total_derivatives", "card_length", "parameters")
-    aggs = [r6(F.avg("total_derivatives")).alias("mean_total"), F.sum("total_derivatives").alias("sum_total"),
-            r6(F.stddev_samp("total_derivatives")).alias("std_total"), F.min("total_derivatives").alias("min_total"),
-            F.max("total_derivatives").alias("max_total"), r6(F.avg("card_length")).alias("mean_card_length"),
-            r6(F.avg("parameters")).alias("mean_parameters"),
-            r6(100.0 * F.count_if(F.col("total_derivatives") > 0) / F.count(F.lit(1))).alias("pct_with_derivatives")]
-    by = c.rollup("depth").agg(*aggs)
-    med_d = st.exact_quantiles(c, "total_derivatives", [0.5], key=["depth"])
-    med_all = st.exact_quantiles(c, "total_derivatives", [0.5]).select(F.lit(None).cast("int").alias("depth"), "q50")
-    med = med_d.unionByName(med_all)
-    return by.join(med, by["depth"].eqNullSafe(med["depth"])).select(
-        by["depth"], "mean_total", r6("q50").alias("median_total"), "sum_total", "std_total", "min_total",
-        "max_total", "mean_card_length", "mean_parameters", "pct_with_derivatives")
+    """Per depth, and overall (depth null): every measure's mean, median, sum, deviation, extremes and share above 0, from
+    one stored long table; medians exact from histograms."""
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.expr(e).cast("double").alias("x")) for m, e in MEASURES.items()])
+    long = crawl_full(t).select("depth", F.explode(values).alias("v")).select("depth", "v.*").where("x IS NOT NULL")
+    long = long.select(F.explode(F.array("depth", F.lit(None).cast("int"))).alias("depth"), "measure", "x").checkpoint()
+    by = long.groupBy("depth", "measure").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.sum("x").alias("sum"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
+        F.max("x").alias("max"), r6(100.0 * F.count_if(F.col("x") > 0) / F.count("x")).alias("pct_positive"))
+    med = st.exact_quantiles(long, "x", [0.5], key=["depth", "measure"]).select(F.col("depth").alias("d"), F.col("measure").alias("m"), F.col("q50").alias("median"))
+    return by.join(med, F.col("depth").eqNullSafe(F.col("d")) & (F.col("measure") == F.col("m"))).select(
+        "depth", "measure", "n", *[_wide(F.col(k)).alias(k) for k in _SUMMARY], "pct_positive")
 
 
 #: Category and phrase of every field looked for in a card.
