@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.session import ensure_checkpoint_dir
-
-_SHIPPED: set[str] = set()
+from kinframe.session import ensure_checkpoint_dir, ship_package
 
 #: The ASCII white space that separates words.
 WHITE = " \t\n\x0b\x0c\r"
@@ -55,11 +50,4 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    root, name = os.path.split(package)
-    archive = os.path.join(tempfile.mkdtemp(prefix="kinframe-ship-"), name)  # the driver serves it from here
-    sc.addPyFile(shutil.make_archive(archive, "zip", root, name))
-    _SHIPPED.add(sc.applicationId)
+    ship_package(spark)
