@@ -8,6 +8,7 @@ from kinframe.functions import params as P
 from kinframe.functions.common import r6
 from kinframe.plans import sqlfn as S
 from kinframe.plans.registry import query
+from kinframe.session import ensure_checkpoint_dir
 from kinframe.sources import bindings as b
 from kinframe.sources.tables import Tables
 
@@ -78,22 +79,23 @@ pc AS (SELECT id, model_id, coalesce(pm, pc, pi) AS parameters,
   CASE WHEN pm IS NOT NULL THEN 'metadata' WHEN pc IS NOT NULL THEN 'card' WHEN pi IS NOT NULL THEN 'model_id' ELSE 'unknown' END AS parameter_source FROM pp)"""
 
 
+def coalesced(t: Tables):
+    return P.params_coalesced(par(t), "metadata", "card", "model_id").select("id", "model_id", "parameters", "parameter_source")
+
+
 def params_table(t: Tables):
     """Parameter count and its source per model, extracted once.
 
     The extraction is a wide expression over JSON, card and id; downstream
     statistics read it several times (counts, histograms, quantiles), so it is
     checkpointed into the shared checkpoint folder instead of re-derived."""
-    from kinframe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(t.spark)
-    p = par(t)
-    return P.params_coalesced(p, "metadata", "card", "model_id").select(
-        "id", "model_id", "parameters", "parameter_source").checkpoint(eager=True)
+    return coalesced(t).checkpoint(eager=True)
 
 
 @query("params_coalesced", sql=psql("SELECT * FROM pc", PARAMS_SQL))
 def q_params_coalesced(t: Tables):
-    return params_table(t)
+    return coalesced(t)
 
 
 @query("precision_from_sources", sql=psql(

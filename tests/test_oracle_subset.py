@@ -5,7 +5,9 @@ import pytest
 
 KEYS = ["net_flow_order", "trait_transitions", "build_edges", "edge_deltas", "bfs_descendants", "descendant_counts",
         "params_coalesced", "card_stats", "tags_by_prefix", "gini", "km_survival", "tfidf_weights", "assign_chunks",
-        "top_children_by_downloads", "summary_by_depth"]
+        "top_children_by_downloads", "summary_by_depth", "bootstrap_mean_ci", "top_k_neighbors", "silhouette", "coverage_summary",
+        "html_lineage_rows", "html_keywords", "flatten_nested_tree", "sample_uncle", "number_properties",
+        "lin_trait_transitions", "field_presence_by_depth", "stream_new_ids"]
 
 
 @pytest.fixture(scope="module")
