@@ -13,9 +13,3 @@ def col(c: str | Column) -> Column:
 def r6(c: str | Column) -> Column:
     """Round a double to 6 decimals (float outputs are compared at this precision)."""
     return F.round(col(c).cast("double"), 6)
-
-
-def blank_to_null(c: str | Column) -> Column:
-    """'' / whitespace-only → null."""
-    c = col(c)
-    return F.when(F.trim(c) == "", F.lit(None)).otherwise(c)

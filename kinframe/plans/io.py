@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinframe.functions.text import SECRET_PATTERNS, secret_flag
+from kinframe.functions.text import secret_flag
 from kinframe.operators import graph as g
 from kinframe.operators.sequence import running_sum
 from kinframe.operators.trees import flatten_trees
@@ -13,6 +13,7 @@ from kinframe.plans import graph as pg
 from kinframe.plans.catalog import TAGS_SQL, tags
 from kinframe.plans.registry import query
 from kinframe.plans.sqlfn import q
+from kinframe.plans.text import SECRETS
 from kinframe.sources import bindings as b
 from kinframe.sources import files as fs
 from kinframe.sources.tables import Tables
@@ -173,6 +174,16 @@ def q_flatten_nested_tree(t: Tables):
                      none("int").alias("depth"), none("int").alias("level")))
 
 
+@query("secret_split", sql=f"""SELECT doc_id, CASE WHEN coalesce(regexp_matches(text, {q('|'.join(f'(?:{p})' for p in SECRETS))}), false) THEN 'excluded' ELSE 'kept' END AS part FROM documents""")
+def q_secret_split(t: Tables):
+    """Cards streamed into the kept table and the exclusion log, and both read back."""
+    out = fs.scratch_path(t.spark, "secret-split")
+    schema = t.documents.schema
+    ingest.secret_split_stream(t.spark, t.root, schema, "text", f"{out}/kept", f"{out}/excluded", f"{out}-ckpt", SECRETS, glob="documents.parquet")
+    parts = [ingest.stored_keys(t.spark, f"{out}/{p}", schema).select("doc_id", F.lit(p).alias("part")) for p in ("kept", "excluded")]
+    return parts[0].unionByName(parts[1])
+
+
 def indexed(df, order_col):
     """Dense 0-based position in ``order_col`` order (running count, no global window)."""
     return running_sum(df.withColumn("_one", F.lit(1)), [], [order_col], "_one", "_pos", inclusive=False).drop("_one")
@@ -189,9 +200,9 @@ def q_assign_chunks(t: Tables):
 
 
 @query("chunk_coverage", sql=f"""SELECT c AS chunk_no, count(*) AS rows_in, count(*) FILTER (WHERE NOT s) AS rows_kept, count(*) FILTER (WHERE NOT s) = 0 AS empty_chunk FROM (
-  SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS c, coalesce(regexp_matches(text, {q('|'.join(f'(?:{p})' for p in SECRET_PATTERNS + [__import__('kinframe.functions.text', fromlist=['TOKEN_PATTERN']).TOKEN_PATTERN]))}), false) AS s FROM documents) x GROUP BY c""")
+  SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS c, coalesce(regexp_matches(text, {q('|'.join(f'(?:{p})' for p in SECRETS))}), false) AS s FROM documents) x GROUP BY c""")
 def q_chunk_coverage(t: Tables):
-    d = indexed(t.documents.select(F.col("doc_id").alias("id"), secret_flag("text").alias("s")), "id")
+    d = indexed(t.documents.select(F.col("doc_id").alias("id"), secret_flag("text", SECRETS).alias("s")), "id")
     return d.groupBy(F.floor(F.col("_pos") / CHUNK).alias("chunk_no")).agg(
         F.count(F.lit(1)).alias("rows_in"), F.count_if(~F.col("s")).alias("rows_kept"),
         (F.count_if(~F.col("s")) == 0).alias("empty_chunk"))

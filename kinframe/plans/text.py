@@ -60,15 +60,16 @@ def q_truncate_text(t: Tables):
                     X.truncate_text("text", 512, "never").alias("card_head"))
 
 
-_SECRET_RX = "|".join(f"(?:{p})" for p in X.SECRET_PATTERNS + [X.TOKEN_PATTERN])
+#: The patterns of secrets and the form of access tokens in the given documents.
+SECRETS = X.SECRET_PATTERNS + [X.TOKEN_PATTERN]
+_SECRET_RX = "|".join(f"(?:{p})" for p in SECRETS)
 
 
 @query("secret_filter", sql=f"""SELECT doc_id, source, coalesce(regexp_matches(text, {q(_SECRET_RX)}), false) AS excluded FROM documents""")
 def q_secret_filter(t: Tables):
-    """Every card with its verdict; writers split on ``excluded`` into the kept
-    table and the exclusion log (see ``sources.sinks.split_write``)."""
+    """Every card with its verdict."""
     d = docs(t)
-    return d.select("doc_id", "source", X.secret_flag("text").alias("excluded"))
+    return d.select("doc_id", "source", X.secret_flag("text", SECRETS).alias("excluded"))
 
 
 @query("eligible_cards", sql="""SELECT doc_id, substr(text, 1, 512) AS clean_text FROM documents

@@ -91,12 +91,6 @@ def evt_edge(t: Tables) -> DataFrame:
                     F.col("p_value").alias("src_value"), F.col("value").alias("dst_value")))
 
 
-def evt_sequences(t: Tables) -> DataFrame:
-    """Per-user event sequence with the previous timestamp: (user_id, event_id, ts, prev_ts)."""
-    e = t.events.select("event_id", "user_id", "ts", "event_type")
-    return previous_in_group(e, "user_id", ["ts", "event_id"], ["ts"], prefix="prev_")
-
-
 def doc_edge(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id")
     return d.where(F.col("doc_id") >= 4).select(

@@ -49,9 +49,3 @@ def scan_tree_json(spark: SparkSession, path: str, multi_line: bool = True) -> D
         T.StructField("children", T.ArrayType(T.StringType())), T.StructField("children_count", T.IntegerType())])))])
     doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return doc.select(F.inline("models"))
-
-
-def split_write(df: DataFrame, flag: str, kept_path: str, excluded_path: str, mode: str = "append") -> None:
-    """Write rows with ``flag`` false to the kept table and the rest to the log table."""
-    df.where(~F.col(flag)).drop(flag).write.mode(mode).parquet(kept_path)
-    df.where(F.col(flag)).drop(flag).write.mode(mode).parquet(excluded_path)

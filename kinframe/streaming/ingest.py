@@ -64,14 +64,19 @@ def stored_keys(spark: SparkSession, out_dir: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).parquet(out_dir).select(*schema.names)
 
 
-def secret_split_stream(spark: SparkSession, src_dir: str, schema: T.StructType, text_col: str,
-                        kept_dir: str, excluded_dir: str, checkpoint: str) -> None:
-    """Cards stream → kept table and exclusion log by the secret patterns."""
-    df = spark.readStream.schema(schema).parquet(src_dir).withColumn("_secret", secret_flag(text_col))
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.where(~F.col("_secret")).drop("_secret").write.mode("append").parquet(kept_dir)
-        batch.where(F.col("_secret")).drop("_secret").write.mode("append").parquet(excluded_dir)
+def secret_split_stream(spark: SparkSession, src_dir: str, schema: T.StructType, text_col: str, kept_dir: str, excluded_dir: str,
+                        checkpoint: str, patterns: list[str], glob: str | None = None) -> None:
+    """Cards stream → kept table and exclusion log by the secret patterns; every batch has folders of its own, which a
+    repeated run of it overwrites."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    df = reader.parquet(src_dir).withColumn("_secret", secret_flag(text_col, patterns))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        for out, part in ((kept_dir, ~F.col("_secret")), (excluded_dir, F.col("_secret"))):
+            batch.where(part).drop("_secret").write.mode("overwrite").parquet(f"{out}/batch={stream}-{epoch}")
 
     (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
