@@ -8,46 +8,29 @@ from pyspark.sql import functions as F
 from kinframe.functions.common import r6
 from kinframe.operators.names import contained_names
 from kinframe.operators.topk import top_k
+from kinframe.plans.bins import (CATEGORY_BINS, CATEGORY_LABELS, HALF_OPEN, PARAM_BINS, PARAM_LABELS, POPULARITY, RANGE_BINS,
+                                 RANGE_LABELS, right_closed, right_closed_sql)
 from kinframe.plans.params import PARAMS_SQL, params_table
 from kinframe.plans.registry import query
 from kinframe.sources import bindings as b
 from kinframe.sources.files import scratch_path
 from kinframe.sources.tables import Tables
 
-# Parameter bin edges and labels (right-closed).
-PARAM_BINS = [0, 1e6, 1e7, 1e8, 1e9, 1e10, 1e11, 1e12, float("inf")]
-PARAM_LABELS = ["0-1M", "1M-10M", "10M-100M", "100M-1B", "1B-10B", "10B-100B", "100B-1T", ">1T"]
-# Half-open ranges [lo, hi) of the gap analysis.
-HALF_OPEN = [("Tiny (0-1M)", 0, 1e6), ("Small (1M-10M)", 1e6, 1e7), ("Medium (10M-100M)", 1e7, 1e8),
-             ("Large (100M-1B)", 1e8, 1e9), ("Huge (1B-20B)", 1e9, 20e9), ("Gap (20B-70B)", 20e9, 70e9),
-             ("Massive (>70B)", 70e9, float("inf"))]
-# Popularity thresholds (count >= t) and labels, in order.
-POPULARITY = [(100, "Very Popular (100+)"), (50, "Popular (50-99)"), (20, "Common (20-49)"),
-              (10, "Moderate (10-19)")]
-
-
-def right_closed(x: Column, edges, labels) -> Column:
-    out = F.lit(None).cast("string")
-    for lo, hi, lab in reversed(list(zip(edges[:-1], edges[1:], labels))):
-        out = F.when((x > lo) & (x <= hi), F.lit(lab)).otherwise(out)
-    return out
-
-
-def right_closed_sql(x, edges, labels):
-    parts = []
-    for lo, hi, lab in zip(edges[:-1], edges[1:], labels):
-        hi_s = f"{x} <= {hi!r}" if hi != float("inf") else "true"
-        parts.append(f"WHEN {x} > {lo!r} AND {hi_s} THEN '{lab}'")
-    return "CASE " + " ".join(parts) + " END"
+#: Name, edges, labels and whether 0 belongs to the first bin.
+BIN_SETS = [("bins", PARAM_BINS, PARAM_LABELS, False), ("categories", CATEGORY_BINS, CATEGORY_LABELS, True), ("ranges", RANGE_BINS, RANGE_LABELS, False)]
 
 
 @query("bucket_parameters", sql=b.with_views(
-    f"SELECT bin, count(*) AS n FROM (SELECT {right_closed_sql('parameters', PARAM_BINS, PARAM_LABELS)} AS bin FROM pc WHERE parameters IS NOT NULL) x GROUP BY bin",
-    "par", ctes=(PARAMS_SQL,)))
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS bin_set, bin, count(*) AS n FROM (SELECT CASE WHEN {str(low).lower()} AND parameters = 0 THEN '{labels[0]}' ELSE {right_closed_sql('parameters', edges, labels)} END AS bin FROM pc WHERE parameters IS NOT NULL) x GROUP BY bin"
+        for name, edges, labels, low in BIN_SETS), "par", ctes=(PARAMS_SQL,)))
 def q_bucket_parameters(t: Tables):
-    p = params_table(t).where(F.col("parameters").isNotNull())
-    return p.select(right_closed(F.col("parameters"), PARAM_BINS, PARAM_LABELS).alias("bin")).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"))
+    """Parameter counts in the three sets of bins, from one pass."""
+    x = F.col("parameters")
+    sets = F.array(*[F.struct(F.lit(name).alias("bin_set"), F.when(F.lit(low) & (x == 0), labels[0]).otherwise(right_closed(x, edges, labels)).alias("bin"))
+                     for name, edges, labels, low in BIN_SETS])
+    p = params_table(t).where(x.isNotNull()).select(F.explode(sets).alias("s"))
+    return p.groupBy("s.bin_set", "s.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def half_open(x: Column) -> Column:
@@ -116,10 +99,10 @@ def q_size_by_share_of_max(t: Tables):
 
 @query("top_n_else_other", sql=b.with_views(
     """SELECT c.id, coalesce(t.pipeline_tag, 'Other') AS category FROM cat c LEFT JOIN (
-  SELECT pipeline_tag FROM cat GROUP BY 1 ORDER BY count(*) DESC, pipeline_tag LIMIT 3) t ON t.pipeline_tag = c.pipeline_tag""", "cat"))
+  SELECT pipeline_tag FROM cat GROUP BY 1 ORDER BY count(*) DESC, pipeline_tag LIMIT 10) t ON t.pipeline_tag = c.pipeline_tag""", "cat"))
 def q_top_n_else_other(t: Tables):
     c = b.cat(t).select("id", "pipeline_tag")
-    top = top_k(c.groupBy("pipeline_tag").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc("pipeline_tag")], 3)
+    top = top_k(c.groupBy("pipeline_tag").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.asc("pipeline_tag")], 10)
     # at most N rows: a bounded broadcast
     j = c.join(F.broadcast(top.select(F.col("pipeline_tag").alias("keep"))), F.col("pipeline_tag") == F.col("keep"), "left")
     return j.select("id", F.coalesce("keep", F.lit("Other")).alias("category"))

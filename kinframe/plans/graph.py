@@ -245,34 +245,39 @@ def q_sorted_by_depth(t: Tables):
     return depths(t).join(nodes(t), "id").select("depth", "id", "model_id").orderBy("depth", "id")
 
 
+LISTED = 100
+
+
 @query("top_children_by_downloads", sql=gsql(
-    """SELECT src, edge_type, CAST(count(*) AS BIGINT) AS n_children,
-  string_agg(model_id, ',' ORDER BY downloads DESC, model_id) AS children FROM (
+    f"""SELECT src, edge_type, CAST(count(*) FILTER (WHERE rn <= {LISTED}) AS BIGINT) AS n_children, count(*) > {LISTED} AS truncated,
+  string_agg(model_id, ',' ORDER BY downloads DESC, model_id) FILTER (WHERE rn <= {LISTED}) AS children FROM (
   SELECT e.src, e.edge_type, c.model_id, c.downloads,
          row_number() OVER (PARTITION BY e.src, e.edge_type ORDER BY c.downloads DESC, c.model_id) AS rn
-  FROM edges e JOIN cat c ON c.id = e.dst WHERE e.edge_type IS NOT NULL) x WHERE rn <= 100 GROUP BY src, edge_type"""))
+  FROM edges e JOIN cat c ON c.id = e.dst WHERE e.edge_type IS NOT NULL) x GROUP BY src, edge_type"""))
 def q_top_children_by_downloads(t: Tables):
+    """Up to 100 children per parent and relation by downloads; ``truncated`` says whether there are more."""
     e = edges(t).where(F.col("edge_type").isNotNull())
     c = nodes(t).select(F.col("id").alias("dst"), "model_id", "downloads")
     j = e.join(c, "dst").select("src", "edge_type", "model_id", "downloads")
-    top = top_k_per_group(j, ["src", "edge_type"], [F.desc("downloads"), F.asc("model_id")], 100,
+    top = top_k_per_group(j, ["src", "edge_type"], [F.desc("downloads"), F.asc("model_id")], LISTED + 1,
                           salt_cols=["model_id"])
-    agg = top.groupBy("src", "edge_type").agg(
-        F.count(F.lit(1)).alias("n_children"),
-        F.sort_array(F.collect_list(F.struct("rank", "model_id"))).alias("_l"))
-    return agg.select("src", "edge_type", "n_children",
-                      F.array_join(F.transform("_l", lambda s: s["model_id"]), ",").alias("children"))
+    agg = top.groupBy("src", "edge_type").agg(F.sort_array(F.collect_list(F.struct("rank", "model_id"))).alias("_l"))
+    first = F.slice("_l", 1, LISTED)
+    return agg.select("src", "edge_type", F.size(first).cast("long").alias("n_children"), (F.size("_l") > LISTED).alias("truncated"),
+                      F.array_join(F.transform(first, lambda s: s["model_id"]), ",").alias("children"))
 
 
 @query("capped_children", sql="""SELECT o_custkey, o_orderpriority, CAST(count(*) AS BIGINT) AS n_children,
-  CAST(least(count(*), 3) AS BIGINT) AS kept, count(*) > 3 AS truncated,
+  array_to_string(list_slice(list(o_orderkey ORDER BY o_orderkey), 1, 3), ',') AS children, CAST(least(count(*), 3) AS BIGINT) AS kept, count(*) > 3 AS truncated,
   bool_or(count(*) > 3) OVER (PARTITION BY o_custkey) AS model_truncated
 FROM orders GROUP BY o_custkey, o_orderpriority""")
 def q_capped_children(t: Tables):
-    """Children listings capped at K=3 per (parent, relation); the flag marks a hit cap."""
-    k = 3
-    o = t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n_children"))
-    return o.select("o_custkey", "o_orderpriority", "n_children",
-                    F.least("n_children", F.lit(k)).cast("bigint").alias("kept"),
-                    (F.col("n_children") > k).alias("truncated"),
-                    F.bool_or(F.col("n_children") > k).over(Window.partitionBy("o_custkey")).alias("model_truncated"))
+    """Children listings capped at K=3 per (parent, relation), first ids first; the flags mark a hit cap."""
+    k, per = 3, ["o_custkey", "o_orderpriority"]
+    first = top_k_per_group(t.orders.select(*per, "o_orderkey"), per, [F.asc("o_orderkey")], k, salt_cols=["o_orderkey"])
+    lists = first.groupBy(*per).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("children"))
+    o = t.orders.groupBy(*per).agg(F.count(F.lit(1)).alias("n_children"))
+    return o.join(lists, per).select(
+        *per, "n_children", "children", F.least("n_children", F.lit(k)).cast("bigint").alias("kept"),
+        (F.col("n_children") > k).alias("truncated"),
+        F.bool_or(F.col("n_children") > k).over(Window.partitionBy("o_custkey")).alias("model_truncated"))

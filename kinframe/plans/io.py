@@ -38,15 +38,16 @@ def q_scan_catalog_csv(t: Tables):
 
 
 @query("union_tree_files", sql=b.with_views(
-    "SELECT library_name AS tree, id, model_id FROM cat", "cat"))
+    "SELECT library_name AS tree, id, model_id, 'tree=' || library_name AS source_folder FROM cat", "cat"))
 def q_union_tree_files(t: Tables):
-    """One CSV folder per tree (brand); the folder scan recovers every row and its source."""
+    """One CSV folder per tree (brand); the folder scan recovers every row and the folder of its source file."""
     path = fs.scratch_path(t.spark, "trees")
     c = b.cat(t).select("id", "model_id", F.col("library_name").alias("tree"))
     c.write.mode("overwrite").partitionBy("tree").option("header", True).option("escape", '"').csv(path)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("model_id", T.StringType())])
     u = fs.union_tree_files(t.spark, path, schema)  # partition discovery restores `tree`
-    return u.select("tree", "id", "model_id")
+    folder = F.regexp_extract("source_file", r"(tree=[^/]*)/[^/]*$", 1)
+    return u.select("tree", "id", "model_id", F.url_decode(F.url_decode(folder)).alias("source_folder"))  # names and paths are escaped
 
 
 @query("scan_tree_json", sql=pg.gsql(

@@ -8,7 +8,7 @@ from kinframe.functions.common import r6
 from kinframe.operators import bootstrap as B
 from kinframe.operators import similarity as S
 from kinframe.plans import stats as ps
-from kinframe.plans.buckets import HALF_OPEN
+from kinframe.plans.bins import HALF_OPEN
 from kinframe.plans.registry import query
 from kinframe.plans.similarity import COS_SQL
 from kinframe.sources import bindings as b

@@ -15,6 +15,7 @@ from kinframe.plans import graph as pg
 from kinframe.plans.catalog import crawl
 from kinframe.plans.params import PARAMS_SQL, params_table
 from kinframe.plans.registry import query
+from kinframe.plans.bins import RANGE_BINS, RANGE_LABELS, right_closed, right_closed_sql
 from kinframe.sources import bindings as b
 from kinframe.sources.tables import Tables
 
@@ -108,11 +109,6 @@ def q_derivative_correlation_by_depth(t: Tables):
                                     .alias(f"corr_{a[:-6]}_{c2[:-6]}") for a, c2 in PAIRS])
 
 
-#: Measures of the summary as SQL over the crawl catalog.
-MEASURES = {"total_derivatives": "total_derivatives", "card_length": "card_length", "parameters": "parameters",
-            "derivative_diversity": " + ".join(f"CAST({k} > 0 AS INT)" for k in KINDS)}
-
-
 def _wide(x):
     """Numbers of a million and more at whole thousands, others at 6 decimals."""
     return F.when(F.abs(x) < 1e6, r6(x)).otherwise(F.round(x, -3))
@@ -122,6 +118,11 @@ def _wide_sql(x: str) -> str:
     return f"CASE WHEN abs({x}) < 1e6 THEN round({x}, 6) ELSE round({x}, -3) END"
 
 
+#: Measures of the summary as SQL over the crawl catalog.
+MEASURES = {"total_derivatives": "total_derivatives", "card_length": "card_length", "parameters": "parameters",
+            "derivative_diversity": " + ".join(f"CAST({k} > 0 AS INT)" for k in KINDS)}
+
+
 _SUMMARY = {"mean": "avg(x)", "median": "median(x)", "sum": "sum(x)", "std": "stddev_samp(x)", "min": "min(x)", "max": "max(x)"}
 
 
@@ -191,20 +192,20 @@ def valid_params(t: Tables):
 
 
 @query("parameter_statistics", sql=b.with_views(
-    """SELECT (SELECT count(*) FROM pc) AS total, round(100.0 * count(*) / (SELECT count(*) FROM pc), 6)::DOUBLE AS coverage_pct,
-  round(avg(parameters), 6) AS mean, round(median(parameters), 6) AS median, round(stddev_samp(parameters), 6) AS std,
-  min(parameters) AS min, max(parameters) AS max, round(quantile_cont(parameters, 0.25), 6) AS q25, round(quantile_cont(parameters, 0.75), 6) AS q75
+    f"""SELECT (SELECT count(*) FROM pc) AS total, round(100.0 * count(*) / (SELECT count(*) FROM pc), 6)::DOUBLE AS coverage_pct,
+  {_wide_sql('avg(parameters)')} AS mean, {_wide_sql('median(parameters)')} AS median, {_wide_sql('stddev_samp(parameters)')} AS std,
+  min(parameters) AS min, max(parameters) AS max, {_wide_sql('quantile_cont(parameters, 0.25)')} AS q25, {_wide_sql('quantile_cont(parameters, 0.75)')} AS q75
 FROM pc WHERE parameters IS NOT NULL""", "par", ctes=(PARAMS_SQL,)))
 def q_parameter_statistics(t: Tables):
     p = params_table(t)
     tot = p.agg(F.count(F.lit(1)).alias("total"))
     v = p.where(F.col("parameters").isNotNull())
-    a = v.agg(F.count(F.lit(1)).alias("_n"), r6(F.avg("parameters")).alias("mean"),
-              r6(F.stddev_samp("parameters")).alias("std"), F.min("parameters").alias("min"), F.max("parameters").alias("max"))
+    a = v.agg(F.count(F.lit(1)).alias("_n"), _wide(F.avg("parameters")).alias("mean"),
+              _wide(F.stddev_samp("parameters")).alias("std"), F.min("parameters").alias("min"), F.max("parameters").alias("max"))
     q = st.exact_quantiles(v, "parameters", [0.25, 0.5, 0.75])
     return tot.crossJoin(a).crossJoin(q).select(
-        "total", r6(100.0 * F.col("_n") / F.col("total")).alias("coverage_pct"), "mean", r6("q50").alias("median"),
-        "std", "min", "max", r6("q25").alias("q25"), r6("q75").alias("q75"))
+        "total", r6(100.0 * F.col("_n") / F.col("total")).alias("coverage_pct"), "mean", _wide(F.col("q50")).alias("median"),
+        "std", "min", "max", _wide(F.col("q25")).alias("q25"), _wide(F.col("q75")).alias("q75"))
 
 
 @query("extraction_sources", sql=b.with_views(
@@ -362,6 +363,27 @@ def q_timeline_counts(t: Tables):
     return t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RANGE_SQL = right_closed_sql("parameters", RANGE_BINS, RANGE_LABELS)
+
+
+@query("timeline_counts_by_size", sql=ksql(
+    f"SELECT CAST(created_at AS DATE) AS day, {_RANGE_SQL} AS size_range, count(*) AS n FROM crawl WHERE parameters > 0 GROUP BY ALL"))
+def q_timeline_counts_by_size(t: Tables):
+    """Models per day of creation and range of the parameter count."""
+    c = crawl_full(t).where("parameters > 0")
+    return c.groupBy(F.to_date("created_at").alias("day"), right_closed(F.col("parameters"), RANGE_BINS, RANGE_LABELS).alias("size_range")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("timeline_yearly_by_depth", sql=ksql(
+    f"SELECT CAST(y AS INTEGER) AS year, depth, {_wide_sql('m')} AS mean_parameters, n FROM (SELECT year(created_at) AS y, depth, avg(parameters) AS m, count(*) AS n FROM crawl WHERE parameters IS NOT NULL GROUP BY 1, 2) z"))
+def q_timeline_yearly_by_depth(t: Tables):
+    """Mean parameter count per year of creation and depth."""
+    c = crawl_full(t).where("parameters IS NOT NULL")
+    return c.groupBy(F.year("created_at").alias("year"), "depth").agg(F.avg("parameters").alias("m"), F.count(F.lit(1)).alias("n")).select(
+        "year", "depth", _wide(F.col("m")).alias("mean_parameters"), "n")
+
+
 @query("timeline_stats", sql="""SELECT CAST(o_orderdate AS DATE) AS day, round(avg(o_totalprice), 6) AS mean_price,
   round(median(o_totalprice), 6) AS median_price, round(stddev_samp(o_totalprice), 6) AS std_price, count(*) AS n FROM orders GROUP BY 1""")
 def q_timeline_stats(t: Tables):

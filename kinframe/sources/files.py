@@ -33,9 +33,9 @@ def scan_catalog_csv(spark: SparkSession, path: str, schema: T.StructType = CATA
 
 
 def union_tree_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All CSV files under a folder as one scan, with the source file of each row."""
+    """All CSV files under a folder as one scan, with the source file of each row; files that cannot be read are skipped."""
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-          .option("mode", "DROPMALFORMED").csv(path))
+          .option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).csv(path))
     return df.select("*", F.col("_metadata.file_path").alias("source_file"))
 
 
