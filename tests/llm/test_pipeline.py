@@ -47,6 +47,26 @@ def test_stages_against_brute_force(session):
     assert lengths == {i: len(x) // 4 + 1 for i, x in zip(got[3], encode_ids(list(got[3].values()), path))}
 
 
+def test_odd_rows_and_empty_tables(session, odd_docs, odd_rows):
+    """Nulls, empty, long and repeated texts, copies, null ids and clashing columns through all stages."""
+    d = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(session, d, SF)
+        assert out.schema == odd_docs.schema, name
+        rows = out.collect()
+        d = session.createDataFrame(rows, odd_docs.schema)
+    texts = {t for _, t, _ in odd_rows}
+    assert rows and all(r.text and r.id == 1 and r.key == "k" and r.kept == 2.0 for r in rows)
+    assert len({(r.doc_id, r.text) for r in rows}) == len(rows) and len({r.text for r in rows}) == len(rows)
+    assert any(r.text in texts for r in rows) and 4 not in {r.doc_id for r in rows}  # a copy of 0
+    packed = corpus_pipeline.STAGES[-1][1](session, d, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in rows}
+    d = odd_docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        d = stage(session, d, SF)
+        assert d.collect() == [], name
+
+
 def test_run_and_registration(session):
     out = corpus_pipeline.run(session, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
