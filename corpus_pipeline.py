@@ -3,6 +3,11 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that ``run`` writes as Parquet (in the
 shared folder) and reads again as the next stage's ``docs``. All stages but the last return the columns
 of ``documents``.
+
+Defined cases: a null or empty text fails the quality rules and goes with its row; repeated rows and copies end as one
+row of the least id (the SimHash stage), null ids last; a document that line dedup or decontamination leaves without a
+word goes; ties of copies follow the id, then a hash of the text; extra columns, whatever their names, come through the
+first four stages unchanged; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
