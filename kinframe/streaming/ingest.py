@@ -22,13 +22,18 @@ from kinframe.functions.text import secret_flag
 BUCKETS = 64
 
 
+def stream_tables(spark: SparkSession, src_dir: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
+    """Streaming scan of a folder of parquet files; with ``glob`` of the tables in it by that name, each one file or a
+    folder of part files (a filter on file names would pass over the latter)."""
+    if glob and not any(c in glob for c in "*?[{"):
+        glob = f"[{glob[0]}]{glob[1:]}"  # Spark takes a plain path for a folder, a pattern may match a file as well
+    return spark.readStream.schema(schema).parquet(f"{src_dir}/{glob}" if glob else src_dir)
+
+
 def stream_ids(spark: SparkSession, src_dir: str, schema: T.StructType, id_col: str,
                glob: str | None = None) -> DataFrame:
     """Streaming scan of a folder of parquet files, rows without id dropped."""
-    r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.parquet(src_dir).select(id_col).where(F.col(id_col).isNotNull())
+    return stream_tables(spark, src_dir, schema, glob).select(id_col).where(F.col(id_col).isNotNull())
 
 
 def append_new(batch: DataFrame, epoch: int, out_dir: str, stream: str, key: str, buckets: int = BUCKETS) -> None:
@@ -69,10 +74,7 @@ def secret_split_stream(spark: SparkSession, src_dir: str, schema: T.StructType,
     """Cards stream → kept table and exclusion log by the secret patterns; every batch has folders of its own, which a
     repeated run of it overwrites."""
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.parquet(src_dir).withColumn("_secret", secret_flag(text_col, patterns))
+    df = stream_tables(spark, src_dir, schema, glob).withColumn("_secret", secret_flag(text_col, patterns))
 
     def write(batch: DataFrame, epoch: int) -> None:
         for out, part in ((kept_dir, ~F.col("_secret")), (excluded_dir, F.col("_secret"))):

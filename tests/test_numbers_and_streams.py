@@ -85,3 +85,16 @@ def test_a_batch_reads_only_its_buckets(spark, tmp_path):
     stored = spark.read.schema(T.StructType(SCHEMA.fields + [T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.StringType())]))
     plan = stored.parquet(out).where("bucket IN (3, 4)")._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
+
+
+def test_a_table_of_one_file_or_of_many_is_streamed_whole(spark, tmp_path):
+    ids_of = lambda d: ingest.stream_ids(spark, str(tmp_path / d), SCHEMA, "id", glob="t.parquet")
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "many/t.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "many/other.parquet"))
+    (tmp_path / "one").mkdir()
+    part = next(p for p in (tmp_path / "many/t.parquet").iterdir() if p.name.startswith("part-"))
+    (tmp_path / "one/t.parquet").write_bytes(part.read_bytes())
+    n = spark.read.schema(SCHEMA).parquet(str(tmp_path / "one/t.parquet")).count()
+    for d, want in (("many", 30), ("one", n)):
+        ingest.run_available(ids_of(d), str(tmp_path / f"out-{d}"), str(tmp_path / f"ckpt-{d}"), "id")
+        assert len(ids(spark, str(tmp_path / f"out-{d}"))) == want
