@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinframe.functions.common import wide
 from kinframe.functions.text import secret_flag
 from kinframe.operators import graph as g
 from kinframe.operators.sequence import running_sum
@@ -61,7 +62,7 @@ def q_scan_tree_json(t: Tables):
     d = g.bfs_depths(e, g.roots(n, e))
     names = n.select(F.col("id").alias("dst"), F.col("model_id").alias("child"))
     kids = e.join(names, "dst").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("child")).alias("children"))
-    rows = (d.join(n.select("id", "model_id"), "id").join(kids, "id", "left")
+    rows = (d.join(n.select("id", "model_id"), "id").join(wide(kids), "id", "left")
             .select("model_id", F.col("depth").cast("int").alias("depth"),
                     F.coalesce("children", F.array().cast("array<string>")).alias("children"))
             .withColumn("children_count", F.size("children")))
