@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinframe.functions.common import wide
 from kinframe.session import ensure_checkpoint_dir
 
 
@@ -23,9 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         before = mark
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(wide(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.join(wide(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-    return alone.join(state.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
+    return alone.join(wide(state.select(F.col("u").alias("node"), F.col("v").alias("root"))), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"))

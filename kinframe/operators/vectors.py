@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinframe.functions.common import wide
 from kinframe.operators.components import components
 from kinframe.operators.topk import top_k_per_group
 from kinframe.session import ensure_checkpoint_dir, ship_package
@@ -186,7 +187,7 @@ def nearest(vectors: DataFrame, k: int, asks: Column, id_col: str = "vec_id", co
         met = queries.mapInArrow(reach, "id long, x array<double>, cell int").checkpoint()
         asked = met.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(
             F.collect_list(F.struct("id", "x")).alias("r")).select("cell", F.col("r.id").alias("qid"), F.col("r.x").alias("qx"))
-        pairs = _spread(asked, counts, "q").join(members, ["cell", "sub"]).select("qid", "qx", "mid", "mx")
+        pairs = _spread(asked, counts, "q").join(wide(members), ["cell", "sub"]).select("qid", "qx", "mid", "mx")
         return pairs.mapInArrow(compare, "id long, neighbour long, similarity double"), met.select("id", "cell")
 
     ask = points.where(asks)
@@ -199,7 +200,7 @@ def nearest(vectors: DataFrame, k: int, asks: Column, id_col: str = "vec_id", co
     one = best(one).drop("rank").checkpoint()
     kth = one.groupBy("id").agg(F.min("similarity").alias("s"), F.count(F.lit(1)).alias("n")).select(
         F.col("id").alias("kid"), F.when(F.col("n") >= k, F.col("s")).otherwise(-2.0).alias("kth"))
-    again = ask.join(kth, F.col("id") == F.col("kid"), "left").select("id", "x", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
+    again = ask.join(wide(kth), F.col("id") == F.col("kid"), "left").select("id", "x", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
     two, met_two = round_of(again, n_blocks)
     size_of = F.get(F.array(*[F.lit(counts.get(c, 0)) for c in range(len(pivots))]), F.col("cell"))
     met = met_one.unionByName(met_two).groupBy("id").agg(F.sum(size_of).alias("met"))
@@ -242,11 +243,11 @@ def density_clusters(vectors: DataFrame, eps: float, min_rows: int, id_col: str
 
     def meet(flags: DataFrame, run: Callable, schema: str) -> DataFrame:
         """``run`` over all pairs of a block of homes and a block of the same cell's homes and guests."""
-        seen = placed.join(flags.withColumnRenamed("id", "fid"), F.col("id") == F.col("fid")) if flags is not None else \
+        seen = placed.join(wide(flags.withColumnRenamed("id", "fid")), F.col("id") == F.col("fid")) if flags is not None else \
             placed.withColumn("core", F.lit(True))
         homes = _blocks(seen.where("home"), counts, ["id", "x", "core"], "m").withColumnRenamed("msub", "sub")
         others = _spread(_blocks(seen, everyone, ["id", "x", "n", "core"], "q"), counts, "q")
-        pairs = homes.join(others, ["cell", "sub"]).select("mid", "mx", "mcore", "qid", "qx", "qn", "qcore")
+        pairs = homes.join(wide(others), ["cell", "sub"]).select("mid", "mx", "mcore", "qid", "qx", "qn", "qcore")
         return pairs.mapInArrow(run, schema)
 
     def near(batch, r):
@@ -279,15 +280,15 @@ def density_clusters(vectors: DataFrame, eps: float, min_rows: int, id_col: str
         (F.sum("n") >= min_rows).alias("core")).checkpoint()
     links = meet(flags, link, "u long, v long, core boolean").checkpoint()
     roots = components(links.where("core").select("u", "v"))
-    names = roots.join(points.select(F.col("id").alias("pid"), "least"), F.col("node") == F.col("pid")).groupBy("root").agg(
+    names = roots.join(wide(points.select(F.col("id").alias("pid"), "least")), F.col("node") == F.col("pid")).groupBy("root").agg(
         F.min("least").alias("cluster"))
-    named = roots.join(names, "root").select("node", "cluster")
-    border = links.where("NOT core").join(named, F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(
+    named = roots.join(wide(names), "root").select("node", "cluster")
+    border = links.where("NOT core").join(wide(named), F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(
         F.min("cluster").alias("cluster"))
-    known = points.select("id", "key", "x").join(flags, "id").join(
-        named.unionByName(border), F.col("id") == F.col("node"), "left").select(
+    known = points.select("id", "key", "x").join(wide(flags), "id").join(
+        wide(named.unionByName(border)), F.col("id") == F.col("node"), "left").select(
         F.col("key").alias("pkey"), F.col("x").alias("px"), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"), "core")
-    return rows.join(known, (F.col("key") == F.col("pkey")) & (F.col("x") == F.col("px"))).select("id", "cluster", "core")
+    return rows.join(wide(known), (F.col("key") == F.col("pkey")) & (F.col("x") == F.col("px"))).select("id", "cluster", "core")
 
 
 def silhouette(vectors: DataFrame, id_col: str, cluster_col: str, col: str, noise: int | None = -1) -> DataFrame:
