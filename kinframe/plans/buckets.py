@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinframe.functions.common import r6
+from kinframe.functions.common import r6, wide
 from kinframe.operators.names import contained_names
 from kinframe.operators.topk import top_k
 from kinframe.plans.bins import (CATEGORY_BINS, CATEGORY_LABELS, HALF_OPEN, PARAM_BINS, PARAM_LABELS, POPULARITY, RANGE_BINS,
@@ -154,7 +154,7 @@ COVERAGE = (
 def stored_files(t: Tables):
     """Names of the tree files collected so far (stand-in: parts that were returned in large lots), as a stored table."""
     sold = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40)).select(F.col("l_partkey").alias("p_partkey")).distinct()
-    names = t.part.join(sold, "p_partkey", "left_semi").select(F.concat(
+    names = t.part.join(wide(sold), "p_partkey", "left_semi").select(F.concat(
         F.regexp_replace("p_name", " ", "-"), F.lit("-"), F.col("p_partkey").cast("string"),
         F.when(F.col("p_partkey") % 2 == 0, "_finetunes_20250529.csv").otherwise(".csv")).alias("file"))
     path = scratch_path(t.spark, "tree-files")
@@ -171,8 +171,8 @@ def coverage(ids: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split("model_id", "/")
     named = ids.where(F.trim("model_id") != "").select("id", norm(F.when(F.size(parts) == 2, parts[1]).otherwise(F.col("model_id"))).alias("name"))
     exact = texts.select(F.col("text").alias("name"), F.lit("exact").alias("e"))
-    inside = contained_names(named.join(exact, "name", "left_anti"), texts).withColumn("c", F.lit("contained"))
-    return named.join(exact, "name", "left").join(inside, "name", "left").select("id", F.coalesce("e", "c", F.lit("missing")).alias("status"))
+    inside = contained_names(named.join(wide(exact), "name", "left_anti"), texts).withColumn("c", F.lit("contained"))
+    return named.join(wide(exact), "name", "left").join(wide(inside), "name", "left").select("id", F.coalesce("e", "c", F.lit("missing")).alias("status"))
 
 
 @query("coverage_found_missing", sql=b.with_views("SELECT id, status FROM cov", "cat", ctes=COVERAGE))
