@@ -34,8 +34,9 @@ def with_bigrams(toks: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """(id, term, tf) long form."""
-    return (docs.select(F.col(id_col).alias("doc"), F.explode(terms).alias("term"))
+    """(id, term, tf) long form. The texts are dealt by their id once, so that the terms of a document are counted where
+    it lies; the (id, term) rows, several times the text, are not exchanged."""
+    return (docs.repartition(id_col).select(F.col(id_col).alias("doc"), F.explode(terms).alias("term"))
             .groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 

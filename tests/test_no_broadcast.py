@@ -25,3 +25,9 @@ def test_no_broadcast_joins(spark):
                components(links.select(F.col("src").alias("u"), F.col("dst").alias("v"))), V.density_clusters(vectors, 1.1, 2),
                QUERIES["sorted_by_depth"](spark, "/root/testdata/sf0.001"), QUERIES["coverage_found_missing"](spark, "/root/testdata/sf0.001")):
         assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_terms_are_counted_where_the_document_lies(spark):
+    """The texts are exchanged once by their id, the (document, term) rows are not."""
+    p = plan(QUERIES["bow_vectors"](spark, "/root/testdata/sf0.001"))
+    assert p.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_COL" in p
