@@ -53,16 +53,19 @@ def restrict(tf: DataFrame, cap: int | None = None) -> DataFrame:
     return tf.join(F.broadcast(vocabulary(tf, cap).select("term")), "term", "left_semi")
 
 
-def tfidf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
+def tfidf(tf: DataFrame, n_docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """tf · (ln((1 + N)/(1 + df)) + 1), L2-normalised per document.
 
     The counts are stored once. Terms with more than 1/``HOT`` of all rows (fewer than ``HOT`` of them) meet their document
-    frequency by a broadcast, so a word in every document is no hot join key; the norm is summed within a document."""
+    frequency by a broadcast, so a word in every document is no hot join key; the norm is summed within a document.
+    With ``only(doc)`` the weights of those documents alone; the frequencies are still those of all."""
     ensure_checkpoint_dir(tf.sparkSession)
     tf = tf.checkpoint()
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     many = F.col("df") * HOT > tf.count()
     hot = F.broadcast(df_.where(many))
+    if only is not None:
+        tf = tf.join(only.select("doc"), "doc", "left_semi")
     known = tf.join(hot, "term").unionByName(tf.join(hot.select("term"), "term", "left_anti").join(df_.where(~many), "term"))
     w = known.crossJoin(n_docs).withColumn(  # n_docs: one row
         "raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))

@@ -157,7 +157,8 @@ def kin_cosines(t: Tables):
     index = kin(t)
     samples = reduce(DataFrame.unionByName, [f(index, N, SEED).withColumn("motif", F.lit(m)) for m, f in sm.SAMPLERS.items()])
     samples = samples.checkpoint()  # 24 configurations of N pairs
-    w = tfidf_table(t).checkpoint()
+    ends = samples.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+    w = tfidf_table(t, only=F.broadcast(ends)).checkpoint()  # at most 2 x 24 x N ids
     have = w.select(F.col("doc").alias("id")).distinct()
     s = (samples.join(have.withColumnRenamed("id", "u"), "u", "left_semi")
          .join(have.withColumnRenamed("id", "v"), "v", "left_semi"))

@@ -66,10 +66,10 @@ w AS (SELECT doc, term, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM t2 JOIN df
 tw AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS weight FROM w)"""
 
 
-def tfidf_table(t: Tables, cap: int | None = None):
+def tfidf_table(t: Tables, cap: int | None = None, only=None):
     tf = unigram_tf(t)
     n = t.documents.agg(F.count(F.lit(1)).alias("n"))
-    return S.tfidf(S.restrict(tf, cap), n)
+    return S.tfidf(S.restrict(tf, cap), n, only)
 
 
 @query("top_words", sql=f"""WITH {TF_SQL}, {vocab_sql()}

@@ -31,3 +31,12 @@ def test_terms_are_counted_where_the_document_lies(spark):
     """The texts are exchanged once by their id, the (document, term) rows are not."""
     p = plan(QUERIES["bow_vectors"](spark, "/root/testdata/sf0.001"))
     assert p.count("Exchange hashpartitioning(") == 1 and "REPARTITION_BY_COL" in p
+
+
+def test_weights_of_some_documents_equal_those_of_all(spark):
+    from kinframe.operators import similarity as S
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 5 + 1))) for i in range(12)], "doc_id long, text string")
+    tf, n = S.term_counts(docs, "doc_id", S.tokens("text")), docs.agg(F.count(F.lit(1)).alias("n"))
+    some = spark.createDataFrame([(3,), (7,), (99,)], "doc long")
+    rows = lambda d: sorted((r.doc, r.term, round(r.weight, 9)) for r in d.collect())
+    assert rows(S.tfidf(tf, n, some)) == [r for r in rows(S.tfidf(tf, n)) if r[0] in (3, 7)]
