@@ -8,8 +8,9 @@ made from the histogram of lengths (at most ``capacity`` rows, whatever the corp
 repeated as often as its lengths last. Spark then numbers the pieces of each length and looks the
 numbers up in the plan: no task sees more than a salted part of a length's pieces, and no text moves.
 
-Tokens of a text are those of its space-separated chunks, since the pre-tokenizer drops white space; a
-worker keeps the ids of chunks that it has met (at most ``_CACHE_SIZE``), and encodes only new ones.
+Tokens of a text are those of its pre-tokens, since the pre-tokenizer drops white space; a worker keeps the
+ids of those that it has met (about ``_CACHE_SIZE`` at most), and encodes only new ones, many in one call. Texts
+are cut one group after the other, so a batch of long texts is never held in pieces as a whole.
 
 Defined cases: a null or empty text has only the end token; longer documents are cut into pieces of
 ``capacity`` tokens; repeated rows and ids are packed as rows of their own; an empty table gives an
@@ -19,7 +20,9 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,61 +34,92 @@ from kinframe.llm.common import small_batches, stored, whole_text
 
 END = (0).to_bytes(4, "little")
 _SALTS = 256
-_CACHE_SIZE = 1_000_000
+_CACHE_SIZE = 400_000
+#: Characters of the texts that are cut into parts together, and parts that are encoded as one text.
+_GROUP_CHARS, _JOINED = 1 << 20, 256
+#: White space, visible ASCII and the Latin letters that normalisation leaves alone but for case, and the
+#: tokenizer's pattern on these characters.
+_PLAIN = re.compile(r"[ \t\n!-~À-ÖØ-öø-įı-ſ]*")
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t\n0-9a-zß-öø-ſ]+")
 _WORKER: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """(tokenizer, chunk -> ids as little-endian bytes), loaded once in a Python worker."""
+    """(tokenizer, whether an id ends a pre-token, part -> ids as little-endian bytes), loaded once in a Python worker."""
     if path not in _WORKER:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _WORKER[path] = (Tokenizer.from_file(path), {"": b""})
+        tok = Tokenizer.from_file(path)
+        vocab = tok.get_vocab()
+        last = np.zeros(max(vocab.values()) + 1, bool)
+        last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        _WORKER[path] = (tok, last, {})
     return _WORKER[path]
 
 
-def _parts(chunk: str) -> tuple[str, ...]:
-    """Parts that encode on their own: a full stop or comma after a letter is a token run of its own, and
-    ASCII case is dropped by the tokenizer. What may hold a special token is left as it is."""
-    if "<|" in chunk:
-        return (chunk,)
-    low = chunk.lower() if chunk.isascii() else chunk
-    if len(low) > 1 and low[-1] in ".," and (low[-2].isascii() or "À" <= low[-2] < "ɐ") and low[-2].lower().isalpha():
-        return low[:-1], low[-1]
-    return (low,)
-
-
-def encode_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of every text, each id 4 little-endian bytes."""
-    tok, known = _tokenizer(path)
-    if len(known) > _CACHE_SIZE:
-        known.clear()
-        known[""] = b""
-    chunked = [t.replace("\n", " ").split(" ") for t in texts]
-    new = {c for chunks in chunked for c in set(chunks) if c not in known}
-    cut = {c: _parts(c) for c in new}
-    single = [p for p in {p for parts in cut.values() for p in parts} if p not in known]
-    for p, e in zip(single, tok.encode_batch_fast(single, add_special_tokens=False)):
-        known[p] = np.array(e.ids, "<u4").tobytes()
-    for c, parts in cut.items():
-        if c not in known:
-            known[c] = b"".join([known[p] for p in parts])
-    return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
+def _parts(text: str) -> list[str]:
+    """Parts of a text that encode on their own: its pre-tokens if it has only ``_PLAIN`` characters; else those of its
+    space-separated chunks, a chunk of other characters as it is."""
+    if _PLAIN.fullmatch(text) and "<|" not in text:
+        return _RUN.findall(text.lower())
+    chunks = text.replace("\n", " ").split(" ")
+    return [p for c in chunks for p in (_RUN.findall(c.lower()) if _PLAIN.fullmatch(c) and "<|" not in c else (c,))]
+
+
+def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Consecutive texts of ``_GROUP_CHARS`` characters together, or one longer text."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > _GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
+
+
+def _encode_apart(parts: list[str], tok, last: np.ndarray) -> Iterator[tuple[str, bytes]]:
+    """The ids of every part. Parts that are one pre-token go to the library together, each up to an id that ends a
+    pre-token; others go alone."""
+    one, other = [], []
+    for p in parts:
+        (one if _RUN.fullmatch(p) and _PLAIN.fullmatch(p) and "<|" not in p else other).append(p)
+    for at in range(0, len(one), _JOINED):
+        some = one[at:at + _JOINED]
+        ids = np.array(tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends, joined = (4 * np.flatnonzero(last[ids]) + 4).tolist(), ids.tobytes()
+        for p, start, end in zip(some, [0, *ends[:-1]], ends, strict=True):
+            yield p, joined[start:end]
+    for p, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False)):
+        yield p, np.array(e.ids, "<u4").tobytes()
+
+
+def encode_ids(texts: Iterable[str], path: str) -> Iterator[bytes]:
+    """Ids of every text, each id 4 little-endian bytes; only some texts are held in parts at a time."""
+    tok, last, known = _tokenizer(path)
+    for group in _groups(texts):
+        if len(known) > _CACHE_SIZE:
+            known.clear()
+        cut = [_parts(t) for t in group]
+        known.update(_encode_apart(list(set().union(*cut).difference(known)), tok, last))
+        for parts in cut:
+            yield b"".join(map(known.__getitem__, parts))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """``id, piece, start, length, crc``: documents cut into pieces of at most ``capacity`` ids."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 128)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             at, rest = [], [[], [], [], []]
-            for row, ids in enumerate(encode_ids(b.column(1).to_pylist(), tokenizer_path)):
+            for row, ids in enumerate(encode_ids((t.as_py() for t in b.column(1)), tokenizer_path)):
                 ids += END
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):

@@ -121,3 +121,27 @@ def test_patterns_are_the_sequences_one_by_one():
         counts = dict(zip(values.tolist(), counts.tolist()))
         got = [sorted(n for n, k in used.items() for _ in range(k)) for used, times in packing.plan(counts, capacity) for _ in range(times)]
         assert got == step_by_step(counts, capacity)
+
+
+def test_pre_tokens_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORD), np.random.default_rng(11)
+    alphabet = np.array(list("abcdestvmlrABST'''.,*$-_#<|>0129     \t\n\r\x1c\x0b éÉßÿŸĀžſŉ×÷ªº²İıΣσςя中́​😀"))
+    texts = ["".join(rng.choice(alphabet[:n], size)) for n in (20, 45, len(alphabet)) for size in (5, 40, 300) for _ in range(60)]
+    texts += ["IT'S we'Re 'Tis x<|startoftext|>Y <|endoftext|> <|no", ""]
+    for t, ids in zip(texts, packing.encode_ids(texts, WORD), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_a_batch_of_long_texts_is_not_held_in_parts():
+    import tracemalloc
+
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(15000)]
+    texts = [" ".join(words)] * 100
+    n = sum(map(len, packing.encode_ids(texts[:1], WORD)))  # loads the tokenizer and the parts
+    tracemalloc.start()
+    assert [len(b) for b in packing.encode_ids(iter(texts), WORD)] == [n] * 100
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
