@@ -8,11 +8,12 @@ and similarities are computed only for pairs the caller supplies
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinframe.operators.topk import top_k
-from kinframe.session import ensure_checkpoint_dir
+from kinframe.session import ensure_checkpoint_dir, ship_package
 
 #: Terms with more than this part (1 / 500) of all (document, term) rows are joined by a broadcast.
 HOT = 500
@@ -93,9 +94,40 @@ def cosine_dense(a: Column, b: Column) -> Column:
     return F.try_divide(dot, na * nb)
 
 
+def edit_distance(a: str | None, b: str | None) -> int | None:
+    """Levenshtein distance of code points. A column of the table of distances is held as two whole numbers, the bits
+    where it rises and falls from one row to the next, so a step takes all rows of the longer text at once (Myers,
+    Hyyrö). Common ends are left out."""
+    if a is None or b is None:
+        return None
+    if len(a) < len(b):
+        a, b = b, a
+    if a.startswith(b) or a.endswith(b):
+        return len(a) - len(b)
+    start = end = 0
+    while a[start] == b[start]:  # neither text is an end of the other, so both loops stop
+        start += 1
+    while end < len(b) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start:len(a) - end], b[start:len(b) - end]
+    points, m = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4"), len(a)
+    at = {c: int.from_bytes(np.packbits(points == ord(c), bitorder="little").tobytes(), "little") for c in set(b)}
+    rows, one_more, two_more = (1 << m) - 1, (1 << m + 1) - 1, (1 << m + 2) - 1
+    up, down = rows, 0
+    for eq in map(at.__getitem__, b):  # bits from the m-th on are never read
+        zero = (((eq & up) + up) ^ up) | eq | down
+        left = zero & up
+        right = ((down | ((zero | up) ^ one_more)) << 1) | 1
+        up = ((left << 1) | ((zero | right) ^ two_more)) & rows
+        down = right & zero
+    return len(b) + up.bit_count() - (down & rows).bit_count()
+
+
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     """1 − distance / max(len); 1 when both are empty, 0 when one is."""
+    ship_package(SparkSession.active())
     la, lb = F.length(a), F.length(b)
+    distance = F.udf(edit_distance, "int", useArrow=False)  # rows in small batches: texts are long
     return (F.when((la == 0) & (lb == 0), F.lit(1.0))
             .when((la == 0) | (lb == 0), F.lit(0.0))
-            .otherwise(1 - F.levenshtein(a, b) / F.greatest(la, lb)))
+            .otherwise(1 - distance(a, b) / F.greatest(la, lb)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinframe.functions.common import r6
+from kinframe.functions.common import r6, wide
 from kinframe.functions.dictionaries import STOP_WORDS
 from kinframe.operators import similarity as S
 from kinframe.operators.topk import top_k, top_k_per_group
@@ -130,7 +130,7 @@ def q_levenshtein_similarity(t: Tables):
     p = t.documents.select(F.col("doc_id").alias("src"), F.col("text").alias("a"))
     c = t.documents.select(F.col("doc_id").alias("dst"), F.col("text").alias("c"))
     # the distance costs the product of the lengths: spread the pairs whatever the file layout
-    j = e.join(p, "src").join(c, "dst").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "dst")
+    j = e.join(wide(p), "src").join(wide(c), "dst").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "dst")
     return j.select(F.col("src").alias("u"), F.col("dst").alias("v"),
                     r6(S.levenshtein_similarity(F.col("a"), F.col("c"))).alias("similarity"))
 

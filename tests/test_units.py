@@ -122,6 +122,21 @@ def test_levenshtein_key_on_fixture(spark):
         assert abs(r.similarity - want) < 1e-6  # key output is rounded to 6 places
 
 
+def test_edit_distance_of_bits(spark):
+    import random
+    from kinframe.plans.registry import QUERIES
+    draw = random.Random(3)
+    for k in range(1500):
+        letters = "ab" if k % 2 else "abcdé中\0😀"
+        a, b = ("".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 2, 5, 9, 31, 70]))) for _ in "ab")
+        b = a[:len(a) // 2] + b + a[len(a) // 2:] if k % 3 == 0 else b
+        assert S.edit_distance(a, b) == S.edit_distance(b, a) == _lev(a, b)
+    assert S.edit_distance(None, "a") is None
+    # the texts do not pass through the driver
+    plan = QUERIES["levenshtein_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
 def test_null_keys_and_constant_columns(spark):
     rows = [(None, 1, 5.0), (None, 2, 7.0), ("a", 1, 1.0), ("a", 3, 2.0), ("a", 2, 4.0)]
     df = spark.createDataFrame(rows, "k string, o int, v double")
