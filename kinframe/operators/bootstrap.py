@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from kinframe.functions.common import wide
 from kinframe.operators.sequence import dense_index
 from kinframe.session import ship_package
 
@@ -89,7 +90,7 @@ def _cells(rows: DataFrame, group: str, value: str, depth: str) -> DataFrame:
     size = kept.groupBy(F.col("g").alias("sg")).agg(F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.count(F.lit(1))))).alias("size"),
                                  (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("cv"),
                                  (F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("cd"))
-    kept = kept.join(size, F.col("g").eqNullSafe(F.col("sg"))).select(
+    kept = wide(kept).join(size, F.col("g").eqNullSafe(F.col("sg"))).select(
         "g", "v", "d", "w", "cell", F.floor(F.col("cell") / F.col("size")).cast("long").alias("chunk"), "cv", "cd")
     none = cells.where("v IS NULL").select("g", "v", "d", "w", F.lit(-1).cast("long").alias("cell"),
                                            F.lit(-1).cast("long").alias("chunk"), F.lit(0.0).alias("cv"), F.lit(0.0).alias("cd"))

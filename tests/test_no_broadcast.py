@@ -27,6 +27,16 @@ def test_no_broadcast_joins(spark):
         assert "BroadcastHashJoin" not in plan(df)
 
 
+def test_histograms_do_not_pass_through_the_driver(spark):
+    """Running sums, quantiles and counts by depth join the histogram by shuffles; it grows with the distinct values."""
+    from kinframe.operators import sequence, stats
+    rows = spark.createDataFrame([(i % 3, i) for i in range(60)], "g long, x long")
+    for df in (sequence.dense_index(rows, ["g"], ["x"], "at"), stats.exact_quantiles(rows, "x", [0.25, 0.5], ["g"]),
+               QUERIES["crosstab_by_depth_type"](spark, "/root/testdata/sf0.001")):
+        assert df.collect()  # the plan that ran: sizes are known then
+        assert "BroadcastHashJoin" not in plan(df)
+
+
 def test_terms_are_counted_where_the_document_lies(spark):
     """The texts are exchanged once by their id, the (document, term) rows are not."""
     p = plan(QUERIES["bow_vectors"](spark, "/root/testdata/sf0.001"))
