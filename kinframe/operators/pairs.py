@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinframe.functions.common import wide
 from kinframe.operators.sequence import previous_in_group
 from kinframe.operators.similarity import cosine_sparse
 from kinframe.operators.topk import top_k, top_k_per_group
-from kinframe.session import ensure_checkpoint_dir
+from kinframe.session import ensure_checkpoint_dir, stored
 
 
 def similarity_by_depth(weights: DataFrame, depths: DataFrame) -> DataFrame:
@@ -65,17 +66,18 @@ def top_pairs(tf: DataFrame, weights: DataFrame, k: int = 5, digits: int = 6) ->
     """
     ensure_checkpoint_dir(tf.sparkSession)
     classes = _classes(tf, k).checkpoint()
-    w = weights.join(classes.select(F.col("rep").alias("doc")), "doc").checkpoint()
+    w = stored(weights.join(wide(classes.select(F.col("rep").alias("doc"))), "doc"), "weights")
     df = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     shared = w.join(df.where("df > 1"), "term")
     # norms from the rare end: ``rest`` includes the term, ``after`` does not
     by_df = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = shared.select("doc", "term", "weight", "df", F.sum(F.col("weight") * F.col("weight")).over(by_df).alias("q")).select(
+    ranked = stored(shared.select("doc", "term", "weight", "df", F.sum(F.col("weight") * F.col("weight")).over(by_df).alias("q")).select(
         "doc", "term", "weight", "df", F.sqrt("q").alias("rest"),
-        F.sqrt(F.greatest(F.col("q") - F.col("weight") * F.col("weight"), F.lit(0.0))).alias("after")).checkpoint()
+        F.sqrt(F.greatest(F.col("q") - F.col("weight") * F.col("weight"), F.lit(0.0))).alias("after")), "ranked")
     rarest = ranked.groupBy("doc").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     lists = previous_in_group(rarest, "term", ["doc"], ["doc"], prefix="p_")
-    seeds = lists.where("p_doc IS NOT NULL").select(F.col("p_doc").alias("u"), F.col("doc").alias("v")).distinct()
+    # pairs are stored first: few of them go to the weights, which are exchanged only for many
+    seeds = stored(lists.where("p_doc IS NOT NULL").select(F.col("p_doc").alias("u"), F.col("doc").alias("v")).distinct(), "seeds")
     alike = cosine_sparse(seeds, w).select(F.round("cosine", digits).alias("s")).where("s > 0")
     copies = classes.select(F.explode(F.array_repeat(F.lit(1.0), F.least(F.col("n") - 1, F.lit(k)).cast("int"))).alias("s"))
     best = top_k(alike.unionByName(copies), [F.desc("s")], k).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
@@ -84,9 +86,10 @@ def top_pairs(tf: DataFrame, weights: DataFrame, k: int = 5, digits: int = 6) ->
     prefix = ranked.where(F.col("rest") >= threshold)
     a = prefix.select("term", F.col("doc").alias("u"), F.col("weight").alias("wu"), F.col("after").alias("ru"))
     b = prefix.select("term", F.col("doc").alias("v"), F.col("weight").alias("wv"), F.col("after").alias("rv"))
-    candidates = (a.join(b, "term").where((F.col("u") < F.col("v")) & (
-        F.col("wu") * F.col("wv") + F.col("ru") * F.col("rv") >= threshold)).select("u", "v").distinct())
-    found = cosine_sparse(candidates, w).select("u", "v", F.round("cosine", digits).alias("s")).where("s > 0")
+    candidates = stored(a.join(b, "term").where((F.col("u") < F.col("v")) & (
+        F.col("wu") * F.col("wv") + F.col("ru") * F.col("rv") >= threshold)).select("u", "v").distinct(), "candidates")
+    met = stored(candidates.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "met")
+    found = cosine_sparse(candidates, w.join(met, "doc", "left_semi")).select("u", "v", F.round("cosine", digits).alias("s")).where("s > 0")
     # pairs of classes by their first pair of documents; then the documents of the best k of them
     small = classes.select("rep", F.get("members", F.lit(1)).alias("second"), "members")
     within = small.where("second IS NOT NULL").select(F.lit(1.0).alias("s"), F.col("rep").alias("u"), F.col("second").alias("v"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinframe.operators.topk import top_k
-from kinframe.session import ensure_checkpoint_dir, ship_package
+from kinframe.session import ship_package, stored
 
 #: Terms with more than this part (1 / 500) of all (document, term) rows are joined by a broadcast.
 HOT = 500
@@ -54,14 +54,13 @@ def restrict(tf: DataFrame, cap: int | None = None) -> DataFrame:
     return tf.join(F.broadcast(vocabulary(tf, cap).select("term")), "term", "left_semi")
 
 
-def tfidf(tf: DataFrame, n_docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def tfidf(tf: DataFrame, n_docs: DataFrame, only: DataFrame | None = None, store: bool = True) -> DataFrame:
     """tf · (ln((1 + N)/(1 + df)) + 1), L2-normalised per document.
 
-    The counts are stored once. Terms with more than 1/``HOT`` of all rows (fewer than ``HOT`` of them) meet their document
+    The counts are stored once (unless ``store`` is false, for counts that are stored already). Terms with more than 1/``HOT`` of all rows (fewer than ``HOT`` of them) meet their document
     frequency by a broadcast, so a word in every document is no hot join key; the norm is summed within a document.
     With ``only(doc)`` the weights of those documents alone; the frequencies are still those of all."""
-    ensure_checkpoint_dir(tf.sparkSession)
-    tf = tf.checkpoint()
+    tf = stored(tf, "term-counts") if store else tf
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     many = F.col("df") * HOT > tf.count()
     hot = F.broadcast(df_.where(many))

@@ -50,3 +50,8 @@ def test_weights_of_some_documents_equal_those_of_all(spark):
     some = spark.createDataFrame([(3,), (7,), (99,)], "doc long")
     rows = lambda d: sorted((r.doc, r.term, round(r.weight, 9)) for r in d.collect())
     assert rows(S.tfidf(tf, n, some)) == [r for r in rows(S.tfidf(tf, n)) if r[0] in (3, 7)]
+
+
+def test_term_counts_are_stored_as_parquet(spark):
+    """Tables of a row per document and term are not checkpoints, which are several times larger."""
+    assert "ExistingRDD" not in plan(QUERIES["tfidf_weights"](spark, "/root/testdata/sf0.001"))
