@@ -30,6 +30,8 @@ from kinframe.session import ensure_checkpoint_dir, ship_package
 PIVOTS, SAMPLE, BLOCK, QUERIES, CENTROIDS = 1024, 8, 1024, 256, 1 << 20
 #: Slack of bounds: similarities are compared at 6 decimals, angles of doubles are good to 1e-8.
 SLACK = 1e-6
+#: Most numbers of a matrix, or of the rows handed on at once, where rows meet all pivots: it bounds a task's memory.
+MATRIX = 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, col: str, *more: Column) -> tuple[DataFrame, int]:
@@ -91,18 +93,21 @@ def _placed(points: DataFrame, pivots: np.ndarray, measure: Callable, near: floa
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(batch.schema.get_field_index("x")), width)
-            for at in range(0, len(x), 4096):
-                away = measure(x[at:at + 4096], sent.value)
+            step, most = max(1, MATRIX // len(sent.value)), max(1, MATRIX // width)
+            for at in range(0, len(x), step):
+                away = measure(x[at:at + step], sent.value)
                 home = away.argmin(1)
                 least = away.min(1)
                 if near is None:
                     row, cell = np.arange(len(home)), home
                 else:
                     row, cell = np.nonzero(away <= least[:, None] + 2 * near + SLACK)
-                part = batch.take(pa.array(row + at))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(cell.astype(np.int32)), pa.array(away[row, cell]), pa.array(cell == home[row])],
-                    [*part.schema.names, "cell", "away", "home"])
+                for start in range(0, len(row), most):  # a row is a guest of all cells at worst
+                    r, c = row[start:start + most], cell[start:start + most]
+                    part = batch.take(pa.array(r + at))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(c.astype(np.int32)), pa.array(away[r, c]), pa.array(c == home[r])],
+                        [*part.schema.names, "cell", "away", "home"])
 
     ship_package(points.sparkSession)
     return points.mapInArrow(run, f"{fields}, cell int, away double, home boolean")
@@ -146,25 +151,28 @@ def nearest(vectors: DataFrame, k: int, asks: Column, id_col: str = "vec_id", co
     members = _blocks(placed, counts, ["id", "x"], "m").withColumnRenamed("msub", "sub").checkpoint()
 
     def reach(batches):
-        """Queries (id, x, found, kth) to the cells they have to meet: in the first round the nearest that hold more
+        """Queries (id, x, kth) with the list of cells they have to meet: in the first round the nearest that hold more
         than ``k`` rows, in the second all that the k-th similarity does not rule out."""
         centre, cell, lo, hi, size = sent.value
+        step = max(1, MATRIX // len(cell))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, kth = _matrix(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False)
-            for start in range(0, len(x), 4096):
-                angle = _angles(x[start:start + 4096], centre)
+            for start in range(0, len(x), step):
+                angle = _angles(x[start:start + step], centre)
                 bound = np.maximum(np.maximum(angle - hi, lo - angle), 0)
                 order = np.argsort(bound, axis=1, kind="stable")
                 before = np.cumsum(size[order], axis=1) - size[order]
                 first = np.zeros(bound.shape, bool)
                 np.put_along_axis(first, order, before <= k, axis=1)
-                part = kth[start:start + 4096, None]
+                part = kth[start:start + step, None]
                 open_cells = np.cos(np.maximum(bound - SLACK, 0)) >= part - SLACK
                 row, c = np.nonzero(np.where(np.isnan(part), first, open_cells & ~first))
-                sub = batch.take(pa.array(row + start))
-                yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(1), pa.array(cell[c])], ["id", "x", "cell"])
+                ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                sub = batch.slice(start, step)
+                yield pa.RecordBatch.from_arrays(
+                    [sub.column(0), sub.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[c]))], ["id", "x", "cells"])
 
     def compare(batches):
         for batch in batches:
@@ -184,7 +192,9 @@ def nearest(vectors: DataFrame, k: int, asks: Column, id_col: str = "vec_id", co
                                                  ["id", "neighbour", "similarity"])
 
     def round_of(queries: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
-        met = queries.mapInArrow(reach, "id long, x array<double>, cell int").checkpoint()
+        # the vector is repeated for each cell only on its way into the exchange, by as many tasks as there are blocks
+        met = queries.repartition(blocks, "id", "x").mapInArrow(reach, "id long, x array<double>, cells array<int>").checkpoint()
+        met = met.select("id", "x", F.explode("cells").alias("cell"))
         asked = met.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(
             F.collect_list(F.struct("id", "x")).alias("r")).select("cell", F.col("r.id").alias("qid"), F.col("r.x").alias("qx"))
         pairs = _spread(asked, counts, "q").join(wide(members), ["cell", "sub"]).select("qid", "qx", "mid", "mx")

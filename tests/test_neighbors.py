@@ -56,6 +56,33 @@ def test_nearest_equals_all_pairs(spark, rows, block, monkeypatch):
     assert len(share) == len({w[0] for w in want}) and max(share) <= len(kept) and sum(share) < 0.8 * len(share) * len(kept)
 
 
+def test_rows_that_meet_all_cells_leave_in_small_batches(spark, monkeypatch):
+    """In 64 random dimensions no bound excludes a cell; what a task holds must not be rows times cells vectors."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    run = DataFrame.mapInArrow
+
+    def small(self, f, schema, *args):
+        def held(batches):
+            for out in f(batches):
+                if out.nbytes > 10 << 20:
+                    raise AssertionError(f"a batch of {out.nbytes} bytes")
+                yield out
+        return run(self, held, schema, *args)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", small)
+    x = np.random.default_rng(3).standard_normal((4096, 64)).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in V.nearest(table, 5, F.col("id") >= 0)[0].collect():
+        got.setdefault(r.id, {})[r.rank] = r.neighbour
+    s = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(s @ s.T, 6)
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert got == {i: dict(enumerate(b.tolist(), 1)) for i, b in enumerate(best)}
+    assert {(r.cluster, r.core) for r in V.density_clusters(table, 30.0, 3).collect()} == {(0, True)}
+
+
 def test_few_vectors(spark):
     two = frame(spark, [(0, [1.0, 0.0], 1), (50, [1.0, 1.0], 1)])
     assert sorted((r.id, r.neighbour, r.rank) for r in V.nearest(two, 5, F.col("id") % 50 == 0)[0].collect()) == [(0, 50, 1), (50, 0, 1)]
