@@ -23,12 +23,12 @@ un AS (SELECT id, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x)))
 
 
 @query("top_k_neighbors", sql=f"""WITH {VEC_SQL},
-s AS (SELECT q.id, n.id AS neighbour, round(list_dot_product(q.x, n.x), 6) AS similarity FROM un q JOIN un n ON n.id <> q.id WHERE q.id % 50 = 0)
+s AS (SELECT q.id, n.id AS neighbour, round(list_dot_product(q.x, n.x), 6) AS similarity FROM un q JOIN un n ON n.id <> q.id)
 SELECT id, neighbour, similarity, CAST(rk AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rk FROM s) z WHERE rk <= 5""")
 def q_top_k_neighbors(t: Tables):
-    """The five most similar vectors of every vector whose id is divisible by 50, among all vectors."""
-    found, _ = V.nearest(t.embeddings, 5, F.col("id") % 50 == 0)
+    """The five most similar vectors of every vector, among all vectors."""
+    found, _ = V.nearest(t.embeddings, 5, F.lit(True))
     return found
 
 
