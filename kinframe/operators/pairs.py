@@ -3,19 +3,28 @@
 * ``similarity_by_depth``: the sum of cosines between two depth levels is the dot product of their vector sums, so
   every pair counts and none is formed.
 * ``top_pairs``: the most similar pairs, by a prefix-filtered join on an inverted index at a threshold that is known to
-  be reached.
+  be reached. Terms become numbers and documents rows before anything else is exchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.functions.common import wide
 from kinframe.operators.sequence import previous_in_group
-from kinframe.operators.similarity import cosine_sparse
+from kinframe.operators.similarity import HOT, cosine_sparse
 from kinframe.operators.topk import top_k, top_k_per_group
-from kinframe.session import ensure_checkpoint_dir, stored
+from kinframe.session import ensure_checkpoint_dir, ship_package, stored
+
+#: Most terms (of ``SHORT`` characters at most) or documents that are broadcast.
+FREQUENT, SHORT = 1 << 16, 64
+#: Rarest terms by which pairs are chosen that give a threshold, and how many of them for each pair asked for.
+HEAD, SEEDS = 16, 200
+#: Slack of sums of squares, and most rows that leave a Python function at once.
+BLUR, PIECE = 1e-9, 1 << 17
 
 
 def similarity_by_depth(weights: DataFrame, depths: DataFrame) -> DataFrame:
@@ -43,53 +52,123 @@ def similarity_by_depth(weights: DataFrame, depths: DataFrame) -> DataFrame:
             .select("depth_difference", "pairs", (F.col("t") / F.col("pairs")).alias("mean_similarity")))
 
 
-def _classes(tf: DataFrame, k: int) -> DataFrame:
-    """``rep, n, members``: documents with the same counts of the same terms, the least as representative, and the
-    ``k + 1`` least of them, which hold the ``k`` first pairs."""
-    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "term", "tf").cast("decimal(38,0)"))
-    signed = tf.groupBy("doc").agg(mark(1).alias("s1"), mark(2).alias("s2"), F.count(F.lit(1)).alias("s3"))
-    sig = ["s1", "s2", "s3"]
+def _classes(signed: DataFrame, k: int) -> DataFrame:
+    """``rep, n, members``: documents of the same signature ``s1, s2``, the least as representative, and the ``k + 1`` least of
+    them, which hold the ``k`` first pairs."""
+    sig = ["s1", "s2"]
     least = top_k_per_group(signed, sig, [F.asc("doc")], k + 1, ["doc"]).groupBy(*sig).agg(
         F.array_sort(F.collect_list("doc")).alias("members"))
     return signed.groupBy(*sig).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).join(least, sig).select("rep", "n", "members")
 
 
+def _numbers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``term, df, id`` of the terms of two documents and more, numbered from the rarest, and the most frequent of them:
+    ``FREQUENT`` at most, short ones but for those with more than 1/``HOT`` of all rows."""
+    ids = stored(df.where("df > 1").orderBy("df", "term").withColumn("id", F.monotonically_increasing_id()), "terms")
+    rows = ids.agg(F.sum("df").alias("n")).first()["n"] or 0
+    frequent = top_k(ids.where((F.length("term") <= SHORT) | (F.col("df") * HOT > rows)), [F.desc("df"), F.desc("id")], FREQUENT)
+    return ids, frequent
+
+
+def _as_rows(known: DataFrame) -> DataFrame:
+    """``doc, id, x, square`` (``id`` null for a term of one document, ``square`` what it adds to the squared length) to a
+    stored row per document: ``ids`` from the rarest, ``w`` at unit length, and a signature of its counts."""
+    shared = lambda c: F.collect_list(F.when(F.col("id").isNotNull(), F.col(c)))
+    rows = known.groupBy("doc").agg(shared("id").alias("ids"), shared("x").alias("x"), F.sum("square").alias("q"), F.count(F.lit(1)).alias("n"))
+    rows = rows.where("size(ids) > 0").select("doc", "q", F.array_sort(F.arrays_zip("ids", "x")).alias("l"), F.when(
+        F.col("n") > F.size("ids"), F.col("doc")).alias("alone"))
+    rows = rows.select("doc", F.col("l.ids").alias("ids"), F.col("l.x").alias("x"), "q", "alone")
+    return stored(rows.select("doc", "ids", F.transform("x", lambda x: x / F.sqrt("q")).alias("w"), *[
+        F.xxhash64(F.lit(seed), "ids", "x", "alone").alias(f"s{seed}") for seed in (1, 2)]), "documents")
+
+
+def tfidf_rows(tf: DataFrame, n_docs: int) -> DataFrame:
+    """The rows (``_as_rows``) of TF-IDF weights as in ``similarity.tfidf`` of stored counts. Frequent terms meet their number by
+    a broadcast of bounded size, so only the rows of rare ones are exchanged by term; then numbers are exchanged by document,
+    once, and no texts."""
+    ids, frequent = _numbers(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    found = tf.join(F.broadcast(frequent), "term", "left")
+    rest = ids.join(F.broadcast(frequent.select("term")), "term", "left_anti")
+    rare = found.where("id IS NULL").select("doc", "term", "tf").join(wide(rest), "term", "left")
+    known = found.where("id IS NOT NULL").select("doc", "id", "df", "tf").unionByName(rare.select("doc", "id", "df", "tf"))
+    x = F.col("tf") * (F.log((1 + F.lit(n_docs)) / (1 + F.coalesce("df", F.lit(1)))) + 1)
+    return _as_rows(known.select("doc", "id", x.alias("x")).withColumn("square", F.col("x") * F.col("x")))
+
+
+def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """``doc, id, w, after``: the terms of each document from the rarest on, as long as the norm of those from there on is
+    ``threshold`` at least, and the norm behind each."""
+    doc = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, w, n = batch.column(1).flatten(), batch.column(2).flatten().to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+            ends, total = np.cumsum(n), np.concatenate([[0], np.cumsum(w * w)])
+            row = np.repeat(np.arange(len(n)), n)
+            rest = total[ends][row] - total[:-1]
+            every = np.flatnonzero(rest >= threshold * threshold - BLUR)
+            for start in range(0, len(every), PIECE):
+                at = every[start:start + PIECE]
+                after = np.sqrt(np.maximum(rest[at] - w[at] * w[at], 0) + BLUR)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), ids.take(pa.array(at)), pa.array(w[at]), pa.array(after)],
+                                                 ["doc", "id", "w", "after"])
+
+    ship_package(rows.sparkSession)
+    return rows.select("doc", "ids", "w").mapInArrow(run, f"doc {doc}, id long, w double, after double")
+
+
+def _cosines(pairs: DataFrame, rows: DataFrame, digits: int) -> DataFrame:
+    """``u, v, s`` above 0 of stored pairs; only the documents in them are exchanged."""
+    met = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "met")
+    met = F.broadcast(met) if met.count() <= FREQUENT else wide(met)
+    w = rows.join(met, "doc", "left_semi").select("doc", F.explode(F.arrays_zip("ids", "w")).alias("e")).select(
+        "doc", F.col("e.ids").alias("term"), F.col("e.w").alias("weight"))
+    return cosine_sparse(pairs, w).select("u", "v", F.round("cosine", digits).alias("s")).where("s > 0")
+
+
 def top_pairs(tf: DataFrame, weights: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
-    """``u, v, similarity``: the ``k`` pairs (u < v) of greatest cosine above 0 at ``digits`` decimals, equal ones by u, v.
+    """``top_pairs_of`` for weights in long form (doc, term, weight) of unit length, and the counts ``tf`` behind them."""
+    ids, _ = _numbers(weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    known = weights.join(wide(ids), "term", "left").join(tf.select("doc", "term", "tf"), ["doc", "term"])
+    # counts for the signature; their weights follow from the documents' own
+    rows = _as_rows(known.select("doc", "id", F.col("tf").cast("double").alias("x"), F.lit(1.0).alias("square")))
+    own = known.where("id IS NOT NULL").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "weight"))).alias("l"))
+    return top_pairs_of(stored(rows.drop("w").join(wide(own), "doc").select("doc", "ids", F.col("l.weight").alias("w"), "s1", "s2"), "documents"), k, digits)
+
+
+def top_pairs_of(rows: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
+    """``u, v, similarity``: the ``k`` pairs (u < v) of greatest cosine above 0 at ``digits`` decimals, equal ones by u, v. ``rows``
+    are stored: ``doc``, its shared terms ``ids`` from the rarest, their weights ``w``, the signature ``s1, s2`` of its counts.
 
     Documents with the same term counts are one class: they are similar by 1 and to all others alike, so only
-    representatives are compared. Neighbours in the postings of each document's rarest shared term give a similarity
-    that the k-th best pair has at least. At that threshold a pair must share a term that lies, in both documents,
-    before the point (terms by ascending document frequency) where the norm of the rest falls below the threshold:
-    frequent terms only enter the index where a document has too little else. A shared prefix term makes a candidate
-    only if its product and the norms behind it reach the threshold; candidates are then compared in full.
+    representatives are compared. If there are fewer than ``k`` copies, neighbours in the postings of each document's rarest
+    shared term that have most of their rarest terms in common give a similarity that the k-th best pair has at least. At that
+    threshold a pair must share a term that lies, in both documents, before the point (terms by ascending document
+    frequency) where the norm of the rest falls below the threshold: frequent terms only enter the index where a document has
+    too little else. A shared prefix term makes a candidate only if its product and the norms behind it reach the threshold;
+    candidates are then compared in full.
     """
-    ensure_checkpoint_dir(tf.sparkSession)
-    classes = _classes(tf, k).checkpoint()
-    w = stored(weights.join(wide(classes.select(F.col("rep").alias("doc"))), "doc"), "weights")
-    df = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    shared = w.join(df.where("df > 1"), "term")
-    # norms from the rare end: ``rest`` includes the term, ``after`` does not
-    by_df = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = stored(shared.select("doc", "term", "weight", "df", F.sum(F.col("weight") * F.col("weight")).over(by_df).alias("q")).select(
-        "doc", "term", "weight", "df", F.sqrt("q").alias("rest"),
-        F.sqrt(F.greatest(F.col("q") - F.col("weight") * F.col("weight"), F.lit(0.0))).alias("after")), "ranked")
-    rarest = ranked.groupBy("doc").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    lists = previous_in_group(rarest, "term", ["doc"], ["doc"], prefix="p_")
-    # pairs are stored first: few of them go to the weights, which are exchanged only for many
-    seeds = stored(lists.where("p_doc IS NOT NULL").select(F.col("p_doc").alias("u"), F.col("doc").alias("v")).distinct(), "seeds")
-    alike = cosine_sparse(seeds, w).select(F.round("cosine", digits).alias("s")).where("s > 0")
-    copies = classes.select(F.explode(F.array_repeat(F.lit(1.0), F.least(F.col("n") - 1, F.lit(k)).cast("int"))).alias("s"))
-    best = top_k(alike.unionByName(copies), [F.desc("s")], k).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    ensure_checkpoint_dir(rows.sparkSession)
+    classes = _classes(rows.select("doc", "s1", "s2"), k).checkpoint()
+    copies = classes.agg(F.sum(F.least(F.col("n") - 1, F.lit(k)))).first()[0] or 0
     slack = 10.0 ** -digits
-    threshold = max((best["s"] or 0.0) - slack, 0.0) if best["n"] >= k else 0.0
-    prefix = ranked.where(F.col("rest") >= threshold)
-    a = prefix.select("term", F.col("doc").alias("u"), F.col("weight").alias("wu"), F.col("after").alias("ru"))
-    b = prefix.select("term", F.col("doc").alias("v"), F.col("weight").alias("wv"), F.col("after").alias("rv"))
-    candidates = stored(a.join(b, "term").where((F.col("u") < F.col("v")) & (
-        F.col("wu") * F.col("wv") + F.col("ru") * F.col("rv") >= threshold)).select("u", "v").distinct(), "candidates")
-    met = stored(candidates.select(F.explode(F.array("u", "v")).alias("doc")).distinct(), "met")
-    found = cosine_sparse(candidates, w.join(met, "doc", "left_semi")).select("u", "v", F.round("cosine", digits).alias("s")).where("s > 0")
+    if copies >= k:
+        threshold = 1.0 - slack
+    else:
+        rarest = rows.join(wide(classes.select(F.col("rep").alias("doc"))), "doc", "left_semi").select(
+            "doc", F.element_at("ids", 1).alias("term"), F.slice("ids", 1, HEAD).alias("head"))
+        lists = previous_in_group(rarest, "term", ["doc"], ["doc", "head"], prefix="p_").where("p_doc IS NOT NULL")
+        alike = top_k(lists.select(F.col("p_doc").alias("u"), F.col("doc").alias("v"), F.size(F.array_intersect("head", "p_head")).alias("c")),
+                      [F.desc("c"), F.asc("u"), F.asc("v")], SEEDS * k).select("u", "v")
+        best = sorted((r["s"] for r in _cosines(stored(alike, "seeds"), rows, digits).select("s").collect()), reverse=True)
+        best = [1.0] * copies + best  # ``SEEDS`` times ``k`` at most
+        threshold = max(best[k - 1] - slack, 0.0) if len(best) >= k else 0.0
+    prefix = stored(_prefixes(rows, threshold).join(wide(classes.select(F.col("rep").alias("doc"))), "doc", "left_semi"), "prefixes")
+    a = prefix.select("id", F.col("doc").alias("u"), F.col("w").alias("wu"), F.col("after").alias("ru"))
+    b = prefix.select("id", F.col("doc").alias("v"), F.col("w").alias("wv"), F.col("after").alias("rv"))
+    candidates = stored(a.join(wide(b), "id").where((F.col("u") < F.col("v")) & (
+        F.col("wu") * F.col("wv") + F.col("ru") * F.col("rv") >= threshold - BLUR)).select("u", "v").distinct(), "candidates")
+    found = _cosines(candidates, rows, digits)
     # pairs of classes by their first pair of documents; then the documents of the best k of them
     small = classes.select("rep", F.get("members", F.lit(1)).alias("second"), "members")
     within = small.where("second IS NOT NULL").select(F.lit(1.0).alias("s"), F.col("rep").alias("u"), F.col("second").alias("v"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from kinframe.functions.common import r6
 from kinframe.operators import graph as g
 from kinframe.operators import pairs as P
-from kinframe.operators import similarity as S
 from kinframe.operators import vectors as V
 from kinframe.plans import similarity as ps
 from kinframe.plans.registry import query
@@ -81,5 +80,4 @@ SELECT u, v, similarity FROM s ORDER BY similarity DESC, u, v LIMIT 5""")
 def q_top_similar_pairs(t: Tables):
     """The five most similar pairs of documents by TF-IDF cosine."""
     tf = stored(ps.unigram_tf(t), "term-counts")
-    weights = S.tfidf(tf, t.documents.agg(F.count(F.lit(1)).alias("n")), store=False)
-    return P.top_pairs(tf, weights, 5).withColumn("similarity", r6("similarity"))
+    return P.top_pairs_of(P.tfidf_rows(tf, t.documents.count()), 5).withColumn("similarity", r6("similarity"))
