@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.functions.common import wide
-from kinframe.operators.sequence import previous_in_group
+from kinframe.operators.sequence import dense_index, previous_in_group
 from kinframe.operators.similarity import HOT, cosine_sparse
 from kinframe.operators.topk import top_k, top_k_per_group
 from kinframe.session import ensure_checkpoint_dir, ship_package, stored
@@ -23,6 +23,8 @@ from kinframe.session import ensure_checkpoint_dir, ship_package, stored
 FREQUENT, SHORT = 1 << 16, 64
 #: Rarest terms by which pairs are chosen that give a threshold, and how many of them for each pair asked for.
 HEAD, SEEDS = 16, 200
+#: Bits of a term's count beside its number, documents turned into weights at once.
+COUNT, DOCUMENTS = 28, 1024
 #: Slack of sums of squares, and most rows that leave a Python function at once.
 BLUR, PIECE = 1e-9, 1 << 17
 
@@ -64,7 +66,7 @@ def _classes(signed: DataFrame, k: int) -> DataFrame:
 def _numbers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``term, df, id`` of the terms of two documents and more, numbered from the rarest, and the most frequent of them:
     ``FREQUENT`` at most, short ones but for those with more than 1/``HOT`` of all rows."""
-    ids = stored(df.where("df > 1").orderBy("df", "term").withColumn("id", F.monotonically_increasing_id()), "terms")
+    ids = stored(dense_index(df.where("df > 1"), [], ["df", "term"], "id").select("term", "df", F.col("id").cast("long").alias("id")), "terms")
     rows = ids.agg(F.sum("df").alias("n")).first()["n"] or 0
     frequent = top_k(ids.where((F.length("term") <= SHORT) | (F.col("df") * HOT > rows)), [F.desc("df"), F.desc("id")], FREQUENT)
     return ids, frequent
@@ -75,7 +77,7 @@ def _as_rows(known: DataFrame) -> DataFrame:
     stored row per document: ``ids`` from the rarest, ``w`` at unit length, and a signature of its counts."""
     shared = lambda c: F.collect_list(F.when(F.col("id").isNotNull(), F.col(c)))
     rows = known.groupBy("doc").agg(shared("id").alias("ids"), shared("x").alias("x"), F.sum("square").alias("q"), F.count(F.lit(1)).alias("n"))
-    rows = rows.where("size(ids) > 0").select("doc", "q", F.array_sort(F.arrays_zip("ids", "x")).alias("l"), F.when(
+    rows = rows.where("size(ids) > 0").select("doc", "q", F.sort_array(F.arrays_zip("ids", "x")).alias("l"), F.when(
         F.col("n") > F.size("ids"), F.col("doc")).alias("alone"))
     rows = rows.select("doc", F.col("l.ids").alias("ids"), F.col("l.x").alias("x"), "q", "alone")
     return stored(rows.select("doc", "ids", F.transform("x", lambda x: x / F.sqrt("q")).alias("w"), *[
@@ -84,15 +86,41 @@ def _as_rows(known: DataFrame) -> DataFrame:
 
 def tfidf_rows(tf: DataFrame, n_docs: int) -> DataFrame:
     """The rows (``_as_rows``) of TF-IDF weights as in ``similarity.tfidf`` of stored counts. Frequent terms meet their number by
-    a broadcast of bounded size, so only the rows of rare ones are exchanged by term; then numbers are exchanged by document,
-    once, and no texts."""
+    a broadcast of bounded size, so only the rows of rare ones are exchanged by term; then a whole number for each term and
+    its count is exchanged by document, once, and stored. The weights follow from these where the rows are read."""
     ids, frequent = _numbers(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     found = tf.join(F.broadcast(frequent), "term", "left")
     rest = ids.join(F.broadcast(frequent.select("term")), "term", "left_anti")
     rare = found.where("id IS NULL").select("doc", "term", "tf").join(wide(rest), "term", "left")
     known = found.where("id IS NOT NULL").select("doc", "id", "df", "tf").unionByName(rare.select("doc", "id", "df", "tf"))
-    x = F.col("tf") * (F.log((1 + F.lit(n_docs)) / (1 + F.coalesce("df", F.lit(1)))) + 1)
-    return _as_rows(known.select("doc", "id", x.alias("x")).withColumn("square", F.col("x") * F.col("x")))
+    alone = F.when(F.col("id").isNull(), F.col("tf"))
+    rows = known.groupBy("doc").agg(F.collect_list(F.shiftleft("id", COUNT).bitwiseOR(F.col("tf"))).alias("l"), F.sum(
+        alone.cast("double") * alone).alias("more"))
+    alone = F.when(F.col("more").isNotNull(), F.col("doc"))
+    rows = rows.where("size(l) > 0").select("doc", F.sort_array("l").alias("l"), F.coalesce("more", F.lit(0.0)).alias("more"), alone.alias("alone"))
+    rows = stored(rows.select("doc", "l", "more", *[F.xxhash64(F.lit(seed), "l", "alone").alias(f"s{seed}") for seed in (1, 2)]), "documents")
+    # numbers go by frequency: a row per distinct frequency, fewer than the root of twice the rows of terms and documents
+    steps = sorted((r["id"], r["df"]) for r in ids.groupBy("df").agg(F.min("id").alias("id")).collect())
+    sent = tf.sparkSession.sparkContext.broadcast((np.array([i for i, _ in steps], np.int64), np.array([d for _, d in steps], float)))
+    weight = lambda df: np.log((1 + n_docs) / (1 + df)) + 1
+    doc = rows.schema["doc"].dataType.simpleString()
+
+    def run(batches):
+        first, df = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS):
+                batch = whole.slice(at, DOCUMENTS)
+                packed, n = batch.column(1).flatten().to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+                ids, ends = packed >> COUNT, np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                x = (packed & (1 << COUNT) - 1) * weight(df)[np.searchsorted(first, ids, "right") - 1]
+                square = np.add.reduceat(x * x, ends[:-1]) + batch.column(2).to_numpy() * weight(1) ** 2
+                w = x / np.repeat(np.sqrt(square), n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *[pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (ids, w)], batch.column(3), batch.column(4)],
+                    ["doc", "ids", "w", "s1", "s2"])
+
+    ship_package(tf.sparkSession)
+    return rows.mapInArrow(run, f"doc {doc}, ids array<long>, w array<double>, s1 long, s2 long")
 
 
 def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -138,7 +166,7 @@ def top_pairs(tf: DataFrame, weights: DataFrame, k: int = 5, digits: int = 6) ->
 
 def top_pairs_of(rows: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """``u, v, similarity``: the ``k`` pairs (u < v) of greatest cosine above 0 at ``digits`` decimals, equal ones by u, v. ``rows``
-    are stored: ``doc``, its shared terms ``ids`` from the rarest, their weights ``w``, the signature ``s1, s2`` of its counts.
+    are cheap to read: ``doc``, its shared terms ``ids`` from the rarest, their weights ``w``, the signature ``s1, s2`` of its counts.
 
     Documents with the same term counts are one class: they are similar by 1 and to all others alike, so only
     representatives are compared. If there are fewer than ``k`` copies, neighbours in the postings of each document's rarest
